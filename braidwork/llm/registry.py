@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import table
+from braidwork.llm.common import shared_dir, table
 from braidwork.llm.mixing import mix_sources, word_count
+from braidwork.llm.packing import pack
 from braidwork.llm.repetition import repetition
+from braidwork.llm.tokens import read_tokens, token_pieces, write_tokens
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +20,31 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, word_count(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 2048)
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/braidwork/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), out, tokenizer_path(), end_id=2)
+    return read_tokens(spark, out).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op5_packing": op5_packing,
+    "op7_tokens": op7_tokens,
     "op9_repetition": op9_repetition,
 }
 ORACLES: dict[str, str] = {}
