@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import WORD, written
+from braidwork.llm.common import needed, written
 
 #: Hash buckets inside a source; a source's cut falls into one of them, and only that bucket is put in order.
 BUCKETS = 4096
@@ -70,13 +70,14 @@ def mix_sources(docs: DataFrame, size: Column, weights: tuple[float, ...] = (3,
         "rest", F.greatest(F.lit(0), F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     )
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    small = plan.withColumnRenamed("source", "s")
     cut = (
         sums.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
-        .join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        .filter((F.col("ahead") <= F.col("rest")) & (F.col("rest") < F.col("ahead") + F.col("size")))
-        .select("s", F.col("bucket").alias("cut_bucket"), (F.col("rest") - F.col("ahead")).alias("left"))
+        .join(small, F.col("source").eqNullSafe(F.col("s")))
+        .groupBy("s", "source_size", "target", "whole", "rest")
+        .agg(F.min(F.when((F.col("ahead") <= F.col("rest")) & (F.col("rest") < F.col("ahead") + F.col("size")), F.struct(F.col("bucket").alias("cut_bucket"), (F.col("rest") - F.col("ahead")).alias("left")))).alias("cut"))
     )
-    plan = plan.withColumnRenamed("source", "p").join(cut, F.col("p").eqNullSafe(F.col("s")), "left").drop("s")
+    plan = needed(cut.select(F.col("s").alias("p"), "source_size", "target", "whole", "rest", "cut.cut_bucket", "cut.left").coalesce(1), "plan")
     rows = narrow.join(plan, F.col("source").eqNullSafe(F.col("p"))).drop("p")
     at_cut = F.col("bucket") == F.col("cut_bucket")
     inside = Window.partitionBy("source").orderBy("h", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
