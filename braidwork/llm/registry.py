@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import shared_dir, table
+from braidwork.llm.jaccard import jaccard_components
 from braidwork.llm.mixing import mix_sources, word_count
 from braidwork.llm.packing import pack
 from braidwork.llm.repetition import repetition
@@ -41,10 +42,15 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=85, k=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op5_packing": op5_packing,
     "op7_tokens": op7_tokens,
     "op9_repetition": op9_repetition,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLES: dict[str, str] = {}
