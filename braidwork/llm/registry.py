@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import shared_dir, table
+from braidwork.llm import language, quality
+from braidwork.llm.common import crc_bucket, shared_dir, table
 from braidwork.llm.jaccard import jaccard_components
 from braidwork.llm.mixing import mix_sources, word_count
 from braidwork.llm.packing import pack
@@ -21,6 +22,27 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, word_count(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Bounds of the training samples: labelled rows in all, and rows of each language.
+QUALITY_SAMPLE, LANGUAGE_SAMPLE = 3000, 150
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(crc_bucket(F.col("doc_id"), 5) != 0)
+    sample = quality.labelled_sample(docs, labels, "quality", QUALITY_SAMPLE)
+    model = quality.train(sample.column(0).to_pylist(), sample.column(1).to_pylist())
+    scored = quality.score(docs, model, positive=1)
+    held_out = crc_bucket(F.col("doc_id"), 5) == 0
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    tagger = language.train(*language.language_sample(docs.filter(~held_out), LANGUAGE_SAMPLE))
+    return language.identify(docs.select("doc_id", "text"), tagger).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -48,8 +70,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_quality": op3_quality,
     "op5_packing": op5_packing,
     "op7_tokens": op7_tokens,
+    "op8_language": op8_language,
     "op9_repetition": op9_repetition,
     "op10_jaccard": op10_jaccard,
 }
