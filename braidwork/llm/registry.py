@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import language, quality
+from braidwork.llm import ann, language, quality
 from braidwork.llm.common import crc_bucket, shared_dir, table
 from braidwork.llm.jaccard import jaccard_components
 from braidwork.llm.mixing import mix_sources, word_count
@@ -43,6 +43,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), tagger).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -71,6 +75,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_quality": op3_quality,
+    "op4_nearest": op4_nearest,
     "op5_packing": op5_packing,
     "op7_tokens": op7_tokens,
     "op8_language": op8_language,
