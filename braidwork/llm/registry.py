@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import ann, language, quality
+from braidwork.llm import ann, language, licenses, pii, quality
 from braidwork.llm.common import crc_bucket, shared_dir, table
 from braidwork.llm.jaccard import jaccard_components
 from braidwork.llm.mixing import mix_sources, word_count
@@ -22,6 +22,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, word_count(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("license_ids", F.array_join("license_ids", ","))
+
+
 #: Bounds of the training samples: labelled rows in all, and rows of each language.
 QUALITY_SAMPLE, LANGUAGE_SAMPLE = 3000, 150
 
@@ -58,6 +63,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 2048)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
+def _of_kind(k: int):
+    return lambda s: s["kind"] == k
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/braidwork/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), out, tokenizer_path(), end_id=2)
@@ -74,12 +89,14 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_licenses": op2_licenses,
     "op3_quality": op3_quality,
     "op4_nearest": op4_nearest,
     "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
     "op7_tokens": op7_tokens,
     "op8_language": op8_language,
     "op9_repetition": op9_repetition,
     "op10_jaccard": op10_jaccard,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_licenses": licenses.oracle()}
