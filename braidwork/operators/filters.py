@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 _COMPARE = {
     "$eq": lambda c, v: c == v,
@@ -163,7 +164,7 @@ def page_spans(question: str) -> list[tuple[int | None, int | None, bool]]:
     return out
 
 
-@F.pandas_udf("array<struct<low:int,high:int,last:boolean>>")
+@F.pandas_udf(ArrayType(StructType([StructField("low", IntegerType()), StructField("high", IntegerType()), StructField("last", BooleanType())])))
 def page_filter(questions: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The page spans a question names; empty for none."""
     for batch in questions:
@@ -175,7 +176,7 @@ def on_pages(spans: Column, page: Column, is_last: Column) -> Column:
     return F.exists(spans, lambda s: F.coalesce(F.when(s["last"], is_last).otherwise(page.between(s["low"], s["high"])), F.lit(False)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_pages(questions: pd.Series) -> pd.Series:
     """The question without its page references."""
     def strip(q: str | None) -> str | None:

@@ -1,10 +1,571 @@
-"""Registered queries of the engine and their DuckDB oracles."""
+"""Registered queries of the engine and their DuckDB oracles.
+
+Every query runs over its whole tables. A limit stands only where it is the feature: a top-k report.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braidwork.functions import text as T
+from braidwork.functions.screening import injection_signals, neutralized, pii_types, redactor
+from braidwork.operators import evaluation, filters, healing, index, ingest, monitoring, retrieval, state
+from braidwork.operators.chunking import chunk_documents, fixed_chunks
+from braidwork.session import table
+from braidwork.sources.files import html_text
+from braidwork.sources.shared import shared_dir, written
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+QUESTION = "the order of this that"
+TOKENS = "regexp_extract_all(lower({}), '[a-zA-Z0-9À-ɏ]+')"
+#: Common table expressions of the BM25 oracles: queries q(qid, query) come before.
+BM25 = f"""
+tok AS (SELECT doc_id AS id, unnest({TOKENS.format("text")}) AS term FROM documents),
+dl AS (SELECT doc_id AS id, len({TOKENS.format("text")}) AS dl FROM documents),
+p AS (SELECT term, id, count(*) AS tf FROM tok GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+n AS (SELECT count(*) AS n, sum(dl) AS t FROM dl),
+a AS (SELECT avg(ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE)) AS avg_idf FROM df, n),
+qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({TOKENS.format("query")}) AS term FROM q) GROUP BY 1, 2),
+idf AS (SELECT term, CASE WHEN ln(n - df + 0.5::DOUBLE) < ln(df + 0.5::DOUBLE) THEN 0.25::DOUBLE * avg_idf ELSE ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) END AS idf FROM df, n, a WHERE term IN (SELECT term FROM qt)),
+s AS (SELECT qid, p.id, sum(times * idf * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (t::DOUBLE / n)))) AS score
+      FROM qt JOIN idf USING (term) JOIN p USING (term) JOIN dl ON dl.id = p.id, n GROUP BY 1, 2),
+b AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM s WHERE score > 0)"""
+ONE = f"WITH q AS (SELECT 0 AS qid, '{QUESTION}' AS query),"
+MANY = "WITH q AS (SELECT item_id AS qid, text AS query FROM benchmark),"
+#: A vector as doubles, and the questions of the vector oracles: every vector of a label's smallest id.
+VQ = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))"
+VEC = VQ + ", vs AS (SELECT qid, id, label, list_cosine_similarity(qv, v) AS score FROM vq, v), d AS (SELECT qid, id, label, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM vs)"
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return register
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def one_question(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit(0).alias("qid"), F.lit(QUESTION).alias("query"))
+
+
+def benchmark(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def stable(hits: DataFrame, k: int) -> DataFrame:
+    """Top k by the score to 9 digits, so that sums in another order rank alike."""
+    return index.top(hits.filter("score > 0").withColumn("score", F.round("score", 9)), k)
+
+
+def label_questions(spark: SparkSession, d: str) -> DataFrame:
+    """One question vector per label: its smallest id."""
+    rows = table(spark, d, "embeddings")
+    return rows.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).select(F.col("q.vec_id").alias("qid"), F.col("q.embedding").alias("query_vector"))
+
+
+# --- text and index ------------------------------------------------------------------------------------------------
+
+
+@query("token_freq", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
+def token_freq(spark: SparkSession, d: str) -> DataFrame:
+    return index.term_frequencies(docs(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query("corpus_stats", f"{ONE} {BM25} SELECT n, t::BIGINT AS total_tokens, round(avg_idf, 6) AS avg_idf, (SELECT count(*) FROM df) AS terms FROM n, a")
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return index.build(docs(spark, d)).stats().select("n", "total_tokens", F.round("avg_idf", 6).alias("avg_idf"), "terms")
+
+
+@query("bm25_topk", f"{ONE} {BM25} SELECT id, round(score, 4) AS score, rank FROM b WHERE rank < 10")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return stable(index.bm25_scores(docs(spark, d), one_question(spark)), 10).select("id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("bm25_filtered", f"{ONE} {BM25} SELECT id, score, place - 1 AS rank FROM (SELECT id, round(score, 4) AS score, row_number() OVER (ORDER BY rank) AS place FROM b WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'de')) WHERE place <= 10")
+def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
+    allowed = docs(spark, d).filter(filters.compiled({"lang": "de"})).select(F.col("doc_id").alias("id"))
+    hits = index.bm25_scores(docs(spark, d), one_question(spark)).join(allowed, "id", "left_semi")
+    return stable(hits, 10).select("id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("bm25_multi_query", f"{MANY} {BM25} SELECT qid, id, round(score, 4) AS score, rank FROM b WHERE rank < 10")
+def bm25_multi_query(spark: SparkSession, d: str) -> DataFrame:
+    return stable(index.bm25_scores(docs(spark, d), benchmark(spark, d)), 10).select("qid", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("fingerprints", r"SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS content_fingerprint FROM documents")
+def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.fingerprinted(docs(spark, d).select("doc_id", "text")).drop("text")
+
+
+@query("chunk_fixed", "WITH c AS (SELECT doc_id, i::INTEGER AS chunk_index, substring(text, i * 650 + 1, 800) AS content FROM (SELECT doc_id, text, unnest(range(0, (len(text) - 1) // 650 + 1)) AS i FROM documents WHERE len(text) > 0)) SELECT md5(doc_id || '::chunk-' || chunk_index || '::' || substring(content, 1, 50)) AS chunk_id, doc_id, chunk_index, len(content) AS n_chars, md5(content) AS content_md5 FROM c")
+def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
+    rows = fixed_chunks(docs(spark, d).select("doc_id", "text"))
+    return rows.select("chunk_id", "doc_id", "chunk_index", F.length("content").cast("long").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("chunk_sentence")
+def chunk_sentence(spark: SparkSession, d: str) -> DataFrame:
+    return chunk_documents(docs(spark, d).select("doc_id", F.col("text").alias("content")), "sentence").filter("kind = 'chunk'")
+
+
+@query("chunk_sections")
+def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
+    return chunk_documents(docs(spark, d).select("doc_id", F.col("text").alias("content"), F.lit(".md").alias("filetype")), "recursive")
+
+
+@query("page_text")
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), html_text(F.col("html")).alias("content"))
+    return chunk_documents(pages, "sentence").filter("kind = 'chunk'")
+
+
+@query("content_terms")
+def content_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", T.content_terms(F.col("text")).alias("terms"), T.question_type(F.col("text")).alias("question_type"), T.is_vague(F.col("text")).alias("is_vague"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(set(T.STOPWORDS))) + "]"
+
+
+@query("term_counts", f"SELECT conv_id, turn, len(list_distinct(list_filter({TOKENS.format('text')}, lambda t: len(t) > 1 AND NOT list_contains({_STOP}, t))))::INTEGER AS n_terms FROM conversations")
+def term_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(T.content_terms(F.col("text"))).alias("n_terms"))
+
+
+@query("lexical_overlap", f"""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
+t AS (SELECT conv_id, turn, list_distinct(list_filter({TOKENS.format('text')}, lambda t: len(t) > 1 AND NOT list_contains({_STOP}, t))) AS terms, list_distinct({TOKENS.format('prev')}) AS vocab FROM p WHERE prev IS NOT NULL)
+SELECT conv_id, turn, round(CASE WHEN len(terms) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(terms, lambda t: list_contains(vocab, t) OR (len(t) >= 4 AND len(list_filter(vocab, lambda v: starts_with(v, substring(t, 1, 4)))) > 0)))::DOUBLE / len(terms) END, 6) AS overlap FROM t""")
+def lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    turns = table(spark, d, "conversations").withColumn("previous", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("previous IS NOT NULL")
+    return turns.select("conv_id", "turn", F.round(T.lexical_overlap(F.col("text"), F.col("previous")), 6).alias("overlap"))
+
+
+@query("snippets", r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents), c AS (SELECT doc_id, s, substring(s, 1, 179) AS cut, 179 - strpos(reverse(substring(s, 1, 179)), ' ') AS sp, strpos(reverse(substring(s, 1, 179)), ' ') AS r FROM f)
+SELECT doc_id, CASE WHEN len(s) <= 180 THEN s ELSE rtrim(CASE WHEN r > 0 AND sp >= 90 THEN substring(cut, 1, sp) ELSE cut END, ' ,;:') || '…' END AS snippet FROM c""")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query("language_routing", "SELECT CASE WHEN lang IN ('de', 'en', 'es') THEN lang ELSE 'en' END AS collection, count(*) AS documents FROM documents GROUP BY 1")
+def language_routing(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).groupBy(T.routed_language(F.col("lang")).alias("collection")).agg(F.count("*").alias("documents"))
+
+
+# --- screening -----------------------------------------------------------------------------------------------------
+
+
+@query("pii_types")
+def pii(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", pii_types(F.col("text")).alias("types"))
+
+
+@query("redact")
+def redact(spark: SparkSession, d: str) -> DataFrame:
+    done = docs(spark, d).select("doc_id", redactor(True, True)(F.col("text")).alias("r"))
+    return done.select("doc_id", F.col("r.text").alias("text"), F.array_join(F.array_sort(F.transform(F.map_entries("r.counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",").alias("counts"))
+
+
+@query("injection_signals", "SELECT doc_id, '' AS signals FROM documents WHERE false")
+def injections(spark: SparkSession, d: str) -> DataFrame:
+    named = docs(spark, d).select("doc_id", F.array_join(injection_signals(neutralized(F.col("text"))), ",").alias("signals"))
+    return named.filter("signals <> ''")
+
+
+# --- ingest --------------------------------------------------------------------------------------------------------
+
+_FP = r"sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))"
+
+
+@query("exact_dedup", f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, {_FP} ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    rows = ingest.fingerprinted(docs(spark, d).select("doc_id", "source", "text"))
+    return ingest.exact_dedup(rows, "source", "doc_id").select("doc_id", "source")
+
+
+@query("dedup_vs_store", f"""WITH f AS (SELECT doc_id, lang, source, {_FP} AS fp FROM documents), s AS (SELECT * FROM f WHERE doc_id % 2 = 0), n AS (SELECT * FROM f WHERE doc_id % 2 = 1)
+SELECT doc_id FROM n WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.lang = n.lang AND s.fp = n.fp) OR EXISTS (SELECT 1 FROM s WHERE s.lang = n.lang AND s.fp = n.fp AND s.source = n.source)""")
+def dedup_vs_store(spark: SparkSession, d: str) -> DataFrame:
+    rows = ingest.fingerprinted(docs(spark, d).select("doc_id", "lang", F.col("source").alias("document_key"), "text")).drop("text").withColumn("owner", F.lit("shared"))
+    return ingest.dedup_vs_store(rows.filter("doc_id % 2 = 1"), rows.filter("doc_id % 2 = 0")).select("doc_id")
+
+
+@query("near_duplicates", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS id, b.vec_id AS match_id, list_cosine_similarity(a.v, b.v) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT id, match_id, round(score, 6) AS score FROM p WHERE score >= 0.4::DOUBLE QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, match_id DESC) = 1""")
+def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("owner"), F.col("vec_id").alias("document_key"))
+    return ingest.near_duplicates(rows, rows, 0.4).select("id", "match_id", F.round("score", 6).alias("score"))
+
+
+@query("document_catalog", "SELECT source AS document_key, count(*) AS chunks, max(n_chars) AS pages, count(DISTINCT lang) AS versions, arg_max(doc_id, doc_id) AS newest FROM documents GROUP BY 1")
+def document_catalog(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d).select(F.col("source").alias("document_key"), F.col("n_chars").alias("page"), F.col("lang").alias("version_id"), F.col("doc_id").alias("source"), F.col("doc_id").alias("ingested_at"))
+    return ingest.catalog(rows).select("document_key", "chunks", "pages", "versions", F.col("source").alias("newest"))
+
+
+@query("folder_rules", "SELECT doc_id, CASE WHEN source = 'src1' THEN 90 WHEN lang = 'de' AND source = 'src2' THEN 95 WHEN lang = 'de' THEN 30 ELSE 50 END AS authority FROM documents WHERE source <> 'src1' OR lang <> 'de'")
+def folder_rules(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d).filter("source <> 'src1' OR lang <> 'de'")
+    path = F.when(F.col("source") == "src1", F.concat(F.lit("policies/hr/"), F.col("doc_id").cast("string"))).when(F.col("lang") == "de", F.concat_ws("/", F.lit("misc"), F.col("source"), F.lit("x.txt"))).otherwise(F.lit("policiesX/a.txt"))
+    return rows.select("doc_id", filters.folder_value(path, {"policies": 10, "policies/hr": 90, "misc": 30, "misc/src2": 95}, 50).alias("authority"))
+
+
+@query("scope_filter", "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3') AND doc_id % 3 <> 0 AND (lang = 'en' OR n_chars >= 2000)")
+def scope_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d).withColumn("owner", F.col("source")).withColumn("restricted", F.col("doc_id") % 3 == 0)
+    return filters.scoped(rows, ["src1", "src2", "src3"], True, {"$or": [{"lang": "en"}, {"n_chars": {"$gte": 2000}}]}).select("doc_id")
+
+
+@query("readable_rows", "SELECT doc_id FROM documents WHERE source IN ('shared', 'src5') AND doc_id % 4 = 1")
+def readable_rows(spark: SparkSession, d: str) -> DataFrame:
+    restricted = F.when(F.col("doc_id") % 4 == 1, False).when(F.col("doc_id") % 4 == 2, True)
+    return filters.readable(docs(spark, d).withColumn("owner", F.col("source")).withColumn("restricted", restricted), filters.visible_owners("src5"), True).select("doc_id")
+
+
+@query("page_filter")
+def page_filter(spark: SparkSession, d: str) -> DataFrame:
+    asked = ["What is on page 5?", "pages 2, 4 and 6", "Seite 3 bis 5", "páginas 9 a 7", "the last page", "first three pages", "zweite Seite", "page table", "third page"]
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "qid int, question string")
+    return rows.select("qid", "question", filters.page_filter("question").alias("spans"), filters.without_pages("question").alias("rest"))
+
+
+@query("metadata_contract", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS errors FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0")
+def metadata_contract(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"), F.lit("shared").alias("owner"), F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1).alias("metadata_schema_version"))
+    checked = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return filters.accepted(checked)[1].select(F.col("doc_id").cast("long").alias("doc_id"), F.size("errors").alias("errors"))
+
+
+# --- retrieval -----------------------------------------------------------------------------------------------------
+
+
+@query("vector_topk", f"WITH {VEC} SELECT qid, id, round(score, 4) AS score, rank FROM d WHERE rank < 10")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.similarities(label_questions(spark, d), table(spark, d, "embeddings"), "vec_id")
+    return index.top(hits.withColumn("score", F.round("score", 9)), 10).select("qid", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("vector_topk_filtered", f"WITH {VEC} SELECT qid, id, round(score, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS rank FROM d WHERE label IN (1, 2, 3) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 5")
+def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").filter(filters.compiled({"label": {"$in": [1, 2, 3]}}))
+    hits = retrieval.similarities(label_questions(spark, d), rows, "vec_id")
+    return index.top(hits.withColumn("score", F.round("score", 9)), 5).select("qid", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _rankings(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Vector and keyword rankings of the same questions: the vector and the text of the row with that id."""
+    vectors = label_questions(spark, d)
+    dense = index.top(retrieval.similarities(vectors, table(spark, d, "embeddings"), "vec_id").withColumn("score", F.round("score", 9)), k)
+    asked = vectors.join(docs(spark, d), vectors.qid == F.col("doc_id")).select("qid", F.substring("text", 1, 60).alias("query"))
+    return dense, stable(index.bm25_scores(docs(spark, d), asked), k)
+
+
+_BOTH = f"WITH {VEC}, q AS (SELECT qid, substring(text, 1, 60) AS query FROM vq JOIN documents ON doc_id = qid), {BM25}"
+_FUSED = "coalesce(x.qid, y.qid) AS qid, coalesce(x.id, y.id) AS id, {a}::DOUBLE / ({r} + coalesce(x.rank, 20) + 1) + (1.0::DOUBLE - {a}::DOUBLE) / ({r} + coalesce(y.rank, 20) + 1) AS score FROM (SELECT * FROM d WHERE rank < 20) x FULL OUTER JOIN (SELECT * FROM b WHERE rank < 20) y ON x.qid = y.qid AND x.id = y.id"
+
+
+@query("hybrid_rrf", f"{_BOTH}, f AS (SELECT {_FUSED.format(a=0.6, r=60)}) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) - 1 AS rank FROM f QUALIFY rank < 20")
+def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+    dense, sparse = _rankings(spark, d, 20)
+    fused = retrieval.weighted_rrf(dense, sparse, 40)
+    return index.top(fused.withColumn("score", _fused_score()).select("qid", "id", "score"), 20).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _fused_score():
+    missing = F.lit(20)
+    return F.round(F.lit(0.6) / (F.lit(60) + F.coalesce("dense_rank", missing) + 1) + (F.lit(1.0) - F.lit(0.6)) / (F.lit(60) + F.coalesce("sparse_rank", missing) + 1), 12)
+
+
+@query("multi_query_rrf", f"{MANY} {BM25}, l AS (SELECT qid % 8 AS question, qid AS list_no, id, rank FROM b WHERE rank < 10), f AS (SELECT question, id, sum(1.0::DOUBLE / (60 + rank + 1)) AS score, min(list_no * 1000 + rank) AS first FROM l GROUP BY 1, 2) SELECT question AS qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY question ORDER BY round(score, 12) DESC, first, id) - 1 AS rank FROM f QUALIFY rank < 10")
+def multi_query_rrf(spark: SparkSession, d: str) -> DataFrame:
+    hits = stable(index.bm25_scores(docs(spark, d), benchmark(spark, d)), 10)
+    lists = hits.select((F.col("qid") % 8).alias("qid"), F.col("qid").alias("list_no"), "id", "rank", "score")
+    return retrieval.multi_query_rrf(lists, 10).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("context_budget", "WITH o AS (SELECT doc_id, source, text, coalesce(sum(len(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM documents) SELECT doc_id, source, md5(substring(text, 1, (12000 - used)::BIGINT)) AS document FROM o WHERE used < 12000")
+def context_budget(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d).select("doc_id", "source", F.col("text").alias("document"))
+    return retrieval.within_budget(rows, 12_000, "source", "doc_id").select("doc_id", "source", F.md5(F.col("document").cast("binary")).alias("document"))
+
+
+@query("context_block", f"{MANY} {BM25}, h AS (SELECT qid, rank, source, substring(text, 1, 80) AS t FROM b JOIN documents ON doc_id = id WHERE rank < 3) SELECT qid, string_agg('[' || (rank + 1) || '] (Source: ' || source || ')' || chr(10) || t || chr(10), chr(10) ORDER BY rank) AS context FROM h GROUP BY 1")
+def context_block(spark: SparkSession, d: str) -> DataFrame:
+    hits = stable(index.bm25_scores(docs(spark, d), benchmark(spark, d)), 3)
+    rows = hits.join(docs(spark, d), F.col("id") == F.col("doc_id")).select("qid", "rank", "source", F.lit(None).cast("int").alias("page"), F.substring("text", 1, 80).alias("document"), F.lit(False).alias("injection_suspected"), F.array().cast("array<string>").alias("injection_signals"))
+    return retrieval.context_block(rows)
+
+
+@query("reading_order", f"{MANY} {BM25} SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY source, n_chars, id) - 1 AS rank FROM (SELECT * FROM b WHERE rank < 20) JOIN documents ON doc_id = id")
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    hits = index.bm25_scores(docs(spark, d), benchmark(spark, d)).filter("score > 0").withColumn("score", F.round("score", 9))
+    rows = hits.join(docs(spark, d).select(F.col("doc_id").alias("id"), "source", F.col("n_chars").alias("page"), F.lit(0).alias("chunk_index")), "id")
+    return retrieval.reading_order(rows, 20).select("qid", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("citations", f"{MANY} {BM25} SELECT qid, rank, id AS chunk_id, source, 'unknown' AS filename, round(score, 4) AS score FROM b JOIN documents ON doc_id = id WHERE rank < 5")
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    hits = stable(index.bm25_scores(docs(spark, d), benchmark(spark, d)), 5)
+    rows = hits.join(docs(spark, d), F.col("id") == F.col("doc_id")).withColumn("document", F.col("text")).withColumn("filename", F.lit(None).cast("string")).withColumn("page", F.lit(None).cast("int"))
+    return retrieval.citations(rows).select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", "source", "filename", F.round("score", 4).alias("score"))
+
+
+@query("point_lookup", "SELECT pos::INTEGER AS pos, doc_id, source FROM (SELECT unnest([7, 3, 100000000, 11]) AS doc_id, unnest(range(4)) AS pos) JOIN documents USING (doc_id)")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    ids = spark.range(1).select(F.array(*[F.lit(i).cast("long") for i in (7, 3, 100000000, 11)]).alias("ids"))
+    return ingest.in_order(ids, docs(spark, d), "doc_id").select("pos", "doc_id", "source")
+
+
+# --- verification --------------------------------------------------------------------------------------------------
+
+
+@query("healing_verdicts")
+def healing_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    hits = stable(index.bm25_scores(docs(spark, d), benchmark(spark, d)), 3).join(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
+    packed = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "score"))).alias("h"))
+    rows = packed.join(benchmark(spark, d).withColumnRenamed("query", "question"), "qid").select("qid", "question", F.transform("h", lambda x: x["text"]).alias("documents"), F.transform("h", lambda x: x["score"]).alias("scores"), F.lit("rrf").alias("score_kind"))
+    rows = rows.withColumn("answer", healing.extractive_answer(F.col("question"), F.col("documents")))
+    return healing.verified(rows).select("qid", "passed", "failure", "coverage", "citation_valid", healing.abstention_reason(F.col("failure")).alias("reason"))
+
+
+_SIGNALS = """SELECT o_orderkey AS id, (o_orderkey % 4)::INTEGER AS num_contexts, o_orderkey % 5 <> 0 AS retrieval_sufficient, o_orderkey % 7 = 0 AS is_vague, (o_orderkey % 3) / 2.0::DOUBLE AS coverage,
+(o_orderkey % 2)::INTEGER AS n_missing, o_orderkey % 11 = 0 AS is_refusal, o_orderkey % 13 = 0 AS contradiction, o_orderkey % 17 = 0 AS empty_answer, o_orderkey % 19 <> 0 AS citation_valid, (o_orderkey % 10) / 10.0::DOUBLE AS faithfulness, (o_orderkey % 9) / 9.0::DOUBLE AS relevance FROM orders"""
+
+
+@query("classify_failure", f"""SELECT id, CASE WHEN num_contexts = 0 THEN 'retrieval_failure' WHEN NOT retrieval_sufficient AND is_vague THEN 'query_failure' WHEN NOT retrieval_sufficient AND coverage = 0 AND n_missing > 0 THEN 'query_failure'
+WHEN NOT retrieval_sufficient OR is_refusal THEN 'retrieval_failure' WHEN contradiction THEN 'context_failure' WHEN empty_answer THEN 'generation_failure' WHEN NOT citation_valid THEN 'citation_failure' WHEN faithfulness < 0.7 THEN 'generation_failure' WHEN relevance < 0.7 THEN 'generation_failure' ELSE 'unknown_failure' END AS failure FROM ({_SIGNALS})""")
+def classify_failure(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        k.alias("id"), (k % 4).cast("int").alias("num_contexts"), (k % 5 != 0).alias("retrieval_sufficient"), (k % 7 == 0).alias("is_vague"), ((k % 3) / 2.0).alias("coverage"), (k % 2).cast("int").alias("n_missing"),
+        (k % 11 == 0).alias("is_refusal"), (k % 13 == 0).alias("contradiction"), (k % 17 == 0).alias("empty_answer"), (k % 19 != 0).alias("citation_valid"), ((k % 10) / 10.0).alias("faithfulness"), ((k % 9) / 9.0).alias("relevance"),
+    )
+    return rows.select("id", healing.failure().alias("failure"))
+
+
+@query("route", """SELECT id, CASE WHEN passed THEN 'accept' WHEN attempt >= 3 THEN 'abstain' WHEN failure IN ('retrieval_failure', 'query_failure') THEN 'rewrite_and_retrieve' WHEN failure = 'context_failure' THEN 'expand_context' WHEN last_action = 'regenerate' AND last_failure = failure THEN 'rewrite_and_retrieve' ELSE 'regenerate' END AS action
+FROM (SELECT o_orderkey AS id, o_orderkey % 6 = 0 AS passed, o_orderkey % 3 + 1 AS attempt, ['retrieval_failure', 'query_failure', 'context_failure', 'citation_failure', 'generation_failure'][o_orderkey % 5 + 1] AS failure, CASE WHEN o_orderkey % 2 = 0 THEN 'regenerate' END AS last_action, ['citation_failure', 'generation_failure'][o_orderkey % 2 + 1] AS last_failure FROM orders)""")
+def route(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    names = F.array(*[F.lit(f"{n}_failure") for n in ("retrieval", "query", "context", "citation", "generation")])
+    failed = F.element_at(names, (k % 5 + 1).cast("int"))
+    last = F.element_at(F.array(F.lit("citation_failure"), F.lit("generation_failure")), (k % 2 + 1).cast("int"))
+    return table(spark, d, "orders").select(k.alias("id"), healing.action(k % 6 == 0, k % 3 + 1, F.lit(3), failed, F.when(k % 2 == 0, "regenerate"), last).alias("action"))
+
+
+@query("retry_plan", """SELECT id, least(100, greatest(f * 2, greatest(fk, least(12, fk + 2))))::INTEGER AS fetch_k, greatest(fk, least(12, fk + 2))::INTEGER AS final_k, round(CASE WHEN retry > 1 THEN 0.6 WHEN q THEN 0.85 ELSE 0.35 END::DOUBLE, 6) AS alpha,
+CASE WHEN retry <= 1 OR budget <= 0 THEN budget ELSE least(36000, floor(budget * 1.5)) END::INTEGER AS context_budget, CASE WHEN retry > 1 THEN 'multi_query+broad' WHEN q THEN 'rewrite+dense_bias' ELSE 'rewrite+lexical_bias' END AS strategy
+FROM (SELECT o_orderkey AS id, o_orderkey % 60 AS f, o_orderkey % 15 + 1 AS fk, (o_orderkey % 4) * 10000 AS budget, o_orderkey % 2 = 0 AS q, o_orderkey % 3 AS retry FROM orders)""")
+def retry_plan(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    first = healing.initial_plan((k % 15 + 1).cast("int"), (k % 60).cast("int"), F.lit(False), F.lit(True), ((k % 4) * 10000).cast("int"))
+    plan = table(spark, d, "orders").select(k.alias("id"), first.alias("p"), F.when(k % 2 == 0, "query_failure").otherwise("retrieval_failure").alias("f"), (k % 3).alias("r"))
+    plan = plan.select("id", healing.retry_plan(F.col("p"), F.col("f"), F.col("r")).alias("p"))
+    return plan.select("id", "p.fetch_k", "p.final_k", F.round("p.alpha", 6).alias("alpha"), "p.context_budget", "p.strategy")
+
+
+@query("healing_loop")
+def healing_loop(spark: SparkSession, d: str) -> DataFrame:
+    built = index.build(docs(spark, d))
+    built = index.Index(written(built.postings, "postings"), written(built.lengths, "lengths"))
+    texts = docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+
+    def retrieve(asked: DataFrame) -> DataFrame:
+        hits = stable(index.scores(built, asked), 5).join(texts, "id")
+        packed = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "score"))).alias("h"))
+        return packed.select("qid", F.transform("h", lambda x: x["text"]).alias("documents"), F.transform("h", lambda x: x["score"]).alias("scores"), F.lit("rrf").alias("score_kind"))
+
+    return healing.heal(benchmark(spark, d).withColumnRenamed("query", "question"), retrieve)
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items; a source is expected where it has good documents and the item's number picks it."""
+    good = docs(spark, d).join(table(spark, d, "labels").filter("quality = 1"), "doc_id")
+    sources = good.groupBy("source").agg(F.count("*").alias("n"))
+    picks = benchmark(spark, d).select("qid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("src"), ((F.col("qid") + 2 * i) % 20).cast("string")))).alias("source"))
+    return picks.join(sources, "source").groupBy("qid").agg(F.array_sort(F.collect_list("source")).alias("expected"), F.sum("n").alias("relevant_in_corpus"))
+
+
+_EVAL = f"""{MANY} {BM25}, g AS (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1),
+e AS (SELECT qid, source, n FROM (SELECT qid, 'src' || ((qid + 2 * unnest(range(10))) % 20) AS source FROM q) JOIN g USING (source)),
+x AS (SELECT qid, count(*) AS n_expected, sum(n) AS relevant FROM e GROUP BY 1),
+h AS (SELECT b.qid, b.rank, d.source, (b.qid, d.source) IN (SELECT (qid, source) FROM e) AS rel FROM b JOIN documents d ON d.doc_id = b.id WHERE rank < 10),
+m AS (SELECT x.qid, coalesce(count(DISTINCT CASE WHEN rel THEN source END)::DOUBLE / any_value(n_expected), 0) AS recall, coalesce(count(*) FILTER (WHERE rel), 0) / 10.0::DOUBLE AS precision, coalesce(1.0::DOUBLE / min(CASE WHEN rel THEN rank + 1 END), 0) AS mrr,
+ coalesce(sum(CASE WHEN rel THEN 1.0::DOUBLE / log2(rank + 2) ELSE 0 END) / list_sum(list_transform(range(1, least(10, any_value(relevant))::BIGINT + 1), lambda r: 1.0::DOUBLE / log2(r + 1))), 0) AS ndcg, CASE WHEN min(CASE WHEN rel THEN rank END) IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_rate FROM x LEFT JOIN h USING (qid) GROUP BY 1)"""
+
+
+@query("retrieval_metrics", f"{_EVAL} SELECT qid, round(recall, 6) AS recall, round(precision, 6) AS precision, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, hit_rate FROM m")
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    hits = stable(index.bm25_scores(docs(spark, d), benchmark(spark, d)), 10).join(docs(spark, d).select(F.col("doc_id").alias("id"), "source"), "id")
+    scores = evaluation.query_scores(hits, _questions(spark, d), 10)
+    return scores.select("qid", *[F.round(m, 6).alias(m) for m in evaluation.METRICS])
+
+
+@query("average_precision", f"{_EVAL}, c AS (SELECT qid, rank, rel, sum(rel::INTEGER) OVER (PARTITION BY qid ORDER BY rank)::DOUBLE / (rank + 1) AS p FROM h) SELECT qid, round(coalesce(avg(p) FILTER (WHERE rel), 0), 4) AS average_precision FROM c GROUP BY 1")
+def average_precision(spark: SparkSession, d: str) -> DataFrame:
+    hits = stable(index.bm25_scores(docs(spark, d), benchmark(spark, d)), 10).join(docs(spark, d).select(F.col("doc_id").alias("id"), "source"), "id")
+    rows = hits.join(_questions(spark, d), "qid").select("qid", (F.col("rank") + 1).alias("rank"), F.array_contains("expected", F.col("source")).alias("relevant"))
+    return evaluation.average_precision(rows)
+
+
+@query("calibration_grid")
+def calibration_grid(spark: SparkSession, d: str) -> DataFrame:
+    dense, sparse = _rankings(spark, d, 20)
+    asked = label_questions(spark, d).select("qid").join(docs(spark, d).select(F.col("doc_id").alias("qid"), F.array("source").alias("expected"), F.lit(10).alias("relevant_in_corpus")), "qid")
+    return evaluation.calibration(written(dense, "dense"), written(sparse, "sparse"), asked, docs(spark, d).select(F.col("doc_id").alias("id"), "source"), 5)
+
+
+_RESULTS = "SELECT quality::DOUBLE AS faithfulness, toxic::DOUBLE AS relevance, (doc_id % 10) / 10.0::DOUBLE AS context_precision, (doc_id % 5) / 5.0::DOUBLE AS context_recall, doc_id % 7 AS contexts_used, quality = 1 AND toxic = 0 AS passed FROM labels"
+
+
+@query("eval_summary", f"SELECT count(*) AS count, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed, round(avg(faithfulness), 4) AS avg_faithfulness, round(min(faithfulness), 4) AS min_faithfulness, round(max(faithfulness), 4) AS max_faithfulness, round(count(*) FILTER (WHERE passed) / count(*)::DOUBLE, 4) AS pass_rate, round(avg(relevance), 4) AS avg_answer_relevance, round(avg(context_precision), 4) AS avg_context_precision, round(avg(context_recall), 4) AS avg_context_recall, round(avg(contexts_used), 1) AS avg_contexts_used FROM ({_RESULTS})")
+def eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    rows = table(spark, d, "labels").select(F.col("quality").cast("double").alias("faithfulness"), F.col("toxic").cast("double").alias("relevance"), ((k % 10) / 10.0).alias("context_precision"), ((k % 5) / 5.0).alias("context_recall"), (k % 7).alias("contexts_used"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("passed"))
+    return evaluation.eval_summary(rows)
+
+
+@query("healing_summary", """WITH r AS (SELECT doc_id, quality = 0 AS first_failed, doc_id % 3 = 0 AS recovered, doc_id % 3 + 1 AS attempts, doc_id % 9 = 0 AS abstained, CASE WHEN doc_id % 4 = 0 THEN 'retrieval_failure' ELSE 'citation_failure' END AS ftype, CASE WHEN doc_id % 6 = 0 THEN 'abstain' ELSE 'answer' END AS expected FROM labels)
+SELECT count(*) AS count, round(count(*) FILTER (WHERE first_failed) / count(*)::DOUBLE, 4) AS initial_failure_rate, round(count(*) FILTER (WHERE first_failed AND ftype = 'retrieval_failure') / count(*)::DOUBLE, 4) AS initial_retrieval_failure_rate, round(count(*) FILTER (WHERE first_failed AND recovered) / nullif(count(*) FILTER (WHERE first_failed), 0)::DOUBLE, 4) AS healing_success_rate, round(avg(attempts), 4) AS avg_healing_attempts, round(count(*) FILTER (WHERE abstained) / count(*)::DOUBLE, 4) AS abstention_rate,
+round(count(*) FILTER (WHERE abstained AND expected = 'abstain') / nullif(count(*) FILTER (WHERE expected = 'abstain'), 0)::DOUBLE, 4) AS correct_abstention_rate, round(count(*) FILTER (WHERE abstained AND expected = 'answer') / nullif(count(*) FILTER (WHERE expected = 'answer'), 0)::DOUBLE, 4) AS false_abstention_rate FROM r""")
+def healing_summary(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    rows = table(spark, d, "labels").select(
+        (F.col("quality") == 0).alias("first_attempt_failed"), (k % 3 == 0).alias("recovered"), (k % 3 + 1).alias("attempts"), (k % 9 == 0).alias("abstained"), F.when(k % 4 == 0, "retrieval_failure").otherwise("citation_failure").alias("first_failure_type"), F.when(k % 6 == 0, "abstain").otherwise("answer").alias("expected_behavior"),
+        F.lit(0.8).alias("baseline_faithfulness"), F.lit(0.8).alias("baseline_relevance"), F.lit(False).alias("baseline_refused"), F.lit(0.9).alias("final_faithfulness"), F.lit(0.9).alias("final_relevance"), F.lit(True).alias("citation_valid"), F.lit(1.0).alias("baseline_latency"), F.lit(2.0).alias("healed_latency"),
+    )
+    return evaluation.healing_summary(rows).select("count", "initial_failure_rate", "initial_retrieval_failure_rate", "healing_success_rate", "avg_healing_attempts", "abstention_rate", "correct_abstention_rate", "false_abstention_rate")
+
+
+@query("regression_check", f"{_EVAL}, c AS (SELECT 'bm25' AS mode, unnest(['recall', 'precision', 'mrr', 'ndcg', 'hit_rate']) AS metric, unnest([round(avg(recall), 4), round(avg(precision), 4), round(avg(mrr), 4), round(avg(ndcg), 4), round(avg(hit_rate), 4)]) AS after FROM m) SELECT mode, metric, 1.0::DOUBLE AS before, after FROM c WHERE 1.0::DOUBLE - after > 0.02::DOUBLE")
+def regression_check(spark: SparkSession, d: str) -> DataFrame:
+    hits = stable(index.bm25_scores(docs(spark, d), benchmark(spark, d)), 10).join(docs(spark, d).select(F.col("doc_id").alias("id"), "source"), "id")
+    now = evaluation.mean_scores(evaluation.query_scores(hits, _questions(spark, d), 10)).withColumn("mode", F.lit("bm25"))
+    then = spark.range(1).select(F.lit("bm25").alias("mode"), *[F.lit(1.0).alias(m) for m in evaluation.METRICS])
+    return evaluation.regressions(then, now).drop("drop")
+
+
+# --- state and monitoring ------------------------------------------------------------------------------------------
+
+
+@query("conversation_tail", "SELECT conv_id, turn, role, substring(text, 1, 500) AS text, back::INTEGER AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6")
+def conversation_tail(spark: SparkSession, d: str) -> DataFrame:
+    return state.recent_turns(table(spark, d, "conversations"))
+
+
+@query("follow_up_pairs", "SELECT conv_id, turn, text, previous FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations) WHERE role = 'user' AND previous IS NOT NULL")
+def follow_up_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return state.follow_ups(table(spark, d, "conversations")).select("conv_id", "turn", "text", "previous")
+
+
+@query("sliding_limiter", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS in_window, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) >= 2 AS blocked FROM events")
+def sliding_limiter(spark: SparkSession, d: str) -> DataFrame:
+    return monitoring.limited(table(spark, d, "events"), 2, 300).select("event_id", "in_window", "blocked")
+
+
+@query("error_windows", """WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error'), c AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 21600000000 THEN 0 ELSE 1 END AS cut FROM e), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS span FROM c)
+SELECT user_id, min(t) AS started, max(t) AS ended, count(*) AS failures FROM s GROUP BY user_id, span""")
+def error_windows(spark: SparkSession, d: str) -> DataFrame:
+    spans = monitoring.error_windows(table(spark, d, "events"), F.col("event_type") == "error", 6 * 3600.0, "user_id")
+    return spans.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "failures")
+
+
+@query("latency_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return monitoring.percentiles(table(spark, d, "events"), "value", by=("event_type",))
+
+
+@query("floor_percentile", "SELECT event_type, list_sort(list(value))[least(floor(count(*) * 0.5), count(*) - 1)::BIGINT + 1] AS p50, list_sort(list(value))[least(floor(count(*) * 0.95), count(*) - 1)::BIGINT + 1] AS p95 FROM events GROUP BY 1")
+def floor_percentile(spark: SparkSession, d: str) -> DataFrame:
+    return monitoring.floor_percentiles(table(spark, d, "events"), "value", by=("event_type",))
+
+
+@query("memory_trend", "WITH s AS (SELECT (event_id % 1000)::DOUBLE AS t, value AS mb FROM events) SELECT round(regr_slope(mb, t) * 60, 2) AS trend FROM s WHERE t >= (SELECT max(t) FROM s) / 2")
+def memory_trend(spark: SparkSession, d: str) -> DataFrame:
+    return monitoring.memory_trend(table(spark, d, "events").select((F.col("event_id") % 1000).cast("double").alias("t"), F.col("value").alias("mb")))
+
+
+@query("http_metrics", "SELECT event_type, user_id % 3 AS replica, count(*) AS requests, round(sum(value), 4) AS total, count(*) FILTER (WHERE value <= 10) AS le_10, count(*) FILTER (WHERE value <= 100) AS le_100 FROM events GROUP BY 1, 2")
+def http_metrics(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").withColumn("replica", F.col("user_id") % 3)
+    return monitoring.request_counts(rows, ("event_type", "replica"), "value", (10.0, 100.0)).withColumn("total", F.round("total", 4))
+
+
+@query("phase_summary", "SELECT event_type AS phase, count(*) AS requests, round(count(*) FILTER (WHERE user_id % 10 = 0) / count(*)::DOUBLE, 4) AS error_rate, quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms, quantile_disc(value, 0.99) AS p99_ms, max(value) AS max_ms FROM events GROUP BY 1")
+def phase_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("event_type").alias("phase"), F.col("event_id").cast("double").alias("t"), (F.col("user_id") % 10 != 0).alias("ok"), F.col("value").alias("ms"))
+    return monitoring.phase_summary(rows).drop("per_second")
+
+
+@query("audit_log", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'query' ELSE 'access.denied' END AS action, CASE WHEN event_id % 7 = 0 THEN 'denied' WHEN event_id % 5 = 0 THEN 'success' END AS outcome FROM events WHERE event_id % 5 = 0 OR event_id % 7 = 0")
+def audit_log(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select("event_id", F.lit("POST").alias("method"), F.when(k % 5 == 0, "/query").otherwise("/other").alias("path"), F.when(k % 7 == 0, 403).otherwise(200).alias("status"))
+    return monitoring.audited(rows).select("event_id", "action", "outcome")
+
+
+@query("sessions_join", "SELECT o_orderkey AS token_hash, c_custkey AS user_id, c_name AS username FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey > 5000")
+def sessions_join(spark: SparkSession, d: str) -> DataFrame:
+    sessions = table(spark, d, "orders").select(F.col("o_orderkey").alias("token_hash"), F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("expires_at"))
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
+    return state.session_users(sessions, users, F.lit(5000))
+
+
+@query("prompt_rollback", "SELECT o_custkey AS name, arg_max(o_orderstatus, o_orderkey) AS target FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def prompt_rollback(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("name"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("from_hash"))
+    return state.rollback_target(rows)
+
+
+@query("job_prune", "WITH j AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderdate AS c FROM orders), u AS (SELECT count(*) AS n FROM j WHERE s = 'P'), k AS (SELECT id, row_number() OVER (ORDER BY c DESC, id DESC) AS r FROM j WHERE s <> 'P') SELECT id FROM j WHERE s = 'P' UNION ALL SELECT id FROM k, u WHERE r <= greatest(0, 5000 - n)")
+def job_prune(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "P", "pending").otherwise("completed")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
+    return state.pruned_jobs(rows, 5000).select("id")
+
+
+@query("newest_jobs", "SELECT o_custkey, o_orderkey, position::INTEGER AS position FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS position FROM orders) WHERE position <= 5")
+def newest_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return state.newest(table(spark, d, "orders"), "o_custkey", "o_orderdate", 5, "o_orderkey").select("o_custkey", "o_orderkey", "position")
+
+
+@query("chat_messages", "SELECT conv_id AS id, count(*)::INTEGER AS n, md5(string_agg(text, '|' ORDER BY turn)) AS texts FROM conversations GROUP BY 1")
+def chat_messages(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations")
+    chats = rows.select(F.col("conv_id").alias("id")).distinct()
+    got = state.chat_with_messages(chats, rows.select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("id"), "role", "text"))
+    return got.select("id", F.size("messages").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: m["text"]), "|").cast("binary")).alias("texts"))
+
+
+@query("stream_index_equals_batch", f"{ONE} {BM25} SELECT id, round(score, 4) AS score, rank FROM b WHERE rank < 10")
+def stream_index_equals_batch(spark: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    from braidwork.streaming.ingest import index_stream, read_index
+
+    home = f"{shared_dir(spark)}/braidwork/stream-{uuid.uuid4().hex}"
+    docs(spark, d).select("doc_id", "text").repartition(3).write.parquet(f"{home}/in")
+    schema = docs(spark, d).select("doc_id", "text").schema
+    landing = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    index_stream(landing, f"{home}/index", f"{home}/checkpoint").awaitTermination()
+    hits = index.scores(read_index(spark, f"{home}/index"), one_question(spark))
+    return stable(hits, 10).select("id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
