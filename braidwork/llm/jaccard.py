@@ -5,8 +5,10 @@ common ones last) share a shingle; a linked pair always does. In each such group
 OR-combined bitmaps and size ranges, and a dual traversal drops pairs of nodes whose largest possible overlap is too
 small. What is left is compared set by set.
 
-Groups first link to one member each; a group that is one component by then needs no pair. So a large group of near
-copies costs one comparison per member, while a link between different components is never lost.
+Groups first link to one member each, their hub: the one that shares most of its prefix. Groups of one hub are then
+put together, so that texts which share many shingles meet once; a group that is one component by then needs no pair.
+So a large group of near copies costs one comparison per member, while a link between different components is never
+lost.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import needed, written
-from braidwork.llm.kernels import LOWER, U, Rolling, blocks, gram_hashes, mix, word_spans
+from braidwork.llm.kernels import LOWER, U, Rolling, blocks, gram_hashes, mix, release, word_spans
 
 #: Shingles in more than HEAVY_FROM prefixes go last in the order; the HEAVY_MOST most frequent of them at most, so that their list stays small. The order affects balance only, never the result.
 HEAVY_FROM, HEAVY_MOST = 24, 65_536
 #: Largest group treated as one tree; larger ones are dealt out in cells of pairs of blocks.
 CELL = 1024
 FAN = 8
+#: Bits of a bitmap for each shingle of its set.
+SPARSE = 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +91,10 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _bitmaps(h: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """A bitmap of each set, about one bit per shingle: a power of two from 64, so that larger ones fold onto smaller ones."""
+    """A bitmap of each set, SPARSE bits per shingle at least: a power of two, so that larger ones fold onto smaller ones."""
     out, at = [], 0
     for n in sizes.tolist():
-        m = max(64, 1 << (n - 1).bit_length()) if n else 64
+        m = 64 * SPARSE << max(0, (max(n, 1) - 1) // 64).bit_length()
         bits = np.zeros(m, np.uint8)
         bits[(h[at : at + n] & U(m - 1)).astype(np.int64)] = 1
         out.append(np.packbits(bits, bitorder="little").tobytes())
@@ -105,7 +109,7 @@ def _scan(docs: DataFrame, key: str, text: str, k: int, percent: int, want: str,
     heavy = np.zeros(0, U) if heavy is None else heavy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in blocks(batches, text):
+        for part, data, offsets in blocks(batches, text, 1 << 20):
             h, sizes = shingle_sets(data, offsets, k)
             node, node2 = digests(h, sizes)
             columns = [part.column(part.schema.get_field_index(key)), pa.array(node), pa.array(node2), pa.array(sizes)]
@@ -214,7 +218,7 @@ def group_pairs(cell: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: Bits, p
         rows = np.arange(s, e)
         for w in np.unique(bits.size[rows]):
             # linked sets differ by less than a factor of two: their bitmaps are of one size or of the next
-            mine = rows[(bits.size[rows] == w) | (bits.size[rows] == 2 * w) & (n[rows] * percent <= 64 * w * 100)]
+            mine = rows[(bits.size[rows] == w) | (bits.size[rows] == 2 * w) & (n[rows] * percent * SPARSE <= 64 * w * 100)]
             if len(mine) > 1:
                 i, j = tree_pairs(n[mine], comp[mine], bits.at(mine, int(w)), percent)
                 out_x.append(mine[i])
@@ -250,6 +254,7 @@ def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
                 held.append(batch)
         if held:
             yield pairs(pa.Table.from_batches(held))
+        release()
 
     ordered = rows.select("cell", "node", "n", "comp", "bitmap").repartition("cell").sortWithinPartitions("cell", "n", "node")
     return ordered.mapInArrow(run, "a long, b long").filter("a < b").distinct()
@@ -276,8 +281,9 @@ def _bit_filter(pairs: DataFrame, percent: int) -> DataFrame:
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets really are that similar, compared element by element."""
     pairs = written(pairs, "candidates")
+    parts = 1 + pairs.count() // 10_000
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    who = written(nodes.join(classes.select("node", "first"), "node"), "wanted")
+    who = written(nodes.join(classes.select("node", "first"), "node").coalesce(parts), "wanted")
     keys = needed(who.select(F.col("first").alias(key)).distinct(), "keys")
     sets = _scan(docs.select(key, text).join(keys, key, "left_semi"), key, text, k, percent, "set")
     sets = written(sets.join(who.select("node"), "node", "left_semi").select("node", "items").dropDuplicates(["node"]), "sets")
@@ -293,23 +299,28 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, tex
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     good.append(r)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+        release()
 
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").coalesce(parts), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable over links (a, b); nodes without links are absent.
 
     Every round takes the smallest label among neighbours and then the label's own label; each round is a written
-    table, so lost executors cost one round.
+    table, so lost executors cost one round. Labels are broadcast while their counted rows allow it.
     """
     edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    n = edges.count()
+    parts = 1 + n // 200_000
+    side = F.broadcast if n <= 1_000_000 else (lambda df: df)
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).coalesce(parts), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = labels.join(near, "node").join(hop, "label").select("node", F.least("label", "near", "far").alias("label"), F.col("label").alias("old"))
-        step = written(step, "labels")
+        near = edges.join(side(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        own = labels.select("node", F.col("label").alias("old"))
+        hop = labels.select(F.col("node").alias("old"), F.col("label").alias("far"))
+        step = near.join(side(own), "node").join(side(hop), "old").select("node", F.least("old", "near", "far").alias("label"), "old")
+        step = written(step.coalesce(parts), "labels")
         labels = step.select("node", "label")
         if step.filter("label <> old").isEmpty():
             return labels
@@ -332,8 +343,13 @@ def jaccard_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str
     routes = _scan(docs, key, text, k, percent, "routes", heavy).join(own, [key, "node"], "left_semi")
     routes = written(routes.select("node", "n", "prefix", "bitmap").dropDuplicates(["node"]), "routes")
     rows = routes.select("node", "n", F.explode("prefix").alias("item"))
-    shared = rows.groupBy("item").agg(F.count("*").alias("df"), F.min(F.struct("node", "n")).alias("hub")).filter("df > 1")
-    rows = written(rows.join(shared, "item").select("item", "node", "n", "df", "hub"), "groups")
+    shared = rows.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+    rows = written(rows.join(shared, "item").select("item", "node", "n", "df"), "groups")
+    # a group's hub is the member that shares the largest part of its prefix: the text that the others were made from
+    central = rows.groupBy("node", "n").agg((F.count("*") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("share")).drop("n")
+    rows = rows.join(central, "node")
+    hubs = rows.groupBy("item").agg(F.max(F.struct("share", "node", "n")).alias("hub"))
+    rows = written(rows.drop("share").join(hubs, "item"), "hubs")
     # one comparison per member and group
     star = rows.filter(F.col("node") != F.col("hub.node")).select(F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), F.col("node").alias("b"), F.col("n").alias("n_b"))
     star = star.filter(_size_fits("n_a", "n_b", percent)).distinct()
@@ -341,19 +357,22 @@ def jaccard_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str
     star = star.join(bits.select(F.col("node").alias("a"), F.col("bitmap").alias("bits_a")), "a").join(bits.select(F.col("node").alias("b"), F.col("bitmap").alias("bits_b")), "b")
     links = _linked(_bit_filter(star, percent), docs, classes, key, text, k, percent)
     labels = components(links)
-    # groups of several components: all pairs across components, through trees
-    rows = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    rows = written(rows, "labelled")
-    spread = rows.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("node") == F.col("hub.node"), F.col("comp"))).alias("main"), F.count("*").alias("c"))
-    main = rows.filter(F.col("df") > CELL).join(spread.filter(F.col("c") > CELL).select("item", "main"), "item").groupBy("item").agg(F.sum((F.col("comp") == F.col("main")).cast("long")).alias("n_main"))
-    spread = written(spread.filter("lo <> hi").join(main, "item", "left").select("item", "main", F.ceil(F.coalesce("n_main", F.lit(0)) / CELL).alias("b_main"), F.ceil((F.col("c") - F.coalesce("n_main", F.lit(0))) / CELL).alias("b_rest")), "mixed")
-    rows = rows.join(spread, "item")
+    # groups of several components, by hub: all pairs across components, through trees. Linked texts share a shingle
+    # and so its hub; the pair of a group of two was compared above
+    rows = rows.filter("df > 2").select(F.col("hub.node").alias("hub"), "node", "n").distinct()
+    rows = written(rows.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"), "members")
+    spread = rows.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("node") == F.col("hub"), F.col("comp"))).alias("main"), F.count("*").alias("c"))
+    spread = written(spread.filter("lo <> hi").select("hub", "main", "c"), "mixed")
+    rows = written(rows.join(spread, "hub"), "across")
+    sides = rows.filter(F.col("c") > CELL).groupBy("hub").agg(F.ceil(F.count_if(F.col("comp") == F.col("main")) / CELL).alias("b_main"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / CELL).alias("b_rest"))
+    rows = rows.join(needed(sides.coalesce(1), "sides"), "hub", "left")
     # a large group: blocks of its main component and of the rest; a cell for each pair of blocks but those of the main component alone
-    in_main = (F.col("df") > CELL) & (F.col("comp") == F.col("main"))
+    in_main = F.col("comp") == F.col("main")
     block = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.when(in_main, F.col("b_main")).otherwise(F.col("b_rest"))))
-    cross = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.when(in_main, F.col("b_rest")).otherwise(F.col("b_main"))) - 1), lambda o: F.when(in_main, F.xxhash64("item", F.lit("cross"), o, F.col("block"))).otherwise(F.xxhash64("item", F.lit("cross"), F.col("block"), o)))
-    rest = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.col("b_rest")) - 1), lambda o: F.xxhash64("item", F.lit("rest"), F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
-    cells = F.when(F.col("df") <= CELL, F.array(F.col("item"))).when(in_main, cross).when(F.col("b_main") > 0, F.concat(cross, rest)).otherwise(rest)
+    others = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.when(in_main, F.col("b_rest")).otherwise(F.col("b_main"))) - 1)
+    cross = F.transform(others, lambda o: F.when(in_main, F.xxhash64("hub", F.lit("cross"), o, F.col("block"))).otherwise(F.xxhash64("hub", F.lit("cross"), F.col("block"), o)))
+    rest = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.col("b_rest")) - 1), lambda o: F.xxhash64("hub", F.lit("rest"), F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
+    cells = F.when(F.col("c") <= CELL, F.array(F.col("hub"))).when(in_main, cross).otherwise(F.concat(cross, rest))
     rows = rows.withColumn("block", block).select("node", "n", "comp", F.explode(cells).alias("cell"))
     more = _linked(_tree_join(rows.join(bits, "node"), percent), docs, classes, key, text, k, percent)
     labels = components(links.union(more))

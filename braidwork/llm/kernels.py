@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,15 @@ LOWER[65:91] += 32
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker process outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (the finaliser of splitmix64)."""
     x = x ^ (x >> U(30))
@@ -40,22 +50,27 @@ def _power(kind: str, n: int) -> np.ndarray:
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each batch in slices of about `most` bytes of text (a longer text alone is one slice): the slice, its bytes, and where each text starts and ends in them. Null texts are empty."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(text))
-        lengths = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
-        ends = np.cumsum(lengths)
-        at = 0
-        while at < len(lengths):
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
-            part = batch.slice(at, to - at)
-            values = pc.fill_null(col.slice(at, to - at), "")
-            if isinstance(values, pa.ChunkedArray):
-                values = values.combine_chunks()
-            wide = pa.types.is_large_string(values.type)
-            offsets = np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
-            data = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if values.buffers()[2] is not None else np.zeros(0, np.uint8)
-            yield part, data, offsets - offsets[0]
-            at = to
+        yield from _slices(batch, text, most)
+    release()
+
+
+def _slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    col = batch.column(batch.schema.get_field_index(text))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < len(lengths):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        part = batch.slice(at, to - at)
+        values = pc.fill_null(col.slice(at, to - at), "")
+        if isinstance(values, pa.ChunkedArray):
+            values = values.combine_chunks()
+        wide = pa.types.is_large_string(values.type)
+        offsets = np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+        data = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if values.buffers()[2] is not None else np.zeros(0, np.uint8)
+        yield part, data, offsets - offsets[0]
+        at = to
 
 
 class Rolling:
