@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Token characters, stopwords, question markers, refusal markers.
 TOKEN = "[a-zA-Z0-9À-ɏ]+"
@@ -158,3 +160,41 @@ def normalised_verdicts(verdicts: Column, n: Column) -> Column:
     """Verdicts cut or padded with false to n."""
     given = F.coalesce(verdicts, F.array().cast("array<boolean>"))
     return F.slice(F.concat(given, F.array_repeat(F.lit(False), n)), 1, n)
+
+
+def first_object(text: str) -> str | None:
+    """The first balanced {...} of a text that parses as JSON."""
+    import json
+
+    at = text.find("{")
+    while at >= 0:
+        depth = 0
+        for i in range(at, len(text)):
+            depth += (text[i] == "{") - (text[i] == "}")
+            if depth == 0:
+                try:
+                    json.loads(text[at : i + 1])
+                    return text[at : i + 1]
+                except ValueError:
+                    break
+        at = text.find("{", at + 1)
+    return None
+
+
+@F.pandas_udf(StringType())
+def json_object(texts: pd.Series) -> pd.Series:
+    """The JSON object in a judge's reply, null where there is none."""
+    return texts.map(lambda t: first_object(t) if t else None)
+
+
+def judged(reply: Column) -> Column:
+    """struct<score, verdict> of a judge's reply; without JSON the words true and false decide."""
+    parsed = F.from_json(json_object(reply), "score double, verdict boolean")
+    low = F.lower(reply)
+    guess = F.when(F.contains(low, F.lit("true")) & ~F.contains(low, F.lit("false")), True).otherwise(False)
+    return F.struct(parsed["score"].alias("score"), F.coalesce(parsed["verdict"], guess).alias("verdict"))
+
+
+def localized(messages: DataFrame, catalog: DataFrame, key: str = "message", lang: str = "lang") -> DataFrame:
+    """Messages in their language where the catalogue (message, lang, translation) has them, else as they are."""
+    return messages.join(catalog.select(key, lang, "translation"), [key, lang], "left").withColumn("text", F.coalesce("translation", F.col(key))).drop("translation")

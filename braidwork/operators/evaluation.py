@@ -142,3 +142,21 @@ def recall_of(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """Share of the true neighbours found, per query: both (qid, id)."""
     hit = found.join(truth, ["qid", "id"], "left_semi").groupBy("qid").agg((F.count("*") / k).alias("recall"))
     return truth.select("qid").distinct().join(hit, "qid", "left").fillna(0.0, ["recall"])
+
+
+def context_recall(statements: DataFrame) -> DataFrame:
+    """Share of a reference answer's statements (qid, attributed) that the contexts support, to 4 digits."""
+    return statements.groupBy("qid").agg(F.round(F.avg(F.col("attributed").cast("double")), 4).alias("context_recall"))
+
+
+def paired(baseline: DataFrame, healed: DataFrame, metric: str) -> DataFrame:
+    """Wins, losses and ties of one run over another, question by question (qid, metric)."""
+    both = baseline.select("qid", F.col(metric).alias("_b")).join(healed.select("qid", F.col(metric).alias("_h")), "qid")
+    delta = F.col("_h") - F.col("_b")
+    return both.agg(F.count_if(delta > 1e-9).alias("wins"), F.count_if(delta < -1e-9).alias("losses"), F.count_if(F.abs(delta) <= 1e-9).alias("ties"))
+
+
+def corpus_identity(files: DataFrame) -> DataFrame:
+    """One hash over names and contents (filename, content_hash), whatever their order in the table: 16 hex digits. One short row per file is gathered."""
+    line = F.concat_ws(":", "filename", "content_hash")
+    return files.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256), 1, 16).alias("identity"), F.count("*").alias("files"))

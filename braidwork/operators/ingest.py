@@ -131,3 +131,21 @@ def first_language(rows: DataFrame, key: str = "id", lang: str = "lang") -> Data
     """One row per id: that of the first language that has it."""
     w = Window.partitionBy(key).orderBy(lang)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def deleted(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    return rows.join(ids.select(key), key, "left_anti")
+
+
+def redaction_counts(counts: DataFrame, by: str, column: str = "counts") -> DataFrame:
+    """Counts of all pages of a document together: one row per document and kind."""
+    return counts.select(by, F.explode(column).alias("kind", "n")).groupBy(by, "kind").agg(F.sum("n").alias("n"))
+
+
+def progress(files: DataFrame, samples: int = 100) -> DataFrame:
+    """Counters of an ingest (filename, ok, error, chunks) with the first names and failures; counts are exact, lists are short."""
+    first = lambda c, name: F.slice(F.array_sort(F.collect_list(F.when(c, F.col(name)))), 1, samples)
+    few = files.withColumn("_n", F.row_number().over(Window.partitionBy("ok").orderBy("filename"))).filter(F.col("_n") <= samples)
+    lists = few.agg(first(F.col("ok"), "filename").alias("indexed_names"), first(~F.col("ok"), "error").alias("failures"))
+    totals = files.agg(F.count("*").alias("files_total"), F.count_if("ok").alias("files_indexed"), F.count_if(~F.col("ok")).alias("files_failed"), F.sum(F.when(F.col("ok"), F.col("chunks")).otherwise(0)).alias("chunks_ingested"))
+    return totals.crossJoin(lists)

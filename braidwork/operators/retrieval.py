@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from braidwork.functions.text import lexical_overlap, snippet
 from braidwork.operators.index import top
@@ -15,6 +20,7 @@ from braidwork.operators.ingest import dot, unit
 ALPHA, RRF_K, CONTEXT_CHARS = 0.6, 60, 12_000
 #: Rows of queries that are broadcast to the vectors; more of them are dealt out in blocks.
 QUERY_BLOCK = 2_000
+HASHED_DIM = 64
 
 
 def similarities(queries: DataFrame, vectors: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
@@ -103,3 +109,38 @@ def locator(filename: Column, page: Column) -> Column:
 def sections_of(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     """Each chunk with its parent's text; a chunk without a parent is its own section."""
     return chunks.join(parents.select("parent_id", F.col("content").alias("_section")), "parent_id", "left").withColumn("section_text", F.coalesce("_section", "content")).drop("_section")
+
+
+def judge_context(contexts: DataFrame, by: str = "qid", order: str = "rank") -> DataFrame:
+    """Passages numbered for a judge, an empty line between."""
+    w = Window.partitionBy(by).orderBy(order)
+    part = F.concat(F.lit("[Context "), F.row_number().over(w).cast("string"), F.lit("]\n"), F.col("document"))
+    rows = contexts.withColumn("_n", F.row_number().over(w)).withColumn("_part", part)
+    return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_part"))), lambda x: x["_part"]), "\n\n").alias("context"))
+
+
+def answer_text(answers: DataFrame, cited: DataFrame) -> DataFrame:
+    """Answers (qid, answer) with their sources (qid, rank, filename, page) listed at the end."""
+    line = F.concat(F.lit("["), (F.col("rank") + 1).cast("string"), F.lit("] "), locator(F.col("filename"), F.col("page")))
+    notes = cited.withColumn("_line", line).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_line"))), lambda x: x["_line"]), "\n").alias("_notes"))
+    joined = answers.join(notes, "qid", "left")
+    return joined.withColumn("answer", F.when(F.col("_notes").isNull(), F.col("answer")).otherwise(F.concat("answer", F.lit("\n\nSources:\n"), "_notes"))).drop("_notes")
+
+
+def has_pages(rows: DataFrame) -> bool:
+    """Whether any row in scope stands on a page."""
+    return not rows.filter(F.col("page") >= 1).select(F.lit(1)).limit(1).isEmpty()
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _hashed(texts: pd.Series) -> pd.Series:
+    def vector(text: str | None) -> np.ndarray:
+        codes = np.array([zlib.crc32(w.encode()) for w in re.findall("[a-z0-9À-ɏ]+", (text or "").lower())], np.int64)
+        return np.bincount(codes % HASHED_DIM, weights=1.0 - 2.0 * (codes >> 31), minlength=HASHED_DIM)
+
+    return texts.map(vector)
+
+
+def hashed_embedding(text: Column) -> Column:
+    """A stand-in for a model: words hashed to signed coordinates."""
+    return _hashed(text)

@@ -112,3 +112,34 @@ def ingest_note(names: Column, indexed: Column, failed: Column, total: Column, d
         F.when(status == "cancelled", F.concat(F.lit("Indexing was cancelled after "), done.cast("string"), F.lit(" files."))).when(status == "failed", F.concat(F.lit("Indexing stopped with an error after "), done.cast("string"), F.lit(" files."))),
     )
     return F.array_join(parts, " ")
+
+
+def activated(active: DataFrame, changes: DataFrame, events: DataFrame, at: Column, actor: str) -> tuple[DataFrame, DataFrame]:
+    """The active versions (name, hash) after changes (name, hash), and the activation log with one more row per real change."""
+    old = active.select("name", F.col("hash").alias("from_hash"))
+    real = changes.select("name", F.col("hash").alias("to_hash")).join(old, "name", "left").filter(F.col("from_hash").isNull() | (F.col("from_hash") != F.col("to_hash")))
+    kept = active.select("name", "hash").join(real.select("name"), "name", "left_anti")
+    logged = real.select("name", "from_hash", "to_hash", at.alias("at"), F.lit(actor).alias("actor"))
+    return kept.unionByName(real.select("name", F.col("to_hash").alias("hash"))), events.select(*logged.columns).unionByName(logged)
+
+
+def resolved(shipped: DataFrame, versions: DataFrame, active: DataFrame) -> DataFrame:
+    """The active text of every shipped prompt (name, prompt); the shipped one where none is active."""
+    now = active.select("name", "hash").join(versions.select("name", "hash", F.col("prompt").alias("_active")), ["name", "hash"])
+    return shipped.join(now.select("name", "_active"), "name", "left").select("name", F.coalesce("_active", "prompt").alias("prompt"))
+
+
+def password_changed(users: DataFrame, sessions: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Users with new password hashes (id, password_hash) and no lock, and the sessions of all others."""
+    new = changes.select("id", F.col("password_hash").alias("_new"))
+    out = users.join(new, "id", "left")
+    for c, cleared in (("failed_logins", 0), ("locked_until", None)):
+        if c in users.columns:
+            out = out.withColumn(c, F.when(F.col("_new").isNotNull(), F.lit(cleared)).otherwise(F.col(c)))
+    out = out.withColumn("password_hash", F.coalesce("_new", "password_hash")).drop("_new")
+    return out, without_user(sessions, changes)
+
+
+def standalone(question: Column, rewritten: Column, most: int = 2000) -> Column:
+    """A follow-up as a question of its own; the typed one where the rewrite is empty or too long."""
+    return F.when(F.length(F.trim(F.coalesce(rewritten, F.lit("")))).between(1, most), F.trim(rewritten)).otherwise(question)

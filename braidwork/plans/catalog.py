@@ -569,3 +569,90 @@ def stream_index_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     index_stream(landing, f"{home}/index", f"{home}/checkpoint").awaitTermination()
     hits = index.scores(read_index(spark, f"{home}/index"), one_question(spark))
     return stable(hits, 10).select("id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+# --- composition and the rest --------------------------------------------------------------------------------------
+
+
+@query("search_answers")
+def search_answers(spark: SparkSession, d: str) -> DataFrame:
+    from braidwork.plans.search import Library, answer
+
+    rows = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "source", F.col("source").alias("filename"), F.lit(None).cast("int").alias("page"), F.lit(False).alias("is_last_page"), F.lit(0).alias("chunk_index"), F.lit("shared").alias("owner"), F.lit(False).alias("restricted"), retrieval.hashed_embedding(F.col("text")).alias("embedding"))
+    return answer(Library.of(written(rows, "chunks")), benchmark(spark, d).withColumnRenamed("query", "question"), 3, owners=["shared"])
+
+
+@query("judge_context", f"{MANY} {BM25}, h AS (SELECT qid, rank, substring(text, 1, 60) AS t FROM b JOIN documents ON doc_id = id WHERE rank < 3) SELECT qid, string_agg('[Context ' || (rank + 1) || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY 1")
+def judge_context(spark: SparkSession, d: str) -> DataFrame:
+    hits = stable(index.bm25_scores(docs(spark, d), benchmark(spark, d)), 3)
+    return retrieval.judge_context(hits.join(docs(spark, d), F.col("id") == F.col("doc_id")).select("qid", "rank", F.substring("text", 1, 60).alias("document")))
+
+
+@query("answer_text", "SELECT conv_id AS qid, 'answer' || chr(10) || chr(10) || 'Sources:' || chr(10) || string_agg('[' || turn + 1 || '] ' || role || CASE WHEN turn % 2 = 0 THEN ', p. ' || turn ELSE '' END, chr(10) ORDER BY turn) AS answer FROM conversations GROUP BY 1")
+def answer_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rank"), F.col("role").alias("filename"), F.when(F.col("turn") % 2 == 0, F.col("turn")).alias("page"))
+    return retrieval.answer_text(rows.select("qid", F.lit("answer").alias("answer")).distinct(), rows)
+
+
+@query("context_recall", "SELECT conv_id AS qid, round(avg((role = 'user')::INTEGER), 4) AS context_recall FROM conversations GROUP BY 1")
+def context_recall(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.context_recall(table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), (F.col("role") == "user").alias("attributed")))
+
+
+@query("paired_wins", "SELECT count(*) FILTER (WHERE toxic > quality) AS wins, count(*) FILTER (WHERE toxic < quality) AS losses, count(*) FILTER (WHERE toxic = quality) AS ties FROM labels")
+def paired_wins(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "labels")
+    return evaluation.paired(rows.select(F.col("doc_id").alias("qid"), F.col("quality").alias("m")), rows.select(F.col("doc_id").alias("qid"), F.col("toxic").alias("m")), "m")
+
+
+@query("corpus_identity", "SELECT substring(sha256(string_agg(n_name || ':' || n_regionkey, chr(10) ORDER BY n_name || ':' || n_regionkey)), 1, 16) AS identity, count(*) AS files FROM nation")
+def corpus_identity(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.corpus_identity(table(spark, d, "nation").select(F.col("n_name").alias("filename"), F.col("n_regionkey").cast("string").alias("content_hash")))
+
+
+@query("deleted_rows", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def deleted_rows(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.deleted(docs(spark, d).select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@query("ingest_progress", "SELECT count(*) AS files_total, count(*) FILTER (WHERE doc_id % 10 <> 0) AS files_indexed, count(*) FILTER (WHERE doc_id % 10 = 0) AS files_failed, (sum(n_chars) FILTER (WHERE doc_id % 10 <> 0))::BIGINT AS chunks_ingested FROM documents")
+def ingest_progress(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d).select(F.col("doc_id").cast("string").alias("filename"), (F.col("doc_id") % 10 != 0).alias("ok"), F.when(F.col("doc_id") % 10 == 0, "bad").alias("error"), F.col("n_chars").alias("chunks"))
+    return ingest.progress(rows).drop("indexed_names", "failures")
+
+
+@query("job_transitions", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND s IN ('pending', 'running') THEN 'cancelled' WHEN o_orderkey % 2 = 1 AND s IN ('failed', 'cancelled') THEN 'pending' ELSE s END AS status FROM (SELECT o_orderkey, ['pending', 'running', 'completed', 'failed', 'cancelled'][o_orderkey % 5 + 1] AS s FROM orders)")
+def job_transitions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    now = F.element_at(F.array(*[F.lit(s) for s in ("pending", "running", "completed", "failed", "cancelled")]), (k % 5 + 1).cast("int"))
+    return table(spark, d, "orders").select(k.alias("id"), state.next_status(now, F.when(k % 2 == 0, "cancel").otherwise("retry")).alias("status"))
+
+
+@query("prompt_resolve", "SELECT n_name AS name, coalesce(r_name, 'shipped') AS prompt FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND n_nationkey % 2 = 0")
+def prompt_resolve(spark: SparkSession, d: str) -> DataFrame:
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    versions = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.sha2("r_name", 256).alias("hash"), F.col("r_name").alias("prompt"), "n_nationkey")
+    return state.resolved(nation.select(F.col("n_name").alias("name"), F.lit("shipped").alias("prompt")), versions, versions.filter("n_nationkey % 2 = 0"))
+
+
+@query("job_merge", "SELECT o_custkey AS job_id, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'completed' ELSE 'running' END AS status, max(o_orderkey) AS updated_at FROM orders GROUP BY 1")
+def job_merge(spark: SparkSession, d: str) -> DataFrame:
+    from braidwork.streaming.ingest import job_states
+
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"), F.col("o_orderkey").alias("at"))
+    return job_states(rows)
+
+
+@query("usage_cost", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 0.0::DOUBLE WHEN event_type = 'click' THEN (user_id * 2.0::DOUBLE + 10 * 3.0::DOUBLE) / 1000 ELSE (user_id * 1.0::DOUBLE + 10 * 1.0::DOUBLE) / 1000 END AS cost FROM events")
+def usage_cost(spark: SparkSession, d: str) -> DataFrame:
+    model = F.when(F.col("event_type") == "error", "other").when(F.col("event_type") == "click", "m-large").otherwise("m-small")
+    usage = table(spark, d, "events").select(F.col("event_id").alias("id"), model.alias("model"), F.col("user_id").alias("prompt_tokens"), F.lit(10).alias("completion_tokens"))
+    prices = spark.range(1).select(F.explode(F.array(F.struct(F.lit("m-*").alias("pattern"), F.lit(1.0).alias("prompt_price"), F.lit(1.0).alias("completion_price")), F.struct(F.lit("m-large*").alias("pattern"), F.lit(2.0).alias("prompt_price"), F.lit(3.0).alias("completion_price")))).alias("p")).select("p.*")
+    return monitoring.cost(usage, prices).select("id", "cost")
+
+
+@query("language_of_chunks", "SELECT conv_id, text AS message, 'en' AS lang, coalesce(CASE WHEN role = 'user' THEN upper(role) END, text) AS text FROM conversations WHERE turn = 0")
+def language_of_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").filter("turn = 0").select("conv_id", F.col("text").alias("message"), F.lit("en").alias("lang"), "role")
+    known = rows.filter("role = 'user'").select("message", "lang", F.upper("role").alias("translation")).distinct()
+    return T.localized(rows.drop("role"), known).select("conv_id", "message", "lang", "text")
