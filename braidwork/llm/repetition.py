@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 
 from braidwork.llm.kernels import U, Rolling, blocks, gram_hashes, mix, per_text, word_spans
 
-#: Largest share of a text's word characters that may stand in repeated n-grams, by n-gram length.
-GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: Largest share of a text's word characters that may stand in n-grams that repeat an earlier one, by n-gram length. A sentence said twice in a short text stays under it.
+GRAM_LIMITS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
 #: Largest share of characters in lines that repeat an earlier line.
 LINE_LIMIT = 0.30
 SYMBOLS = b"#*$%&|<>"
@@ -34,12 +34,16 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return twice[at] == keys
 
 
-def _covered(words: np.ndarray, doc: np.ndarray, salt: np.ndarray, n: int) -> np.ndarray:
-    """Marks words inside an n-word window that its text has twice or more."""
+def _covered(words: np.ndarray, doc: np.ndarray, salt: np.ndarray, n: int, first: bool) -> np.ndarray:
+    """Marks words inside an n-word window that its text has twice or more, in the first such window too if `first`."""
     h, at = gram_hashes(words, doc, n)
     edge = np.zeros(len(words) + 1, np.int32)
     if len(h):
-        again = at[_repeated(mix(h ^ salt[doc[at]]))]
+        keys = mix(h ^ salt[doc[at]])
+        rows = np.flatnonzero(_repeated(keys))
+        if not first and len(rows):
+            rows = np.delete(rows, np.unique(keys[rows], return_index=True)[1])
+        again = at[rows]
         np.add.at(edge, again, 1)
         np.add.at(edge, again + n, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -78,8 +82,8 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: Sequence[int]) -> di
     np.cumsum(chars, out=word_points[1:])
     in_line = word_points[np.searchsorted(starts, line_end)] - word_points[np.searchsorted(starts, line_start)]
     out["dup_line_chars"] = per_text(in_line * later, owner, n)
-    out["n_repeat_words"] = per_text(_covered(words, doc, salt, 3).astype(np.int64), doc, n)
-    grams = [per_text(chars * _covered(words, doc, salt, k), doc, n) for k in lengths]
+    out["n_repeat_words"] = per_text(_covered(words, doc, salt, 3, True).astype(np.int64), doc, n)
+    grams = [per_text(chars * _covered(words, doc, salt, k, False), doc, n) for k in lengths]
     out["dup_gram_chars"] = np.stack(grams, axis=1) if grams else np.zeros((n, 0), np.int64)
     return out
 
