@@ -50,22 +50,27 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(qid, id, score) of every document with a query term, from texts, without building an index.
+    """(qid, id, score) of every document with a query term, from texts, without a stored index.
 
-    One pass over the texts keeps only postings of query terms. Repeated query terms count as often as they stand.
-    Statistics are those of the whole corpus.
+    Only query terms are counted by document; all others are only counted for the statistics, which are those of the
+    whole corpus.
     """
-    return scores(build(docs, key, text), queries)
+    wanted = queries.select(F.explode(tokens(F.col("query"))).alias("term")).distinct()
+    said = docs.select(F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("term"))
+    postings = said.join(wanted, "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
+    return scores(build(docs, key, text), queries, postings)
 
 
-def scores(index: Index, queries: DataFrame) -> DataFrame:
-    """(qid, id, score). queries: (qid, query); a negative IDF becomes EPSILON times the mean IDF."""
+def scores(index: Index, queries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score). queries: (qid, query); repeated terms count as often as they stand; a negative IDF becomes EPSILON times the mean IDF. postings: those of the query terms, if they are at hand."""
     asked = queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     stats = index.stats().select("n", (F.col("total_tokens") / F.col("n")).alias("avgdl"), "avg_idf")
-    idf = index.frequencies.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(stats))
+    postings = index.postings if postings is None else postings
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(stats))
     raw = raw_idf(F.col("n"), F.col("df"))
     idf = idf.select("term", F.when(raw < 0, EPSILON * F.col("avg_idf")).otherwise(raw).alias("idf"), "avgdl")
-    hits = index.postings.join(asked.join(idf, "term"), "term").join(index.lengths, "id")
+    hits = postings.join(asked.join(idf, "term"), "term").join(index.lengths, "id")
     weight = F.col("times") * F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.withColumn("w", weight).groupBy("qid", "id").agg(F.sum("w").alias("score"))
 
