@@ -20,7 +20,7 @@ from braidwork.llm.tokens import token_pieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language has a smaller mean probability has no language that can be told.
-SURE = 0.4
+SURE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
