@@ -109,7 +109,7 @@ def _scan(docs: DataFrame, key: str, text: str, k: int, percent: int, want: str,
     heavy = np.zeros(0, U) if heavy is None else heavy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in blocks(batches, text, 1 << 20):
+        for part, data, offsets in blocks(batches, text, 1 << 19):
             h, sizes = shingle_sets(data, offsets, k)
             node, node2 = digests(h, sizes)
             columns = [part.column(part.schema.get_field_index(key)), pa.array(node), pa.array(node2), pa.array(sizes)]
@@ -281,9 +281,9 @@ def _bit_filter(pairs: DataFrame, percent: int) -> DataFrame:
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets really are that similar, compared element by element."""
     pairs = written(pairs, "candidates")
-    parts = 1 + pairs.count() // 10_000
+    n_pairs = pairs.count()
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    who = written(nodes.join(classes.select("node", "first"), "node").coalesce(parts), "wanted")
+    who = written(nodes.join(classes.select("node", "first"), "node").coalesce(1 + n_pairs // 10_000), "wanted")
     keys = needed(who.select(F.col("first").alias(key)).distinct(), "keys")
     sets = _scan(docs.select(key, text).join(keys, key, "left_semi"), key, text, k, percent, "set")
     sets = written(sets.join(who.select("node"), "node", "left_semi").select("node", "items").dropDuplicates(["node"]), "sets")
@@ -301,7 +301,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, tex
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
         release()
 
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").coalesce(parts), "links")
+    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").coalesce(1 + n_pairs // 500), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -214,7 +214,7 @@ def identify(docs: DataFrame, tagger: Tagger, text: str = "text", names: tuple[s
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried] + [f"{names[0]} string", f"{names[1]} double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, _ in blocks(batches, text, 1 << 19):
+        for part, _, _ in blocks(batches, text, 1 << 17):
             texts = [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
             found, score = tagger.predict(texts) if tagger.languages else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in carried], pa.array(found, pa.string()), pa.array(score)], names=[*carried, *names])

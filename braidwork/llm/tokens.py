@@ -43,20 +43,27 @@ def _unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file; knows at most `most` units, as sorted hashes with their ids in one array."""
+    """Ids of texts by a tokenizers file. Knows about `most` units at most, as sorted hashes with their ids in one array; when it is full, units that were not met again go."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
-        self._forget()
+        self.hashes, self.starts, self.sizes = np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.met = np.zeros(0, bool)
+        self.ids, self.n_ids = np.zeros(1 << 16, "<u4"), 0
 
     def _forget(self) -> None:
-        self.hashes, self.starts, self.sizes = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.n_ids = np.zeros(1 << 16, "<u4"), 0
+        kept = np.flatnonzero(self.met)
+        kept = kept[: self.most // 2]
+        sizes = self.sizes[kept].astype(np.int64)
+        total = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[kept] - (total - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.hashes, self.starts, self.sizes = self.hashes[kept], (total - sizes).astype(np.int32), self.sizes[kept]
+        self.met, self.ids, self.n_ids = np.zeros(len(kept), bool), np.concatenate([ids, np.zeros(1 << 16, "<u4")]), len(ids)
 
     def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
         found = []
@@ -70,7 +77,8 @@ class Encoder:
         starts = self.n_ids + np.cumsum(sizes) - sizes
         self.n_ids += len(flat)
         at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.starts, self.sizes = np.insert(self.hashes, at, hashes), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+        self.hashes, self.starts, self.sizes = np.insert(self.hashes, at, hashes), np.insert(self.starts, at, starts.astype(np.int32)), np.insert(self.sizes, at, sizes.astype(np.int32))
+        self.met = np.insert(self.met, at, False)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
@@ -86,11 +94,13 @@ class Encoder:
             self._forget()
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
         new = np.flatnonzero(self.hashes[at] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(self.hashes):
+            self.met[at[self.hashes[at] == hashes]] = True
         if len(new):
             self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self.hashes, hashes)
         at = at[which] if len(hashes) else at
-        size = self.sizes[at]
+        size = self.sizes[at].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.starts[at] - total[:-1], size) + np.arange(total[-1])]
         return ids, np.diff(total[np.searchsorted(start, offsets)])
@@ -108,7 +118,7 @@ def encoder(path: str) -> Encoder:
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with all ids in a row, the end id after each text, and each text's number of ids with it; null texts count as empty."""
-    for part, data, offsets in blocks(batches, text):
+    for part, data, offsets in blocks(batches, text, 1 << 20):
         ids, sizes = encoder(path).encode(data, offsets)
         yield part, np.insert(ids, np.cumsum(sizes), np.uint32(end_id)), sizes + 1
 
