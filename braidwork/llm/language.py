@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.kernels import U, Rolling, blocks, word_spans
+from braidwork.llm.kernels import U, Rolling, blocks, release, word_spans
 
 BITS = 17
 CHUNK = 32
@@ -71,6 +71,21 @@ def words_of(texts: list[str]) -> Words:
     return Words(items, weights, edges, owner, start, end)
 
 
+def _in_parts(texts: list[str], most: int = 100_000) -> Words:
+    """words_of for many texts, made of parts of about `most` characters: what is needed besides the result stays small."""
+    parts, at = [], 0
+    while at < len(texts) or not parts:
+        to, size = at + 1, 0
+        while to < len(texts) and size < most:
+            size += len(texts[to])
+            to += 1
+        w = words_of(texts[at:to])
+        parts.append(Words(w.items, w.weights, np.diff(w.edges), w.owner + at, w.starts, w.ends))
+        at = to
+    joined = {f: np.concatenate([getattr(p, f) for p in parts]) for f in ("items", "weights", "edges", "owner", "starts", "ends")}
+    return Words(**joined | {"edges": np.concatenate([[0], np.cumsum(joined["edges"])])})
+
+
 def _normal(x: np.ndarray, axes: int = 1) -> np.ndarray:
     return x / x.sum(axis=tuple(range(x.ndim - axes, x.ndim)), keepdims=True)
 
@@ -146,7 +161,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
     weights, moves = np.zeros((1 << BITS, L), np.float32), np.zeros((L, L))
     if L < 2:
         return Tagger(weights, moves, languages)
-    words = words_of(texts)
+    words = _in_parts(texts)
+    release()
     truth = np.array([languages.index(y) for y in labels])[words.owner]
     # stretches of 8 to 40 words in a random order
     cuts = np.unique(np.concatenate([[0, len(truth)], np.cumsum(rng.integers(8, 41, max(1, len(truth) // 8)))]))
