@@ -21,7 +21,7 @@ from braidwork.llm.kernels import U, Rolling, blocks, mix
 
 #: Bytes before which a text may be cut, by the byte before. A blank starts a new piece unless a blank follows it
 #: (bytes that may begin a wider blank count as blanks); so do closing marks and line ends after a letter or mark,
-#: and letters after a line end. Cuts are free to be missed, never to be wrong.
+#: and letters after a single line end. Cuts are free to be missed, never to be wrong.
 _SOLID = np.zeros(256, bool)
 _SOLID[0x21:0x7F] = True
 _SOLID[0xC3:] = True
@@ -36,8 +36,10 @@ def _unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         here, before = data[1:], data[:-1]
-        cut[1:-1] = _MARK[here] & _LETTER[before] | (here == 10) & _SOLID[before] & (before < 128) | _LETTER[here] & (before == 10)
+        cut[1:-1] = _MARK[here] & _LETTER[before] | (here == 10) & _SOLID[before] & (before < 128)
         cut[1:-2] |= (here[:-1] == 32) & _SOLID[data[2:]]
+        # a line end alone before a letter; of a longer run the last blank is a piece of its own
+        cut[2:-1] |= _LETTER[data[2:]] & (data[1:-1] == 10) & _SOLID[data[:-2]] & (data[:-2] < 128)
     cut[offsets] = True
     return np.flatnonzero(cut[:-1])
 
@@ -106,20 +108,21 @@ class Encoder:
         return ids, np.diff(total[np.searchsorted(start, offsets)])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file: later tasks find its units known."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, units: int = 700_000) -> Encoder:
+    """One encoder per worker process, file and number of units kept: later tasks find their units known."""
+    if (path, units) not in _encoders:
+        _encoders.clear()
+        _encoders[path, units] = Encoder(path, units)
+    return _encoders[path, units]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text", units: int = 700_000, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with all ids in a row, the end id after each text, and each text's number of ids with it; null texts count as empty."""
-    for part, data, offsets in blocks(batches, text, 1 << 20):
-        ids, sizes = encoder(path).encode(data, offsets)
+    for part, data, offsets in blocks(batches, text, most):
+        ids, sizes = encoder(path, units).encode(data, offsets)
         yield part, np.insert(ids, np.cumsum(sizes), np.uint32(end_id)), sizes + 1
 
 
@@ -260,7 +263,7 @@ def unpack_ids(data: bytes) -> np.ndarray:
     return out
 
 
-def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> None:
+def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", units: int = 1_500_000) -> None:
     """Writes every text's ids with end_id to `out`, in ascending key order (null keys first, ties by text hash).
 
     A file is a Parquet file of segments. A segment holds whole texts: shard, segment, before (ids of its shard
@@ -271,7 +274,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 2, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before = TaskContext.get().partitionId(), 0
-        for segment, (part, ids, lengths) in enumerate(encoded(batches, path, end_id, text)):
+        for segment, (part, ids, lengths) in enumerate(encoded(batches, path, end_id, text, units, 1 << 21)):
             keys = part.column(part.schema.get_field_index(key))
             one = pa.array([0, len(lengths)], pa.int32())
             yield pa.RecordBatch.from_arrays(

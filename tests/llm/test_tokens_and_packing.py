@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -29,7 +29,8 @@ def plain(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=1500, deadline=None)
+@example(["\n\nT", "a\n\nT", "\nT", "a\nT", "a \nT.\n\n b"])
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab'sT.,;\n\t  \xa0é😀1-")), max_size=30), min_size=1, max_size=5))
 def test_units_give_the_library_ids(texts):
     e = tokens.encoder(tokenizer_path())
