@@ -36,8 +36,10 @@ def test_repetition_verdict(spark):
     random.seed(3)
     fresh = " ".join(f"w{random.randrange(10**6)}" for _ in range(300))
     passage = " ".join(f"p{i}" for i in range(30))
-    docs = spark.createDataFrame([(0, fresh), (1, (fresh + " ") + (passage + " ") * 3), (2, fresh.replace(" ", "\n") + "\n" + "the same line again\n" * 80)], "doc_id int, text string")
+    docs = spark.createDataFrame([(0, fresh), (1, (fresh + " ") + (passage + " ") * 40), (2, fresh.replace(" ", "\n") + "\n" + "the same line again\n" * 80)], "doc_id int, text string")
     assert {r.doc_id: r.kept for r in repetition(docs).collect()} == {0: True, 1: False, 2: False}
+    twice = spark.createDataFrame([(0, fresh + "\n" + fresh[:200] + "\n" + fresh[:200])], "doc_id int, text string")
+    assert repetition(twice).first().kept
 
 
 def test_repetition_on_documents(spark, small):
