@@ -44,7 +44,8 @@ def html_text(html: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)</?(p|div|li|tr|h[1-6]|br|section|article)\b[^>]*>", "\n"), r"<[^>]+>", " ")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    lines = F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(lines, r"^\s+|\s+$", "")
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
