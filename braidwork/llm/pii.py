@@ -27,7 +27,7 @@ BASE = {
 }
 #: Generators of further candidates, of high recall and low precision.
 PROPOSE = {
-    "email": (r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20)[a-z0-9-]{1,63}+(?:(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20|\.)[a-z0-9-]{1,63}+){1,8}+", lambda t: t.rlike(r"(?i)[\[({\x20]at[\])}\x20]") & t.rlike(r"(?i)[\[({\x20]dot[\])}\x20]")),
+    "email": (r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20)[a-z0-9-]{1,63}+(?:(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20|\.)[a-z0-9-]{1,63}+){1,8}+", lambda t: t.rlike(r"(?i)[\[({\x20]at[\])}\x20]")),
     "ip": (r"(?i)(?<![0-9a-z:])[0-9a-f]{1,4}+(?::[0-9a-f]{1,4}+){3,7}+(?![0-9a-z:])", lambda t: t.rlike(r"(?i)[0-9a-f]:[0-9a-f]{1,4}+:")),
     "card": (r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])", lambda t: t.rlike(r"[0-9][0-9\x20-]{12}")),
     "phone": (r"(?<![0-9+])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{2,4}[\x20.-][0-9]{2,5}(?:[\x20.-][0-9]{1,4})?(?![0-9])", lambda t: t.rlike(r"[0-9]{2}[)\x20./-]")),

@@ -62,6 +62,13 @@ def test_added_spans_and_redaction(spark):
     assert got == {0: "call [PHONE] now", 1: "mail [EMAIL]", 2: "on 2024-05-12 and", 3: "x [PHONE] [EMAIL]", 4: "plain", 5: None}
 
 
+def test_bracketed_at_before_a_plain_dot(spark):
+    texts = ["contact: maria42[at]example.com", "anna.k [at] mail.com", "write to b_lee(at)post9.org now", "he was at home.The next"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.t for r in pii.find_spans(df).select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {0: "contact: [EMAIL]", 1: "[EMAIL]", 2: "write to [EMAIL] now", 3: texts[3]}
+
+
 def test_pii_runs_no_python(odd):
     plan = pii.find_spans(odd)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
