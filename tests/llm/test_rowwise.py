@@ -42,6 +42,16 @@ def test_repetition_verdict(spark):
     assert repetition(twice).first().kept
 
 
+def test_repetition_verdict_beside_the_base(spark):
+    fresh, passage = [f"w{i:04}" for i in range(300)], " ".join(f"p{i:04}" for i in range(30))
+    thrice = " ".join([*fresh[:100], passage, *fresh[100:200], passage, *fresh[200:], passage])
+    sentence = " ".join(f"s{i:04}" for i in range(12))
+    twice = " ".join([sentence, *fresh[:60], sentence])
+    rows = repetition(spark.createDataFrame([(0, thrice), (1, twice)], "doc_id int, text string")).collect()
+    assert not any(r.base_failed for r in rows)
+    assert {r.doc_id: r.kept for r in rows} == {0: False, 1: True}
+
+
 def test_repetition_on_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
