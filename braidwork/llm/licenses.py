@@ -1,8 +1,9 @@
-"""Licence scan: normalised lines, paragraphs and whole texts against licence templates by Dice over word bigrams.
+"""Licence scan: normalised lines, paragraphs, whole texts and word windows against licence templates by Dice over word bigrams.
 
 DataFrame functions only, row by row: nothing is shuffled. Two prunings lose no match. A text is looked into only if
 it has a word out of those that no matching passage can do without; a passage meets only templates whose number of
-bigrams is near enough to its own.
+bigrams is near enough to its own. Windows have a template's number of words and stand where one of the bigrams that
+no match can do without would place the template.
 """
 
 from __future__ import annotations
@@ -25,6 +26,30 @@ TEMPLATES = {
     "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE"
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Licence texts: the short ones whole, without their copyright lines; of each long one a passage that it alone has. A parameter of the scan.
+TEXTS = {
+    "0bsd-text": f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {_AS_IS}",
+    "agpl-3.0-opening": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "apache-2.0-definitions": "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.",
+    "bsd-2-clause-text": f"{_BSD_CONDITIONS} {_BSD_DISCLAIMER}",
+    "bsd-3-clause-text": f"{_BSD_CONDITIONS} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_DISCLAIMER}",
+    "bsl-1.0-text": f"Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. {_WARRANTY}, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "cc-by-4.0-opening": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License",
+    "cc0-1.0-opening": "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an \"owner\") of an original work of authorship and/or a database (each, a \"Work\").",
+    "epl-2.0-opening": "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.",
+    "gpl-2.0-opening": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "gpl-3.0-opening": "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
+    "isc-text": f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {_AS_IS}",
+    "lgpl-3.0-opening": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "mit-text": f"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_WARRANTY} AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "mpl-2.0-definitions": "\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+    "unlicense-text": f"This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. {_WARRANTY} AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
 DICE = 0.8
 
 
@@ -37,14 +62,15 @@ def _bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def _anchor_bigrams(text: str, dice: float) -> list[str]:
+    """Bigrams of which every passage that matches a template has one. It shares over dice/(2-dice) of the template's, so it has one out of any set that leaves fewer outside; the set with the longest words is taken."""
+    grams = sorted(_bigrams(text), key=lambda g: (-max(map(len, g.split())), g))
+    return grams[: len(grams) - int(-(-len(grams) * dice // (2 - dice))) + 1]
+
+
 def _anchors(templates: dict[str, str], dice: float) -> list[str]:
-    """Words of which every matching passage has one. It shares over dice/(2-dice) of a template's bigrams, so it has one out of any set that leaves fewer outside; the set with the longest words is taken."""
-    words = set()
-    for text in templates.values():
-        grams = sorted(_bigrams(text), key=lambda g: (-max(map(len, g.split())), g))
-        least = -(-len(grams) * dice // (2 - dice))
-        words |= {max(g.split(), key=lambda w: (len(w), w)) for g in grams[: len(grams) - int(least) + 1]}
-    return sorted(words)
+    """Words of which every matching passage has one: the longest of each anchor bigram."""
+    return sorted({max(g.split(), key=lambda w: (len(w), w)) for text in templates.values() for g in _anchor_bigrams(text, dice)})
 
 
 def normalised(text: Column) -> Column:
@@ -60,11 +86,12 @@ def bigrams(text: Column) -> Column:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, dice: float = DICE, text: str = "text") -> DataFrame:
     """docs without the text, with license_id and license_score of the best match, and license_ids, all matched ones.
 
-    Lines, paragraphs (between empty lines) and the whole text are each compared to all templates; ties go to the
+    Lines, paragraphs (between empty lines), the whole text, and windows of a template's length around its anchor
+    bigrams anywhere in the text are compared to all templates, by default TEMPLATES and TEXTS; ties go to the
     smaller id. Null, empty and unmatched texts have a null license_id and score and an empty list. Rows are
     independent; an empty table gives an empty one; columns named as an output are replaced.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES | TEXTS if templates is None else templates
     names = ["license_id", "license_score", "license_ids"]
     kept = [c for c in docs.columns if c != text and c not in names]
     anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(_anchors(templates, dice)) + ")(?![a-z0-9])"
@@ -74,12 +101,16 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, dice
     wholes = F.filter(F.array_distinct(F.concat(F.split(text, r"\n\s*\n", -1), F.array(F.col(text)))), lambda p: p.rlike(anchor) & F.contains(p, F.lit("\n")))
     passages = F.when(has, F.array_distinct(F.transform(F.concat(lines, wholes), normalised))).otherwise(none)
     df = docs.select(*kept, text).withColumn("_p", passages).withColumn("_g", F.transform("_p", bigrams))
+    anchors = {name: _anchor_bigrams(t, dice) for name, t in templates.items()}
+    df = df.withColumn("_w", F.when(has, F.split(normalised(F.col(text)), " ")).otherwise(none))
+    df = df.withColumn("_h", _hits("_w", sorted({g for grams in anchors.values() for g in grams})))
     found = []
     for name in sorted(templates):
         grams = _bigrams(templates[name])
         least, most = len(grams) * dice / (2 - dice), len(grams) * (2 - dice) / dice
         near = F.filter("_g", _between(least, most))
-        best = F.array_max(F.transform(near, _dice(grams)))
+        within = F.transform(_windows("_w", "_h", _words(templates[name]), anchors[name]), lambda w: bigrams(F.array_join(w, " ")))
+        best = F.array_max(F.transform(F.concat(near, within), _dice(grams)))
         found.append(F.struct(best.alias("score"), F.lit(name).alias("id")))
     matched = F.filter(F.array(*found), lambda m: m["score"] >= dice)
     df = df.withColumn("_m", matched)
@@ -88,6 +119,27 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, dice
     return df.select(*kept, top["id"].alias("license_id"), (-top["s"]).alias("license_score"), F.array_sort(F.transform("_m", lambda m: m["id"])).alias("license_ids"))
 
 
+def _hits(words: str, grams: list[str]) -> Column:
+    """array<struct<at, g>> of the given bigrams among the words, with the places of their first words from 1."""
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    placed = F.transform(pairs, lambda g, i: F.struct((i + 1).alias("at"), g.alias("g")))
+    return F.filter(placed, lambda h: h["g"].isin(grams))
+
+
+def _windows(words: str, hits: str, template: list[str], anchors: list[str]) -> Column:
+    """Windows of as many words as the template has, placed by each hit of an anchor at each of the anchor's places in the template; no longer than the text."""
+    wanted = set(anchors)
+    places: dict[str, list[int]] = {}
+    for j, (a, b) in enumerate(zip(template, template[1:], strict=False)):
+        if f"{a} {b}" in wanted:
+            places.setdefault(f"{a} {b}", []).append(j)
+    offsets = F.create_map(*[x for g, js in sorted(places.items()) for x in (F.lit(g), F.array(*[F.lit(j) for j in js]))])
+    last = F.greatest(F.size(words) - len(template) + 1, F.lit(1))
+    mine = F.filter(hits, lambda h: h["g"].isin(sorted(wanted)))
+    starts = F.flatten(F.transform(mine, lambda h: F.transform(F.element_at(offsets, h["g"]), lambda j: F.greatest(F.lit(1), F.least(last, h["at"] - j)))))
+    return F.transform(F.array_distinct(starts), lambda s: F.slice(words, s, len(template)))
+
+
 def _between(least: float, most: float):
     return lambda g: (F.size(g) >= least) & (F.size(g) <= most)
 
@@ -98,7 +150,7 @@ def _dice(grams: list[str]):
 
 
 def oracle(templates: dict[str, str] | None = None, dice: float = DICE) -> str:
-    """DuckDB SQL for scan_licenses over documents, without the prunings; the list is comma-joined as there."""
+    """DuckDB SQL for scan_licenses over documents, without the prunings, the windows and, by default, TEXTS; the list is comma-joined as there."""
     templates = TEMPLATES if templates is None else templates
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(templates.items()))
     norm = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"

@@ -154,3 +154,11 @@ def test_licences(spark):
     rows = licenses.scan_licenses(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, license_id string")).collect()
     assert {r.doc_id: r.license_id for r in rows} == {0: "mit", 1: "mit", 2: None, 3: None, 4: None, 5: "mit-permission", 6: None}
     assert all(r.license_score == 1.0 for r in rows if r.license_id)
+
+
+def test_licences_inside_passages_and_whole_texts(spark):
+    isc, mit = licenses.TEXTS["isc-text"], licenses.TEXTS["mit-text"]
+    texts = ["Copyright 2020 Jane Roe. Released under the MIT License, see LICENSE.", "word " * 300 + isc.replace(" ", "\n", 9) + " other" * 200, f"so {mit} more", "The MIT License is one of many", isc[:200]]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {r.doc_id: r.license_id for r in rows} == {0: "mit", 1: "isc-text", 2: "mit-text", 3: None, 4: None}
+    assert {r.doc_id: r.license_ids for r in rows}[2] == ["mit-permission", "mit-text"]
