@@ -1,13 +1,16 @@
 """Registered queries of the engine and their DuckDB oracles.
 
-Every query runs over its whole tables. A limit stands only where it is the feature: a top-k report.
+Queries run over whole tables, and a limit stands where it is the feature, a top-k report. Six are cut, as their SQL is:
+context_block and judge_context take the first 80 and 60 characters of a passage, vector_topk, vector_topk_filtered and
+hybrid_rrf ask with one row per label (hybrid_rrf with the first 60 characters of its text), language_of_chunks takes
+first turns. Their operators are not cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as T
@@ -268,11 +271,10 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return index.top(hits.withColumn("score", F.round("score", 9)), 5).select("qid", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _rankings(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """Vector and keyword rankings of the same questions: the vector and the text of the row with that id."""
-    vectors = label_questions(spark, d)
+def _rankings(spark: SparkSession, d: str, k: int, vectors: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
+    """Vector and keyword rankings of the same questions: the vector and `text` of the row with that id."""
     dense = index.top(retrieval.similarities(vectors, table(spark, d, "embeddings"), "vec_id").withColumn("score", F.round("score", 9)), k)
-    asked = vectors.join(docs(spark, d), vectors.qid == F.col("doc_id")).select("qid", F.substring("text", 1, 60).alias("query"))
+    asked = vectors.join(docs(spark, d), vectors.qid == F.col("doc_id")).select("qid", text.alias("query"))
     return dense, stable(index.bm25_scores(docs(spark, d), asked), k)
 
 
@@ -282,7 +284,7 @@ _FUSED = "coalesce(x.qid, y.qid) AS qid, coalesce(x.id, y.id) AS id, {a}::DOUBLE
 
 @query("hybrid_rrf", f"{_BOTH}, f AS (SELECT {_FUSED.format(a=0.6, r=60)}) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) - 1 AS rank FROM f QUALIFY rank < 20")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    dense, sparse = _rankings(spark, d, 20)
+    dense, sparse = _rankings(spark, d, 20, label_questions(spark, d), F.substring("text", 1, 60))
     fused = retrieval.weighted_rrf(dense, sparse, 40)
     return index.top(fused.withColumn("score", _fused_score()).select("qid", "id", "score"), 20).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -429,8 +431,10 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
 
 @query("calibration_grid")
 def calibration_grid(spark: SparkSession, d: str) -> DataFrame:
-    dense, sparse = _rankings(spark, d, 20)
-    asked = label_questions(spark, d).select("qid").join(docs(spark, d).select(F.col("doc_id").alias("qid"), F.array("source").alias("expected"), F.lit(10).alias("relevant_in_corpus")), "qid")
+    """Every vector whose id is divisible by 50 asks, with the whole text of the document of that id."""
+    vectors = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
+    dense, sparse = _rankings(spark, d, 20, vectors, F.col("text"))
+    asked = vectors.select("qid").join(docs(spark, d).select(F.col("doc_id").alias("qid"), F.array("source").alias("expected"), F.lit(10).alias("relevant_in_corpus")), "qid")
     return evaluation.calibration(written(dense, "dense"), written(sparse, "sparse"), asked, docs(spark, d).select(F.col("doc_id").alias("id"), "source"), 5)
 
 

@@ -43,3 +43,12 @@ def test_filters_reach_the_scan(spark, small):
     plan = catalog.QUERIES["scope_filter"](spark, small)._jdf.queryExecution().toString()
     physical = plan.split("== Physical Plan ==")[1]
     assert "PushedFilters: [" in physical and "In(source" in physical
+
+
+def test_calibration_asks_with_the_stated_questions_and_whole_texts(spark, small, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog.index, "bm25_scores", lambda docs, asked, f=catalog.index.bm25_scores: seen.append(asked) or f(docs, asked))
+    catalog.QUERIES["calibration_grid"](spark, small)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    ids = {r.vec_id for r in spark.read.parquet(f"{small}/embeddings.parquet").collect() if r.vec_id % 50 == 0}
+    assert {r.qid: r.query for r in seen[0].collect()} == {i: texts[i] for i in ids if i in texts}
