@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.kernels import U, Rolling, blocks, release, word_spans
@@ -207,14 +207,13 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
     return Tagger(weights, moves, languages)
 
 
-def language_sample(docs: DataFrame, most: int = 150, languages: int = 64, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
-    """Texts and languages of about `most` rows of each of the most frequent languages, by the hash of the key."""
-    counts = {r[lang]: r["n"] for r in docs.filter(F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(languages).collect()}
+def language_sample(docs: DataFrame, most: int = 150, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
+    """Texts and languages of about `most` rows of each language, by the hash of the key."""
+    counts = {r[lang]: r["n"] for r in docs.filter(F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
-    bound: Column = F.lit(0)
-    for name, n in sorted(counts.items()):
-        bound = F.when(F.col(lang) == name, int(min(1.0, most / n) * (1 << 20))).otherwise(bound)
+    bounds = [F.lit(x) for name, n in sorted(counts.items()) for x in (name, int(min(1.0, most / n) * (1 << 20)))]
+    bound = F.coalesce(F.element_at(F.create_map(*bounds), F.col(lang)), F.lit(0))
     chosen = docs.filter((F.pmod(F.xxhash64(F.lit("language"), key), F.lit(1 << 20)) < bound) & F.col(text).isNotNull())
     rows = chosen.orderBy(key).select(text, lang).toArrow()
     return rows.column(0).to_pylist(), rows.column(1).to_pylist()

@@ -114,6 +114,11 @@ def test_language_held_out(spark, small):
     assert held.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
 
 
+def test_language_sample_takes_every_language(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 70}") for i in range(210)], "doc_id long, text string, lang string")
+    assert set(language.language_sample(docs)[1]) == {f"l{i}" for i in range(70)}
+
+
 def test_language_odd_rows_and_switching(odd, spark):
     tagger = language.train(["the of and with the words"] * 30 + ["der die und mit dem wort"] * 30, ["en"] * 30 + ["de"] * 30)
     for r in language.identify(odd, tagger).collect():
