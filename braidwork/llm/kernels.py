@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,7 +75,11 @@ def _slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[tuple[pa.Re
 
 
 class Rolling:
-    """Hashes of any span of a byte array, from one pass of prefix sums modulo 2**64."""
+    """Hashes of any span of an array of small numbers, from one pass of prefix sums modulo 2**64.
+
+    For feature buckets only, where a collision costs nothing: long texts can be made that collide. Where equal hashes
+    must mean equal spans, span_hashes is the one to use.
+    """
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, U)
@@ -85,6 +90,43 @@ class Rolling:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
+#: Longer spans are hashed one by one.
+_SHORT = 128
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes a step, each step scrambled by a bijection that is not linear, so that no
+    arrangement of the same bytes cancels out. Spans of up to eight bytes and one length never collide."""
+    starts, size = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - starts
+    out = mix(size.astype(U) * U(BASE) + U(1))
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= _SHORT))
+    at, left, h = starts[live], size[live], out[live]
+    while len(live):
+        h = mix(h ^ (eight[at] & _LOW_BYTES[np.minimum(left, 8)])) + U(BASE)
+        more = left > 8
+        if not more.all():
+            out[live[~more]] = h[~more]
+            live, at, left, h = live[more], at[more], left[more], h[more]
+        at, left = at + 8, left - 8
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        raw = memoryview(data.tobytes())
+        out[long] = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), (starts + size)[long].tolist(), strict=True)), "<u8")
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether every span of data holds the same bytes as the span of other beside it, which has the same hash: spans of up to eight bytes do if they are of one length."""
+    if not np.array_equal(sizes, lengths):
+        return False
+    long = np.flatnonzero(sizes > 8)
+    sizes = np.asarray(sizes, np.int64)[long]
+    step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return bool((data[np.repeat(starts[long], sizes) + step] == other[np.repeat(at[long], sizes) + step]).all())
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every word. Words never cross texts."""
     if not len(data):

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from braidwork.llm.kernels import U, Rolling, blocks, gram_hashes, mix, per_text, word_spans
+from braidwork.llm.kernels import U, blocks, gram_hashes, mix, per_text, span_hashes, word_spans
 
 #: Largest share of a text's word characters that may stand in n-grams that repeat an earlier one, by n-gram length. A sentence of 12 words said twice in a text of 84 stays under it; 30 words said three times among 300 others do not.
 GRAM_LIMITS = dict.fromkeys(range(5, 11), 0.15)
@@ -53,12 +53,11 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: Sequence[int]) -> di
     """Counts for each text of a slice."""
     n = len(offsets) - 1
     starts, ends, doc = word_spans(data, offsets)
-    rolling = Rolling(data)
     salt = mix(np.arange(1, n + 1, dtype=U) * U(0xD6E8FEB86659FD93))
     points = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     chars = points[ends] - points[starts]
-    words = rolling.spans(starts, ends)
+    words = span_hashes(data, starts, ends)
     out = {"n_words": per_text(np.ones(len(doc), np.int64), doc, n), "word_chars": per_text(chars, doc, n)}
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
@@ -73,7 +72,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: Sequence[int]) -> di
     line_end = line_end - ((line_end > line_start) & (data[np.maximum(line_end - 1, 0)] == 10) if len(data) else 0)
     has_word = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_start, line_end, owner = line_start[has_word], line_end[has_word], owner[has_word]
-    keys = mix(rolling.spans(line_start, line_end) ^ salt[owner]) if len(owner) else np.zeros(0, U)
+    keys = mix(span_hashes(data, line_start, line_end) ^ salt[owner]) if len(owner) else np.zeros(0, U)
     _, first = np.unique(keys, return_index=True)
     later = np.ones(len(keys), bool)
     later[first] = False

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import needed
-from braidwork.llm.kernels import U, Rolling, blocks, mix
+from braidwork.llm.kernels import U, blocks, same_spans, span_hashes
 
 #: Bytes before which a text may be cut, by the byte before. A blank starts a new piece unless a blank follows it
 #: (bytes that may begin a wider blank count as blanks); so do closing marks and line ends after a letter or mark,
@@ -45,7 +45,12 @@ def _unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file. Knows about `most` units at most, as sorted hashes with their ids in one array; when it is full, units that were not met again go."""
+    """Ids of texts by a tokenizers file.
+
+    Knows about `most` units at most: sorted hashes, with each unit's bytes and ids in two arrays. A unit's ids are
+    used again only where its bytes are the ones that were encoded; a slice with two units of one hash is encoded
+    whole. When it is full, units that were not met again go.
+    """
 
     def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,60 +59,85 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
-        self.hashes, self.starts, self.sizes = np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.met = np.zeros(0, bool)
-        self.ids, self.n_ids = np.zeros(1 << 16, "<u4"), 0
-
-    def _forget(self) -> None:
-        kept = np.flatnonzero(self.met)
-        kept = kept[: self.most // 2]
-        sizes = self.sizes[kept].astype(np.int64)
-        total = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.starts[kept] - (total - sizes), sizes) + np.arange(int(sizes.sum()))]
-        self.hashes, self.starts, self.sizes = self.hashes[kept], (total - sizes).astype(np.int32), self.sizes[kept]
-        self.met, self.ids, self.n_ids = np.zeros(len(kept), bool), np.concatenate([ids, np.zeros(1 << 16, "<u4")]), len(ids)
-
-    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
-        found = []
+        self.hashes, self.met = np.zeros(0, U), np.zeros(0, bool)
+        self.ids, self.raw = Pool("<u4"), Pool(np.uint8)
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        raw, found = data.tobytes(), []
+        units = [raw[a : a + n].decode() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
         for at in range(0, len(units), 20_000):
             found += [e.ids for e in self.tokenizer.encode_batch_fast(units[at : at + 20_000], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), "<u4", int(sizes.sum()))
-        while self.n_ids + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        starts = self.n_ids + np.cumsum(sizes) - sizes
-        self.n_ids += len(flat)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.starts, self.sizes = np.insert(self.hashes, at, hashes), np.insert(self.starts, at, starts.astype(np.int32)), np.insert(self.sizes, at, sizes.astype(np.int32))
-        self.met = np.insert(self.met, at, False)
+        self.hashes, self.met = np.insert(self.hashes, at, hashes), np.insert(self.met, at, False)
+        self.ids.insert(at, flat, sizes)
+        self.raw.insert(at, data[np.repeat(start, size) + step], size)
+
+    def _whole(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return np.fromiter((i for ids in found for i in ids), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
-        n = len(offsets) - 1
         raw = data.tobytes()
         if any(a in raw for a in self.added):
-            found = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            return np.fromiter((i for ids in found for i in ids), "<u4"), np.fromiter(map(len, found), np.int64, n)
+            return self._whole(raw, offsets)
         start = _unit_starts(data, offsets)
-        end = np.append(start[1:], len(data))
-        hashes, first, which = np.unique(Rolling(data).spans(start, end) ^ mix((end - start).astype(U)), return_index=True, return_inverse=True)
+        size = np.append(start[1:], len(data)) - start
+        hashes, first, which = np.unique(span_hashes(data, start, start + size), return_index=True, return_inverse=True)
+        if not same_spans(data, start, size, data, start[first][which], size[first][which]):
+            return self._whole(raw, offsets)
         if len(self.hashes) > self.most:
-            self._forget()
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        new = np.flatnonzero(self.hashes[at] != hashes) if len(self.hashes) else np.arange(len(hashes))
-        if len(self.hashes):
-            self.met[at[self.hashes[at] == hashes]] = True
-        if len(new):
-            self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            kept = np.flatnonzero(self.met)[: self.most // 2]
+            self.hashes, self.met = self.hashes[kept], np.zeros(len(kept), bool)
+            self.ids.keep(kept)
+            self.raw.keep(kept)
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.flatnonzero(np.append(self.hashes, U(0))[at] == hashes) if len(self.hashes) else np.zeros(0, np.int64)
+        known = known[at[known] < len(self.hashes)]
+        told, unit = at[known], first[known]
+        if not same_spans(data, start[unit], size[unit], self.raw.flat, self.raw.starts[told], self.raw.sizes[told]):
+            return self._whole(raw, offsets)
+        self.met[told] = True
+        new = np.ones(len(hashes), bool)
+        new[known] = False
+        if new.any():
+            self._learn(hashes[new], data, start[first[new]], size[first[new]])
             at = np.searchsorted(self.hashes, hashes)
-        at = at[which] if len(hashes) else at
-        size = self.sizes[at].astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.starts[at] - total[:-1], size) + np.arange(total[-1])]
+        ids, total = self.ids.take(at[which])
         return ids, np.diff(total[np.searchsorted(start, offsets)])
 
 
+class Pool:
+    """Runs of numbers in one array that grows: run k is flat[starts[k]:starts[k] + sizes[k]]."""
+
+    def __init__(self, dtype):
+        self.flat, self.used = np.zeros(1 << 16, dtype), 0
+        self.starts = self.sizes = np.zeros(0, np.int32)
+
+    def insert(self, at: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """New runs before the runs at `at`."""
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts = np.insert(self.starts, at, (self.used + np.cumsum(sizes) - sizes).astype(np.int32))
+        self.sizes = np.insert(self.sizes, at, sizes.astype(np.int32))
+        self.used += len(flat)
+
+    def take(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs in a row, and where each begins and the last ends."""
+        sizes = self.sizes[runs].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(self.starts[runs] - total[:-1], sizes) + np.arange(total[-1])], total
+
+    def keep(self, runs: np.ndarray) -> None:
+        flat, total = self.take(runs)
+        self.starts, self.sizes = total[:-1].astype(np.int32), np.diff(total).astype(np.int32)
+        self.flat, self.used = np.concatenate([flat, np.zeros(1 << 16, flat.dtype)]), len(flat)
+
+
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
