@@ -46,7 +46,7 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def needed(df: DataFrame, name: str, limit: int = 1_000_000) -> DataFrame:
+def needed(df: DataFrame, name: str, limit: int = 200_000) -> DataFrame:
     """A one-column id table as the small side of a join: broadcast only if its counted rows are at most limit, else left to a shuffled join."""
     df = written(df, name)
     return F.broadcast(df) if df.count() <= limit else df

@@ -8,12 +8,13 @@ small. What is left is compared set by set.
 Groups first link to one member each, their hub: the one that shares most of its prefix. Groups of one hub are then
 put together, so that texts which share many shingles meet once; a group that is one component by then needs no pair.
 So a large group of near copies costs one comparison per member, while a link between different components is never
-lost.
+lost. From a tree come the rows that have a partner; those meet once more with their sets, are compared there, and only
+links that join two components come out. Both are fewer than the rows that went in, however many pairs are alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import needed, written
-from braidwork.llm.kernels import LOWER, U, Rolling, blocks, gram_hashes, mix, release, word_spans
+from braidwork.llm.kernels import LOWER, U, blocks, gram_hashes, mix, release, span_hashes, word_spans
 
 #: Shingles in more than HEAVY_FROM prefixes go last in the order; the HEAVY_MOST most frequent of them at most, so that their list stays small. The order affects balance only, never the result.
 HEAVY_FROM, HEAVY_MOST = 24, 65_536
-#: Largest group treated as one tree; larger ones are dealt out in cells of pairs of blocks.
-CELL = 1024
+#: Rows and shingles of the largest group treated as one tree; larger ones are dealt out in cells of pairs of blocks.
+CELL, CELL_ITEMS = 512, 1 << 20
 FAN = 8
 #: Bits of a bitmap for each shingle of its set.
 SPARSE = 4
@@ -36,7 +37,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     """Sorted distinct hashes of every text in a row, and how many each has. Texts of 1 to k-1 words have one, of all their words."""
     data = LOWER[data]
     starts, ends, doc = word_spans(data, offsets)
-    words = Rolling(data).spans(starts, ends)
+    words = span_hashes(data, starts, ends)
     n = len(offsets) - 1
     n_words = np.bincount(doc, minlength=n)
     h, at = gram_hashes(words, doc, k)
@@ -227,17 +228,73 @@ def group_pairs(cell: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: Bits, p
     return np.concatenate([none, *out_x]), np.concatenate([none, *out_y])
 
 
-def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (cell, node, n, comp, bitmap) dealt by cell -> candidate pairs a < b."""
+class Met:
+    """Components that were joined so far."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        up = self.up
+        while (p := up.get(c, c)) != c:
+            up[c] = c = up.get(p, p)
+        return c
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart."""
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def spanning_links(x: np.ndarray, y: np.ndarray, comp: np.ndarray, items: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int, met: Met, most: int = 1 << 19) -> tuple[list[int], list[int]]:
+    """Of the pairs (x, y) of rows, those that are linked and join two components that met none before; others need no comparison. Row r holds the shingles items[starts[r]:starts[r] + sizes[r]]."""
+    if not len(x):
+        return [], []
+    used = np.unique(np.concatenate([x, y]))
+    size = sizes[used]
+    total = np.concatenate([[0], np.cumsum(size)])
+    names, dense = np.unique(items[np.repeat(starts[used] - total[:-1], size) + np.arange(total[-1])], return_inverse=True)
+    at, mark = dict(zip(used.tolist(), range(len(used)), strict=True)), np.zeros(len(names), bool)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]])
+    out_a, out_b = [], []
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        a = int(x[s])
+        own, partners = int(comp[a]), y[s:e].tolist()
+        mine = dense[total[at[a]] : total[at[a] + 1]]
+        mark[mine] = True
+        while partners:
+            here = met.root(own)
+            chosen, held, k = [], 0, 0
+            for k, b in enumerate(partners, 1):
+                if met.root(int(comp[b])) != here:
+                    chosen.append(b)
+                    held += int(sizes[b])
+                    if held > most:
+                        break
+            partners = partners[k:]
+            if chosen:
+                parts = [dense[total[at[b]] : total[at[b] + 1]] for b in chosen]
+                both = np.add.reduceat(mark[np.concatenate(parts)], np.cumsum([0] + [len(p) for p in parts[:-1]]), dtype=np.int64)
+                for b in np.array(chosen)[100 * both >= percent * (len(mine) + sizes[chosen] - both)].tolist():
+                    if met.join(own, int(comp[b])):
+                        out_a.append(a)
+                        out_b.append(b)
+        mark[mine] = False
+    return out_a, out_b
+
+
+def _by_cell(rows: DataFrame, work: Callable[[dict[str, pa.Array], Met], pa.RecordBatch], schema: str) -> DataFrame:
+    """Runs work on whole cells: rows (cell, node, n, comp, ...) dealt by cell, in order of cell, n and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
-            col = {c: table.column(c).chunk(0) if table.column(c).num_chunks else table.column(c).combine_chunks() for c in table.column_names}
-            node = col["node"].to_numpy()
-            x, y = group_pairs(col["cell"].to_numpy(), col["n"].to_numpy(), col["comp"].to_numpy(), Bits(col["bitmap"]), percent)
-            ab = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+        met = Met()
+
+        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            return work({c: table.column(c).chunk(0) if table.column(c).num_chunks else table.column(c).combine_chunks() for c in table.column_names}, met)
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -248,16 +305,41 @@ def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
             whole = held + ([batch.slice(0, last)] if last else [])
             if last or (held and held[-1].column(0)[0].as_py() != int(cell[0])):
                 if whole:
-                    yield pairs(pa.Table.from_batches(whole))
+                    yield done(whole)
                 held = [batch.slice(last)]
             else:
                 held.append(batch)
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield done(held)
         release()
 
-    ordered = rows.select("cell", "node", "n", "comp", "bitmap").repartition("cell").sortWithinPartitions("cell", "n", "node")
-    return ordered.mapInArrow(run, "a long, b long").filter("a < b").distinct()
+    return rows.repartition("cell").sortWithinPartitions("cell", "n", "node").mapInArrow(run, schema)
+
+
+def _tree_members(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (cell, node, n, comp, bitmap) -> those (without bitmap) that the tree of their cell pairs with a row of another component."""
+
+    def work(col: dict[str, pa.Array], met: Met) -> pa.RecordBatch:
+        x, y = group_pairs(col["cell"].to_numpy(), col["n"].to_numpy(), col["comp"].to_numpy(), Bits(col["bitmap"]), percent)
+        keep = pa.array(np.union1d(x, y), pa.int64())
+        names = ["cell", "node", "n", "comp"]
+        return pa.RecordBatch.from_arrays([col[c].take(keep) for c in names], names=names)
+
+    return _by_cell(rows.select("cell", "node", "n", "comp", "bitmap"), work, "cell long, node long, n long, comp long")
+
+
+def _tree_links(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (cell, node, n, comp, items) -> links a, b that join components, fewer than the rows of their cells."""
+
+    def work(col: dict[str, pa.Array], met: Met) -> pa.RecordBatch:
+        node, n, comp = (col[c].to_numpy() for c in ("node", "n", "comp"))
+        ends = np.frombuffer(col["items"].buffers()[1], np.int32)[col["items"].offset :][: len(node) + 1].astype(np.int64) // 8
+        items = np.frombuffer(col["items"].buffers()[2], U)
+        x, y = group_pairs(col["cell"].to_numpy(), n, comp, Bits(_bitmaps(items[ends[0] : ends[-1]], n)), percent)
+        a, b = spanning_links(x, y, comp, items, ends[:-1], n, percent, met)
+        return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["a", "b"])
+
+    return _by_cell(rows.select("cell", "node", "n", "comp", "items"), work, "a long, b long")
 
 
 def _bit_filter(pairs: DataFrame, percent: int) -> DataFrame:
@@ -278,15 +360,23 @@ def _bit_filter(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(run, "a long, b long")
 
 
+def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """node, items: the whole sets of the given nodes, made again from one text of each class."""
+    who = written(nodes.distinct().join(classes.select("node", "first"), "node"), "wanted")
+    keys = needed(who.select(F.col("first").alias(key)).filter(F.col(key).isNotNull()).distinct(), "keys")
+    rows = docs.select(key, text)
+    chosen = rows.join(keys, key, "left_semi")
+    if not who.filter(F.col("first").isNull()).isEmpty():  # classes that no key names
+        chosen = chosen.unionByName(rows.filter(F.col(key).isNull()))
+    sets = _scan(chosen, key, text, k, percent, "set")
+    return written(sets.join(who.select("node").distinct(), "node", "left_semi").select("node", "items").dropDuplicates(["node"]), "sets")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets really are that similar, compared element by element."""
     pairs = written(pairs, "candidates")
     n_pairs = pairs.count()
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    who = written(nodes.join(classes.select("node", "first"), "node").coalesce(1 + n_pairs // 10_000), "wanted")
-    keys = needed(who.select(F.col("first").alias(key)).distinct(), "keys")
-    sets = _scan(docs.select(key, text).join(keys, key, "left_semi"), key, text, k, percent, "set")
-    sets = written(sets.join(who.select("node"), "node", "left_semi").select("node", "items").dropDuplicates(["node"]), "sets")
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, classes, key, text, k, percent)
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
 
@@ -313,7 +403,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
     n = edges.count()
     parts = 1 + n // 200_000
-    side = F.broadcast if n <= 1_000_000 else (lambda df: df)
+    side = F.broadcast if n <= 200_000 else (lambda df: df)
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).coalesce(parts), "labels")
     while True:
         near = edges.join(side(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -335,12 +425,11 @@ def jaccard_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str
     hashes of shingles. Empty tables give empty ones.
     """
     seen = written(_scan(docs, key, text, k, percent, "prefix"), "scan")
-    classes = written(seen.filter("n > 0").groupBy("node", "node2", "n").agg(F.min(key).alias("first")), "classes")
-    own = needed(classes.select(F.col("first").alias(key), "node"), "own")
-    counts = seen.join(own, [key, "node"], "left_semi").select(F.explode("prefix").alias("item")).groupBy("item").agg(F.count("*").alias("c"))
+    classes = written(seen.filter("n > 0").groupBy("node", "node2", "n").agg(F.min(key).alias("first"), F.first("prefix").alias("prefix")), "classes")
+    counts = classes.select(F.explode("prefix").alias("item")).groupBy("item").agg(F.count("*").alias("c"))
     common = counts.filter(F.col("c") > HEAVY_FROM).orderBy(F.desc("c"), "item").limit(HEAVY_MOST).select("item").toArrow()
     heavy = np.sort(common.column("item").to_numpy().astype(np.int64).view(U))
-    routes = _scan(docs, key, text, k, percent, "routes", heavy).join(own, [key, "node"], "left_semi")
+    routes = _scan(docs, key, text, k, percent, "routes", heavy).filter("n > 0")
     routes = written(routes.select("node", "n", "prefix", "bitmap").dropDuplicates(["node"]), "routes")
     rows = routes.select("node", "n", F.explode("prefix").alias("item"))
     shared = rows.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
@@ -361,24 +450,28 @@ def jaccard_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str
     # and so its hub; the pair of a group of two was compared above
     rows = rows.filter("df > 2").select(F.col("hub.node").alias("hub"), "node", "n").distinct()
     rows = written(rows.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"), "members")
-    spread = rows.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("node") == F.col("hub"), F.col("comp"))).alias("main"), F.count("*").alias("c"))
-    spread = written(spread.filter("lo <> hi").select("hub", "main", "c"), "mixed")
-    rows = written(rows.join(spread, "hub"), "across")
-    sides = rows.filter(F.col("c") > CELL).groupBy("hub").agg(F.ceil(F.count_if(F.col("comp") == F.col("main")) / CELL).alias("b_main"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / CELL).alias("b_rest"))
-    rows = rows.join(needed(sides.coalesce(1), "sides"), "hub", "left")
+    spread = rows.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("node") == F.col("hub"), F.col("comp"))).alias("main"), F.count("*").alias("c"), F.sum("n").alias("held"))
+    spread = spread.filter("lo <> hi").select("hub", "main", ((F.col("c") > CELL) | (F.col("held") > CELL_ITEMS)).alias("large"))
+    rows = written(rows.join(written(spread, "mixed"), "hub"), "across")
     # a large group: blocks of its main component and of the rest; a cell for each pair of blocks but those of the main component alone
     in_main = F.col("comp") == F.col("main")
-    block = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.when(in_main, F.col("b_main")).otherwise(F.col("b_rest"))))
-    others = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.when(in_main, F.col("b_rest")).otherwise(F.col("b_main"))) - 1)
+    parts = F.greatest(F.count("*") / CELL, F.sum("n") / CELL_ITEMS)
+    sides = rows.filter("large").groupBy("hub", in_main.alias("in_main")).agg(F.ceil(parts).alias("b"))
+    sides = sides.groupBy("hub").agg(F.coalesce(F.max(F.when(F.col("in_main"), F.col("b"))), F.lit(1)).alias("b_main"), F.coalesce(F.max(F.when(~F.col("in_main"), F.col("b"))), F.lit(1)).alias("b_rest"))
+    rows = rows.join(needed(sides.coalesce(1), "sides"), "hub", "left")
+    block = F.pmod(F.xxhash64("node"), F.when(in_main, F.col("b_main")).otherwise(F.col("b_rest")))
+    others = F.sequence(F.lit(0).cast("long"), F.when(in_main, F.col("b_rest")).otherwise(F.col("b_main")) - 1)
     cross = F.transform(others, lambda o: F.when(in_main, F.xxhash64("hub", F.lit("cross"), o, F.col("block"))).otherwise(F.xxhash64("hub", F.lit("cross"), F.col("block"), o)))
-    rest = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.col("b_rest")) - 1), lambda o: F.xxhash64("hub", F.lit("rest"), F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
-    cells = F.when(F.col("c") <= CELL, F.array(F.col("hub"))).when(in_main, cross).otherwise(F.concat(cross, rest))
+    rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("b_rest") - 1), lambda o: F.xxhash64("hub", F.lit("rest"), F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
+    cells = F.when(~F.col("large"), F.array(F.col("hub"))).when(in_main, cross).otherwise(F.concat(cross, rest))
     rows = rows.withColumn("block", block).select("node", "n", "comp", F.explode(cells).alias("cell"))
-    more = _linked(_tree_join(rows.join(bits, "node"), percent), docs, classes, key, text, k, percent)
+    rows = written(_tree_members(rows.join(bits, "node"), percent), "paired")
+    sets = _sets(rows.select("node"), docs, classes, key, text, k, percent)
+    more = written(_tree_links(rows.join(sets, "node"), percent), "links")
     labels = components(links.union(more))
     # back to documents: components are named by their smallest key
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = needed(named.join(names, "label").select("node", "node2", "n", "component_id"), "named", 500_000)
+    named = needed(named.join(names, "label").select("node", "node2", "n", "component_id"), "named")
     joined = seen.select(key, "node", "node2", "n").join(named, ["node", "node2", "n"], "left")
     return joined.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
