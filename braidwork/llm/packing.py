@@ -48,7 +48,11 @@ def _backtrack(start: np.ndarray, last: np.ndarray) -> list[list[int]]:
         left[live] -= took
 
 
-def fractional(demand: np.ndarray, capacity: int, rounds: int = 40, rate: float = 3.0) -> dict[Config, float]:
+#: A length is worth a little more than its share of a sequence the longer it is: short ones stay free to fill gaps.
+GROWTH = 1.02
+
+
+def fractional(demand: np.ndarray, capacity: int, rounds: int = 20, rate: float = 8.0) -> dict[Config, float]:
     """Configurations and their fractional use, by multiplicative weights.
 
     Each round prices all configurations at once: one knapsack table gives, for every length, the best
@@ -56,7 +60,7 @@ def fractional(demand: np.ndarray, capacity: int, rounds: int = 40, rate: float
     length's demand; a length's weight falls as its demand gets covered.
     """
     lengths = np.flatnonzero(demand)
-    size = lengths / capacity
+    size = (lengths / capacity) ** GROWTH
     covered, used = np.zeros(len(demand)), Counter()
     for r in range(rounds):
         ratio = covered[lengths] / demand[lengths]
@@ -108,27 +112,52 @@ def _best_fit(demand: np.ndarray, capacity: int) -> Counter:
     return done
 
 
-def solve(demand: np.ndarray, capacity: int) -> Counter:
-    """Configurations and how often each is used; every length is placed exactly as often as demanded.
-
-    The fractional use is rounded up as far as demand is left, most used first; what is left over goes to best-fit
-    decreasing, and so does everything where that alone needs fewer sequences.
-    """
-    demand = np.asarray(demand, np.int64)
-    plain = _best_fit(demand, capacity)
-    if sum(plain.values()) * capacity - int((demand * np.arange(len(demand))).sum()) < capacity:
-        return plain  # no packing has fewer
-    left, used = demand.copy(), Counter()
-    lp = fractional(demand, capacity)
-    for config, x in sorted(lp.items(), key=lambda cx: (-sum(cx[0]), -cx[1], cx[0])):
+def _rounded(left: np.ndarray, uses: dict[Config, float]) -> Counter:
+    """Uses rounded up as far as demand is left, fullest configurations first, of these the ones with the longest piece; takes what it places from left."""
+    taken: Counter = Counter()
+    for config, x in sorted(uses.items(), key=lambda cx: (-sum(cx[0]), -cx[0][0], -cx[1], cx[0])):
         need = Counter(config)
         k = min(int(np.ceil(x)), *(int(left[l]) // c for l, c in need.items()))
         if k > 0:
-            used[config] += k
+            taken[config] += k
             for l, c in need.items():
                 left[l] -= k * c
-    rounded = used + _best_fit(left, capacity)
-    return rounded if sum(rounded.values()) <= sum(plain.values()) else plain
+    return taken
+
+
+def _dive(demand: np.ndarray, capacity: int, rounds: int, rest: float) -> Counter:
+    """Solves and rounds in turn until no more than the share `rest` of all places is left, or a few sequences; best-fit decreasing places that."""
+    left, used, size = demand.copy(), Counter(), np.arange(len(demand))
+    most = max(rest * float(demand @ size), 4 * capacity)
+    while True:
+        taken = _rounded(left, fractional(left, capacity, rounds)) if left.any() else Counter()
+        used += taken
+        if not taken or left @ size <= most:
+            return used + _best_fit(left, capacity)
+
+
+#: Rounds of the linear program, and the share of places left to best-fit, of each try at rounding.
+TRIES = ((20, 0.1), (40, 0.3))
+
+
+def solve(demand: np.ndarray, capacity: int) -> Counter:
+    """Configurations and how often each is used; every length is placed exactly as often as demanded.
+
+    The linear program over what is left is solved and its uses are rounded up as far as demand lasts, again and
+    again; best-fit decreasing places the small rest. This is tried with other numbers of rounds until no packing can
+    have fewer sequences. As in column generation, best-fit's own configurations are one more candidate; of equally
+    short packings the first from the linear program is taken.
+    """
+    demand = np.asarray(demand, np.int64)
+    if not demand.any():
+        return Counter()
+    least = -(-int((demand * np.arange(len(demand))).sum()) // capacity)
+    found = []
+    for rounds, rest in TRIES:
+        found.append(_dive(demand, capacity, rounds, rest))
+        if sum(found[-1].values()) == least:
+            return found[-1]
+    return min([*found, _best_fit(demand, capacity)], key=lambda used: sum(used.values()))
 
 
 def _slots(configs: Counter, capacity: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
