@@ -70,10 +70,12 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), "<u4", int(sizes.sum()))
         step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.met = np.insert(self.hashes, at, hashes), np.insert(self.met, at, False)
-        self.ids.insert(at, flat, sizes)
-        self.raw.insert(at, data[np.repeat(start, size) + step], size)
+        place = np.searchsorted(self.hashes, hashes) + np.arange(len(hashes))
+        rest = np.ones(len(self.hashes) + len(hashes), bool)
+        rest[place] = False
+        self.hashes, self.met = _merged(self.hashes, hashes, place, rest), _merged(self.met, False, place, rest)
+        self.ids.add(flat, sizes, place, rest)
+        self.raw.add(data[np.repeat(start, size) + step], size, place, rest)
 
     def _whole(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -110,6 +112,12 @@ class Encoder:
         return ids, np.diff(total[np.searchsorted(start, offsets)])
 
 
+def _merged(old: np.ndarray, new, place: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rest), old.dtype)
+    out[place], out[rest] = new, old
+    return out
+
+
 class Pool:
     """Runs of numbers in one array that grows: run k is flat[starts[k]:starts[k] + sizes[k]]."""
 
@@ -117,13 +125,13 @@ class Pool:
         self.flat, self.used = np.zeros(1 << 16, dtype), 0
         self.starts = self.sizes = np.zeros(0, np.int32)
 
-    def insert(self, at: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
-        """New runs before the runs at `at`."""
+    def add(self, flat: np.ndarray, sizes: np.ndarray, place: np.ndarray, rest: np.ndarray) -> None:
+        """New runs that get the numbers `place`; the others keep their order in `rest`."""
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
-        self.starts = np.insert(self.starts, at, (self.used + np.cumsum(sizes) - sizes).astype(np.int32))
-        self.sizes = np.insert(self.sizes, at, sizes.astype(np.int32))
+        self.starts = _merged(self.starts, self.used + np.cumsum(sizes) - sizes, place, rest)
+        self.sizes = _merged(self.sizes, sizes, place, rest)
         self.used += len(flat)
 
     def take(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
