@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings, averaged per text, with a softmax on top.
 
-Words and character n-grams are hashed to buckets; every bucket has a learned vector. A text is the mean of its
-buckets' vectors. Both layers are trained by stochastic gradient descent in numpy on a bounded sample of labelled
+Words and character n-grams are hashed to buckets; every bucket has a learned vector. So have pairs of words by how far
+back in their text each stood last, whatever the words: text that goes round in circles is told by these. A text is
+the mean of its buckets' vectors, each kind of bucket with an equal share. Both layers are trained by stochastic gradient descent in numpy on a bounded sample of labelled
 texts. The output is linear in the mean, so for scoring the layers fold into one number per bucket and class.
 """
 
@@ -22,15 +23,13 @@ BITS = 17
 GRAMS = (3, 5)
 
 
-def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all texts' words and n-grams in a row, ordered by text, and where each text's begin and end."""
+def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all texts' words and n-grams in a row, ordered by text, each one's share of its text, and where each text's begin and end."""
     starts, ends, doc = word_spans(data, offsets)
     rolling = Rolling(data)
     n = len(offsets) - 1
     words = rolling.spans(starts, ends)
-    # a word that only repeats the one before it is a feature of its own, whatever the word; it weighs as much as the n-grams of a word
-    again = np.repeat(np.flatnonzero((words[1:] == words[:-1]) & (doc[1:] == doc[:-1])) + 1, 8)
-    found, owners = [words, np.zeros(len(again), U)], [doc, doc[again]]
+    found, owners = [words, recency_pairs(words, doc) * U(0xD6E8FEB86659FD93)], [doc, doc]
     owner = np.repeat(np.arange(n), np.diff(offsets))
     for g in GRAMS:
         if len(data) >= g:
@@ -40,14 +39,28 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     # every kind is in text order already: each goes to its place behind the kinds before it
     counts = np.array([np.bincount(o, minlength=n) for o in owners])
     edges = np.concatenate([[0], np.cumsum(counts.sum(axis=0))])
-    out = np.zeros(edges[-1], np.int32)
+    out, share = np.zeros(edges[-1], np.int32), np.zeros(edges[-1], np.float32)
+    part = (1 / np.maximum(counts, 1) / np.maximum((counts > 0).sum(axis=0), 1)).astype(np.float32)
     ahead = np.zeros(n, np.int64)
     for k, (h, o) in enumerate(zip(found, owners, strict=True)):
         salt = U(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         rank = np.arange(len(o)) - np.repeat(np.cumsum(counts[k]) - counts[k], counts[k])
-        out[edges[o] + ahead[o] + rank] = ((h ^ salt) >> U(64 - BITS)).astype(np.int32)
+        place = edges[o] + ahead[o] + rank
+        out[place], share[place] = ((h ^ salt) >> U(64 - BITS)).astype(np.int32), part[k][o]
         ahead += counts[k]
-    return out, edges
+    return out, share, edges
+
+
+def recency_pairs(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of every word and the one before it, the number of bits of the distance to where the word stood last in its text: 0 where it is new, 10 at most."""
+    order = np.lexsort((words, doc))
+    same = (words[order][1:] == words[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    back = np.zeros(len(words), np.int64)
+    back[order[1:][same]] = order[1:][same] - order[:-1][same]
+    level = np.minimum(np.frexp(back.astype(np.float64))[1], 10)
+    before = np.concatenate([level[:1] * 0, level[:-1]])
+    before[1:][doc[1:] != doc[:-1]] = 11
+    return (16 * level + before + 1).astype(U)
 
 
 @dataclass
@@ -60,10 +73,9 @@ class Model:
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Softmax for every text; a text without features gets the bias alone."""
-        at, edges = buckets(data, offsets)
-        sums = np.concatenate([np.zeros((1, len(self.bias))), np.cumsum(self.weights[at], axis=0, dtype=np.float64)])
-        n = np.maximum(np.diff(edges), 1)[:, None]
-        z = (sums[edges[1:]] - sums[edges[:-1]]) / n + self.bias
+        at, share, edges = buckets(data, offsets)
+        sums = np.concatenate([np.zeros((1, len(self.bias))), np.cumsum(self.weights[at] * share[:, None], axis=0, dtype=np.float64)])
+        z = sums[edges[1:]] - sums[edges[:-1]] + self.bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -79,8 +91,9 @@ def train(texts: list[str], labels: list, dim: int = 12, epochs: int = 8, rate:
     docs = []
     for text in texts:
         raw = np.frombuffer(text.encode(), np.uint8)
-        at, n = np.unique(buckets(raw, np.array([0, len(raw)]))[0], return_counts=True)
-        docs.append((at, (n / max(n.sum(), 1)).astype(np.float32)))
+        found, share, _ = buckets(raw, np.array([0, len(raw)]))
+        at, which = np.unique(found, return_inverse=True)
+        docs.append((at, np.bincount(which, weights=share, minlength=len(at)).astype(np.float32)))
     for _ in range(epochs):
         for d in rng.permutation(len(docs)):
             at, share = docs[d]
