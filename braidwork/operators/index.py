@@ -2,39 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions.text import tokens
+from braidwork.sources.shared import written
 
 # BM25 parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Query terms that are looked for inside a task as a set of values; more of them are joined.
+LISTED = 20_000
+#: Rows of query terms that are broadcast.
+SMALL = 200_000
+
+
 @dataclass
 class Index:
-    """postings (term, id, tf), lengths (id, dl) of every document, and df (term, df)."""
+    """postings (term, id, tf), lengths (id, dl) of every document, and, where they are stored, terms (term, df) and totals (n, total_tokens) of the corpus."""
 
     postings: DataFrame
     lengths: DataFrame
+    terms: DataFrame | None = None
+    totals: DataFrame | None = None
 
     @property
     def frequencies(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        return self.terms if self.terms is not None else self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
     def stats(self) -> DataFrame:
-        """One row: n documents (those without tokens too), total tokens, mean of all raw IDFs."""
-        n = self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens"))
+        """One row: n documents (those without tokens too), total tokens, mean of all raw IDFs, and terms."""
+        n = self.totals if self.totals is not None else self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens"))
         idf = self.frequencies.crossJoin(F.broadcast(n)).agg(F.avg(raw_idf(F.col("n"), F.col("df"))).alias("avg_idf"), F.count("*").alias("terms"))
-        return n.crossJoin(idf)
+        return n.crossJoin(F.broadcast(idf))
 
     def append(self, other: Index) -> Index:
         """The index with other's new documents: statistics follow from the rows, so appending equals rebuilding."""
         fresh = other.lengths.join(self.lengths, "id", "left_anti")
         return Index(self.postings.unionByName(other.postings.join(fresh, "id", "left_semi")), self.lengths.unionByName(fresh))
 
+    def stored(self, write: Callable[[DataFrame, str], DataFrame]) -> Index:
+        """The index as written tables: postings in order of term, and the statistics, so that a search reads no more than its terms need."""
+        postings = write(self.postings.repartition("term").sortWithinPartitions("term", "id"), "postings")
+        lengths = write(self.lengths, "lengths")
+        plain = Index(postings, lengths)
+        totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens"))
+        return Index(postings, lengths, write(plain.frequencies, "terms"), write(totals, "totals"))
+
 
 def raw_idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
@@ -44,35 +62,70 @@ def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return docs.select(F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
+def term_totals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, df, tf over all documents, from one pass: no row per document and term leaves its task."""
+    each = F.transform(F.col("t"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("tf")))
+    once = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("tf")))
+    return docs.select(tokens(F.col(text)).alias("t")).select(F.inline(F.concat(each, once))).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     lengths = docs.select(F.col(key).alias("id"), F.size(tokens(F.col(text))).cast("long").alias("dl"))
     return Index(term_frequencies(docs, key, text), lengths)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, write: Callable[[DataFrame, str], DataFrame], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """terms (term, df) and totals (n, total_tokens) of a corpus from one pass over its texts: the totals come along as a term of their own, which no token can be."""
+    words = F.concat(F.array(F.lit("")), F.array_distinct("t"))
+    rows = docs.select(tokens(F.col(text)).alias("t")).select(F.size("t").alias("dl"), F.explode(words).alias("term"))
+    counted = write(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("total_tokens")), "terms")
+    totals = counted.filter("term = ''").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total_tokens"))
+    return counted.filter("term <> ''").select("term", "df"), totals
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", write: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """(qid, id, score) of every document with a query term, from texts, without a stored index.
 
-    Only query terms are counted by document; all others are only counted for the statistics, which are those of the
-    whole corpus.
+    Two passes over the texts: one counts every term's documents for the statistics, which are those of the whole
+    corpus; one finds the query terms, scores each document where it is read, and sends on a row per question and hit.
     """
-    wanted = queries.select(F.explode(tokens(F.col("query"))).alias("term")).distinct()
-    said = docs.select(F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("term"))
-    postings = said.join(wanted, "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
-    return scores(build(docs, key, text), queries, postings)
+    terms, totals = statistics(docs, write, text)
+    asked = write(queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times")), "asked")
+    said = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("t"))
+    wanted = [r.term for r in asked.select("term").distinct().limit(LISTED + 1).collect()]
+    dl = F.size("t").cast("long").alias("dl")
+    if len(wanted) <= LISTED:
+        mine = said.select("id", dl, F.filter("t", lambda w: w.isin(wanted)).alias("m"))
+        rows = mine.select("id", "dl", "m", F.explode(F.array_distinct("m")).alias("term"))
+        postings = rows.select("id", "dl", "term", F.size(F.filter("m", lambda w: w == F.col("term"))).alias("tf"))
+    else:
+        rows = said.select("id", dl, F.explode("t").alias("term")).join(_few(asked.select("term").distinct()), "term", "left_semi")
+        postings = rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return _weighted(postings, asked, terms, totals)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """A side of a join that is broadcast if its counted rows are few."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
+def _weighted(postings: DataFrame, asked: DataFrame, terms: DataFrame, totals: DataFrame) -> DataFrame:
+    """(qid, id, score) from the postings (id, dl, term, tf) of query terms."""
+    idf = terms.crossJoin(F.broadcast(totals)).withColumn("raw", raw_idf(F.col("n"), F.col("df")))
+    mean = idf.agg(F.avg("raw").alias("avg_idf"))
+    chosen = asked.join(idf, "term").crossJoin(F.broadcast(mean))
+    chosen = chosen.select("qid", "term", "times", F.when(F.col("raw") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw")).alias("idf"), (F.col("total_tokens") / F.col("n")).alias("avgdl"))
+    hits = postings.join(F.broadcast(chosen) if asked.count() <= SMALL else chosen, "term")
+    weight = F.col("times") * F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.withColumn("w", weight).groupBy("qid", "id").agg(F.sum("w").alias("score"))
 
 
-def scores(index: Index, queries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score). queries: (qid, query); repeated terms count as often as they stand; a negative IDF becomes EPSILON times the mean IDF. postings: those of the query terms, if they are at hand."""
+def scores(index: Index, queries: DataFrame) -> DataFrame:
+    """(qid, id, score). queries: (qid, query); repeated terms count as often as they stand; a negative IDF becomes EPSILON times the mean IDF."""
     asked = queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    stats = index.stats().select("n", (F.col("total_tokens") / F.col("n")).alias("avgdl"), "avg_idf")
-    postings = index.postings if postings is None else postings
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(stats))
-    raw = raw_idf(F.col("n"), F.col("df"))
-    idf = idf.select("term", F.when(raw < 0, EPSILON * F.col("avg_idf")).otherwise(raw).alias("idf"), "avgdl")
-    hits = postings.join(asked.join(idf, "term"), "term").join(index.lengths, "id")
-    weight = F.col("times") * F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.withColumn("w", weight).groupBy("qid", "id").agg(F.sum("w").alias("score"))
+    totals = index.totals if index.totals is not None else index.lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens"))
+    postings = index.postings.join(_few(asked.select("term").distinct()), "term", "left_semi").join(index.lengths, "id")
+    return _weighted(postings, asked, index.frequencies, totals)
 
 
 def top(hits: DataFrame, k: int, by: str = "qid", score: str = "score", key: str = "id") -> DataFrame:

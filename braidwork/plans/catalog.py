@@ -85,12 +85,13 @@ def label_questions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("token_freq", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
 def token_freq(spark: SparkSession, d: str) -> DataFrame:
-    return index.term_frequencies(docs(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return index.term_totals(docs(spark, d))
 
 
 @query("corpus_stats", f"{ONE} {BM25} SELECT n, t::BIGINT AS total_tokens, round(avg_idf, 6) AS avg_idf, (SELECT count(*) FROM df) AS terms FROM n, a")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return index.build(docs(spark, d)).stats().select("n", "total_tokens", F.round("avg_idf", 6).alias("avg_idf"), "terms")
+    terms, totals = index.statistics(docs(spark, d), written)
+    return index.Index(None, None, terms, totals).stats().select("n", "total_tokens", F.round("avg_idf", 6).alias("avg_idf"), "terms")
 
 
 @query("bm25_topk", f"{ONE} {BM25} SELECT id, round(score, 4) AS score, rank FROM b WHERE rank < 10")

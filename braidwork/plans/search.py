@@ -25,8 +25,7 @@ class Library:
     @classmethod
     def of(cls, chunks: DataFrame) -> Library:
         """A library with its index as written tables: searches read postings, not texts."""
-        built = index.build(chunks, "id", "document")
-        return cls(chunks, index.Index(written(built.postings, "postings"), written(built.lengths, "lengths")))
+        return cls(chunks, index.build(chunks, "id", "document").stored(written))
 
 
 def search(library: Library, questions: DataFrame, k: int = 5, owners: list[str] | None = None, where: Mapping[str, Any] | None = None, hybrid: bool = True, rerank: bool = False, scorer: Callable[[Column, Column], Column] = lexical_overlap, embed: Callable[[Column], Column] = retrieval.hashed_embedding, alpha: float = retrieval.ALPHA) -> DataFrame:

@@ -24,8 +24,9 @@ MARKDOWN = "intro\n\n# Guide\ntext\n```\n# not a heading\n```\n## Install ##\nst
         ("U.S. 5 year", []),
     ],
 )
-def test_page_spans(question, spans):
-    assert filters.page_spans(question) == spans
+def test_page_spans(spark, question, spans):
+    asked = spark.createDataFrame([(question,)], "q string")
+    assert [tuple(s) for s in asked.select(filters.page_filter("q").alias("s")).first().s] == spans
 
 
 def test_sections():
@@ -151,12 +152,14 @@ def test_verification(spark):
     assert got == {0: (True, None), 1: (False, "citation_failure"), 2: (False, "citation_failure"), 3: (False, "retrieval_failure"), 4: (False, "retrieval_failure"), 5: (False, "query_failure")}
 
 
-def test_rewrites_never_repeat():
-    tried: set[str] = set()
+def test_rewrites_never_repeat(spark):
+    tried: list[str] = []
     for i in range(8):
-        q = healing.rewrite(["rag", "search", "fast"], "how fast is rag search", tried, healing.STRATEGIES[i % 3])
-        assert q.lower() not in tried
-        tried.add(" ".join(q.lower().split()))
+        row = spark.createDataFrame([("how fast is rag search", tried, i)], "question string, tried array<string>, i int")
+        q = row.select(healing.rewritten(F.col("question"), F.col("tried"), F.col("i")).alias("q")).first().q
+        assert " ".join(q.lower().split()) not in {" ".join(t.lower().split()) for t in tried}
+        tried.append(q)
+    assert tried[:3] == ["fast latency speed rag retrieval-augmented generation search retrieval", "fast rag search", "search fast rag"]
 
 
 def test_healing_loop_ends(spark):
