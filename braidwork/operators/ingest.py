@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from braidwork.functions.screening import injection_signals, pii_types
 from braidwork.functions.text import fingerprint
+from braidwork.operators.retrieval import nearest_rows
+from braidwork.sources.shared import written
 
 
 def version_id(content: Column) -> Column:
@@ -38,39 +40,19 @@ def dedup_vs_store(fresh: DataFrame, stored: DataFrame, keys: tuple[str, ...] =
     return fresh.join(copies, [*keys, document], "left_anti")
 
 
-def unit(vector: Column) -> Column:
-    """The vector as doubles, scaled to length 1; null for a zero vector."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def near_duplicates(fresh: DataFrame, stored: DataFrame, threshold: float = 0.985, key: str = "id", vector: str = "embedding", owner: str = "owner", document: str = "document_key") -> DataFrame:
     """Each fresh row's best stored neighbour of the same owner, where it is of another document and at least that near: (key, match_id, score).
 
-    Stored rows are only compared with fresh rows of their owner: an equi-join on owner, and within it on cells of the
-    first coordinates of the unit vectors. Two unit vectors of cosine c differ by at most sqrt(2 - 2c) in every
-    coordinate, so cells of that width need only their neighbours; nothing is missed.
+    Fresh rows meet the stored ones in blocks, by matrix products in the tasks that read the stored rows; each task
+    sends on one neighbour per fresh row. Ties go to the larger id. Nothing is missed, and an owner that holds most
+    rows is read by as many tasks as its rows fill.
     """
-    width = max((2 - 2 * threshold) ** 0.5, 1e-9)
-    dims = 3 if width < 1 else 0
-
-    def cells(rows: DataFrame, names: tuple[str, str, str, str], spread: bool) -> DataFrame:
-        out = rows.select(F.col(key).alias(names[0]), F.col(owner).alias("_owner"), F.col(document).alias(names[1]), unit(F.col(vector)).alias(names[2])).filter(F.col(names[2]).isNotNull())
-        for d in range(dims):
-            at = F.floor(F.element_at(names[2], d + 1) / width)
-            out = out.withColumn(f"_c{d}", F.explode(F.array(at - 1, at, at + 1)) if spread else at)
-        return out
-
-    on = ["_owner", *[f"_c{d}" for d in range(dims)]]
-    pairs = cells(fresh, ("id", "_doc", "_v", ""), True).join(cells(stored, ("match_id", "_other", "_w", ""), False), on).filter(F.col("id") != F.col("match_id"))
-    scored = pairs.withColumn("score", dot(F.col("_v"), F.col("_w"))).filter(F.col("score") >= threshold)
-    best = scored.groupBy("id", "_doc").agg(F.max(F.struct("score", F.struct("match_id", "_other").alias("m"))).alias("b"))
-    return best.filter(F.col("_doc") != F.col("b.m._other")).select(F.col("id").alias(key), F.col("b.m.match_id").alias("match_id"), F.col("b.score").alias("score"))
+    asked = fresh.select(F.col(key).alias("qid"), F.col(vector).alias("v"), F.col(owner).alias("owner"))
+    rows = stored.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(owner).alias("owner"))
+    near = written(nearest_rows(asked, rows, 1, threshold, "owner", others_only=True), "near").withColumn("s", F.round("score", 12)).filter(F.col("s") >= threshold)
+    best = near.groupBy("qid").agg(F.max(F.struct("s", "id", "score")).alias("b")).select(F.col("qid").alias(key), F.col("b.id").alias("match_id"), F.col("b.score").alias("score"))
+    told = best.join(stored.select(F.col(key).alias("match_id"), F.col(document).alias("_other")), "match_id").join(fresh.select(key, F.col(document).alias("_doc")), key)
+    return told.filter(F.col("_doc") != F.col("_other")).select(key, "match_id", "score")
 
 
 def flagged(rows: DataFrame, text: str = "content", trusted: int | None = None, pii: bool = True) -> DataFrame:
@@ -144,8 +126,9 @@ def redaction_counts(counts: DataFrame, by: str, column: str = "counts") -> Data
 
 def progress(files: DataFrame, samples: int = 100) -> DataFrame:
     """Counters of an ingest (filename, ok, error, chunks) with the first names and failures; counts are exact, lists are short."""
-    first = lambda c, name: F.slice(F.array_sort(F.collect_list(F.when(c, F.col(name)))), 1, samples)
-    few = files.withColumn("_n", F.row_number().over(Window.partitionBy("ok").orderBy("filename"))).filter(F.col("_n") <= samples)
-    lists = few.agg(first(F.col("ok"), "filename").alias("indexed_names"), first(~F.col("ok"), "error").alias("failures"))
+    def first(kept: Column, column: str, name: str) -> DataFrame:
+        few = files.filter(kept).select("filename", column).orderBy("filename").limit(samples)
+        return few.agg(F.transform(F.array_sort(F.collect_list(F.struct("filename", F.col(column).alias("x")))), lambda r: r["x"]).alias(name))
+
     totals = files.agg(F.count("*").alias("files_total"), F.count_if("ok").alias("files_indexed"), F.count_if(~F.col("ok")).alias("files_failed"), F.sum(F.when(F.col("ok"), F.col("chunks")).otherwise(0)).alias("chunks_ingested"))
-    return totals.crossJoin(lists)
+    return totals.crossJoin(F.broadcast(first(F.col("ok"), "filename", "indexed_names"))).crossJoin(F.broadcast(first(~F.col("ok"), "error", "failures")))

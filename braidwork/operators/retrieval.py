@@ -2,43 +2,147 @@
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
-from braidwork.functions.text import lexical_overlap, snippet
+from braidwork.functions.text import let, lexical_overlap, snippet
 from braidwork.operators.index import top
-from braidwork.operators.ingest import dot, unit
 
 # Fusion and context defaults.
 ALPHA, RRF_K, CONTEXT_CHARS = 0.6, 60, 12_000
-#: Rows of queries that are broadcast to the vectors; more of them are dealt out in blocks.
-QUERY_BLOCK = 2_000
+#: Bytes of query vectors that one pass over the rows takes along; more of them are dealt out in blocks.
+QUERY_BYTES = 8 << 20
+#: Sums in another order differ by less than this.
+TIE = 1e-9
 HASHED_DIM = 64
 
 
-def similarities(queries: DataFrame, vectors: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """(qid, id, score): cosine of every query with every vector. The stated query set meets all rows, in blocks of bounded size, each broadcast."""
-    asked = queries.select("qid", unit(F.col("query_vector")).alias("_q")).filter("_q IS NOT NULL")
-    rows = vectors.select(F.col(key).alias("id"), unit(F.col(vector)).alias("_v")).filter("_v IS NOT NULL")
-    blocks = -(-asked.count() // QUERY_BLOCK)
-    out = None
-    for b in range(max(blocks, 1)):
-        part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(max(blocks, 1))) == b)
-        hits = rows.join(F.broadcast(part)).select("qid", "id", dot(F.col("_q"), F.col("_v")).alias("score"))
-        out = hits if out is None else out.unionByName(hits)
+def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of that dimension that are usable (no null or NaN in them, not zero), and their vectors scaled to length 1."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ends = np.cumsum(sizes)
+    rows = np.flatnonzero(sizes == dim)
+    x = flat[(ends - sizes)[rows][:, None] + np.arange(dim)] if len(rows) else np.zeros((0, dim))
+    norm = np.sqrt((x * x).sum(axis=1))
+    good = (norm > 0) & np.isfinite(norm)
+    return rows[good], x[good] / norm[good][:, None]
+
+
+def unit(vector: Column) -> Column:
+    """The vector as doubles, scaled to length 1; null for a zero vector."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None, by: str | None = None, others_only: bool = False) -> DataFrame:
+    """(qid, id, score): for every query (qid, v) at least its k best rows (id, v) by cosine, of at least `least` where given.
+
+    The query set meets all rows in blocks of at most QUERY_BYTES of vectors, each a matrix product per batch of rows;
+    a task sends on the best k of each query and what ties with them, so that its output does not grow with its rows.
+    by names a column that must be equal on both sides; with others_only a query meets no row of its own id. Vectors
+    that are null, zero, not finite or of another dimension take no part.
+    """
+    extra = [by] if by else []
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    asked = queries.select("qid", "v", *extra).filter(F.size("v") > 0)
+    sizes = {r.dim: r.n for r in asked.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    out = rows.sparkSession.createDataFrame([], schema)
+    for dim, n in sorted(sizes.items()):
+        blocks = -(-8 * dim * n // QUERY_BYTES)
+        for b in range(blocks):
+            part = asked.filter((F.size("v") == dim) & (F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).toArrow()
+            out = out.unionByName(rows.select("id", "v", *extra).mapInArrow(_searcher(part, dim, k, least, by, others_only), schema))
     return out
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """The k nearest vectors of each query by cosine, ties to the smaller id."""
-    return top(similarities(queries, vectors if where is None else vectors.filter(where), key, vector), k)
+def _alike(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Which values of a equal which of b; null equals nothing."""
+    codes = np.asarray(pc.fill_null(pa.concat_arrays([a, b.cast(a.type)]).dictionary_encode().indices, -1))
+    own, other = codes[: len(a)], codes[len(a) :]
+    return (own[:, None] == other[None, :]) & (own[:, None] >= 0)
+
+
+class Best:
+    """The best k of each query among what was seen, and what ties with them."""
+
+    def __init__(self, n: int, k: int, ids: pa.DataType):
+        self.k, self.room = k, max(4 * k * n, 1 << 16)
+        self.floor = np.full(n, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.held = 0
+        self.type = ids
+
+    def add(self, score: np.ndarray, ids: pa.Array) -> None:
+        top = min(self.k, score.shape[1])
+        floor = np.maximum(self.floor, np.partition(score, -top, axis=1)[:, -top] - TIE) if top == self.k else self.floor
+        who, what = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+        self.parts.append((who, score[who, what], ids.take(pa.array(what))))
+        self.held += len(who)
+        if self.held > self.room:
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), pa.array([], self.type)
+        who, score = np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts])
+        order = np.lexsort((-score, who))
+        owner, value = who[order], score[order]
+        kth = np.searchsorted(owner, owner) + self.k - 1
+        full = kth < np.searchsorted(owner, owner, side="right")
+        least = np.where(full, value[np.minimum(kth, len(value) - 1)] - TIE, -np.inf)
+        np.maximum.at(self.floor, owner, least)
+        keep = order[value >= least]
+        self.parts = [(who[keep], score[keep], pa.concat_arrays([p[2] for p in self.parts]).take(pa.array(keep)))]
+        self.held = len(keep)
+        return self.parts[0]
+
+
+def _searcher(asked: pa.Table, dim: int, k: int, least: float | None, by: str | None, others_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The work of one task on one block of queries."""
+    asked = asked.combine_chunks()
+    at, q = _units(asked.column("v").combine_chunks(), dim)
+    qids = asked.column("qid").combine_chunks().take(pa.array(at))
+    groups = asked.column(by).combine_chunks().take(pa.array(at)) if by else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            places, x = _units(batch.column(1), dim)
+            step = max(1, (1 << 22) // max(1, len(q)))
+            for s in range(0, len(places) if len(q) else 0, step):
+                rows = pa.array(places[s : s + step])
+                ids, score = batch.column(0).take(rows), q @ x[s : s + step].T
+                if by:
+                    score[~_alike(groups, batch.column(2).take(rows))] = -np.inf
+                if others_only:
+                    score[_alike(qids, ids)] = -np.inf
+                if least is not None:
+                    score[score < least - TIE] = -np.inf
+                best = best or Best(len(q), k, ids.type)
+                best.add(score, ids)
+        if best is not None:
+            who, score, ids = best.merged()
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(who)), ids, pa.array(score)], names=["qid", "id", "score"])
+
+    return run
+
+
+def vector_top(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, key: str = "id", vector: str = "embedding", digits: int = 9) -> DataFrame:
+    """The k nearest vectors of each query (qid, query_vector) by cosine to `digits` digits, ties to the smaller id. A vector may be its own query."""
+    rows = vectors if where is None else vectors.filter(where)
+    hits = nearest_rows(queries.select("qid", F.col("query_vector").alias("v")), rows.select(F.col(key).alias("id"), F.col(vector).alias("v")), k)
+    return top(hits.withColumn("_r", F.round("score", digits)), k, score="_r").drop("_r")
 
 
 def weighted_rrf(dense: DataFrame, sparse: DataFrame, k: int, alpha: float | Column = ALPHA, rrf_k: int | Column = RRF_K, by: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -132,15 +236,13 @@ def has_pages(rows: DataFrame) -> bool:
     return not rows.filter(F.col("page") >= 1).select(F.lit(1)).limit(1).isEmpty()
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _hashed(texts: pd.Series) -> pd.Series:
-    def vector(text: str | None) -> np.ndarray:
-        codes = np.array([zlib.crc32(w.encode()) for w in re.findall("[a-z0-9À-ɏ]+", (text or "").lower())], np.int64)
-        return np.bincount(codes % HASHED_DIM, weights=1.0 - 2.0 * (codes >> 31), minlength=HASHED_DIM)
-
-    return texts.map(vector)
-
-
 def hashed_embedding(text: Column) -> Column:
     """A stand-in for a model: words hashed to signed coordinates."""
-    return _hashed(text)
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9À-ɏ]+"), F.lit(0))
+
+    def coordinates(codes: Column) -> Column:
+        # the top bit of a word's code is its sign
+        counts = lambda bit: F.transform(F.sequence(F.lit(0), F.lit(HASHED_DIM - 1)), lambda d: F.size(F.filter(codes, lambda c: (c["d"] == d) & (c["up"] == bit))))
+        return F.zip_with(counts(0), counts(1), lambda plus, minus: (plus - minus).cast("double"))
+
+    return let(F.transform(words, lambda w: F.struct((F.crc32(w) % HASHED_DIM).cast("int").alias("d"), F.shiftright(F.crc32(w), 31).cast("int").alias("up"))), coordinates)

@@ -1,9 +1,7 @@
 """Registered queries of the engine and their DuckDB oracles.
 
-Queries run over whole tables, and a limit stands where it is the feature, a top-k report. Six are cut, as their SQL is:
-context_block and judge_context take the first 80 and 60 characters of a passage, vector_topk, vector_topk_filtered and
-hybrid_rrf ask with one row per label (hybrid_rrf with the first 60 characters of its text), language_of_chunks takes
-first turns. Their operators are not cut.
+Queries run over whole tables and whole texts; a limit stands where it is the feature, a top-k report. Searches ask
+with every row whose id is divisible by 50, against all rows.
 """
 
 from __future__ import annotations
@@ -42,8 +40,8 @@ s AS (SELECT qid, p.id, sum(times * idf * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE
 b AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM s WHERE score > 0)"""
 ONE = f"WITH q AS (SELECT 0 AS qid, '{QUESTION}' AS query),"
 MANY = "WITH q AS (SELECT item_id AS qid, text AS query FROM benchmark),"
-#: A vector as doubles, and the questions of the vector oracles: every vector of a label's smallest id.
-VQ = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))"
+#: A vector as doubles, and the questions of the vector oracles.
+VQ = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0)"
 VEC = VQ + ", vs AS (SELECT qid, id, label, list_cosine_similarity(qv, v) AS score FROM vq, v), d AS (SELECT qid, id, label, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM vs)"
 
 
@@ -71,13 +69,12 @@ def benchmark(spark: SparkSession, d: str) -> DataFrame:
 
 def stable(hits: DataFrame, k: int) -> DataFrame:
     """Top k by the score to 9 digits, so that sums in another order rank alike."""
-    return index.top(hits.filter("score > 0").withColumn("score", F.round("score", 9)), k)
+    return index.top(hits.filter("score > 0").withColumn("_r", F.round("score", 9)), k, score="_r").drop("_r")
 
 
-def label_questions(spark: SparkSession, d: str) -> DataFrame:
-    """One question vector per label: its smallest id."""
-    rows = table(spark, d, "embeddings")
-    return rows.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).select(F.col("q.vec_id").alias("qid"), F.col("q.embedding").alias("query_vector"))
+def vector_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors whose id is divisible by 50."""
+    return table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
 
 
 # --- text and index ------------------------------------------------------------------------------------------------
@@ -261,38 +258,32 @@ def metadata_contract(spark: SparkSession, d: str) -> DataFrame:
 
 @query("vector_topk", f"WITH {VEC} SELECT qid, id, round(score, 4) AS score, rank FROM d WHERE rank < 10")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.similarities(label_questions(spark, d), table(spark, d, "embeddings"), "vec_id")
-    return index.top(hits.withColumn("score", F.round("score", 9)), 10).select("qid", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    hits = retrieval.vector_top(vector_questions(spark, d), table(spark, d, "embeddings"), 10, key="vec_id")
+    return hits.select("qid", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("vector_topk_filtered", f"WITH {VEC} SELECT qid, id, round(score, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS rank FROM d WHERE label IN (1, 2, 3) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 5")
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").filter(filters.compiled({"label": {"$in": [1, 2, 3]}}))
-    hits = retrieval.similarities(label_questions(spark, d), rows, "vec_id")
-    return index.top(hits.withColumn("score", F.round("score", 9)), 5).select("qid", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    hits = retrieval.vector_top(vector_questions(spark, d), table(spark, d, "embeddings"), 5, filters.compiled({"label": {"$in": [1, 2, 3]}}), "vec_id")
+    return hits.select("qid", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _rankings(spark: SparkSession, d: str, k: int, vectors: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
-    """Vector and keyword rankings of the same questions: the vector and `text` of the row with that id."""
-    dense = index.top(retrieval.similarities(vectors, table(spark, d, "embeddings"), "vec_id").withColumn("score", F.round("score", 9)), k)
-    asked = vectors.join(docs(spark, d), vectors.qid == F.col("doc_id")).select("qid", text.alias("query"))
-    return dense, stable(index.bm25_scores(docs(spark, d), asked), k)
+def _rankings(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Vector and keyword rankings of the same questions: each vector asked with, and the whole text of the document of its id."""
+    asked = vector_questions(spark, d)
+    dense = retrieval.vector_top(asked, table(spark, d, "embeddings"), k, key="vec_id")
+    texts = asked.join(docs(spark, d), asked.qid == F.col("doc_id")).select("qid", F.col("text").alias("query"))
+    return dense, stable(index.bm25_scores(docs(spark, d), texts), k)
 
 
-_BOTH = f"WITH {VEC}, q AS (SELECT qid, substring(text, 1, 60) AS query FROM vq JOIN documents ON doc_id = qid), {BM25}"
-_FUSED = "coalesce(x.qid, y.qid) AS qid, coalesce(x.id, y.id) AS id, {a}::DOUBLE / ({r} + coalesce(x.rank, 20) + 1) + (1.0::DOUBLE - {a}::DOUBLE) / ({r} + coalesce(y.rank, 20) + 1) AS score FROM (SELECT * FROM d WHERE rank < 20) x FULL OUTER JOIN (SELECT * FROM b WHERE rank < 20) y ON x.qid = y.qid AND x.id = y.id"
+_BOTH = f"WITH {VEC}, q AS (SELECT qid, text AS query FROM vq JOIN documents ON doc_id = qid), {BM25}"
+_FUSED = "coalesce(x.qid, y.qid) AS qid, coalesce(x.id, y.id) AS id, {a}::DOUBLE / ({r} + coalesce(x.rank, {k}) + 1) + (1.0::DOUBLE - {a}::DOUBLE) / ({r} + coalesce(y.rank, {k}) + 1) AS score FROM (SELECT * FROM d WHERE rank < {f}) x FULL OUTER JOIN (SELECT * FROM b WHERE rank < {f}) y ON x.qid = y.qid AND x.id = y.id"
 
 
-@query("hybrid_rrf", f"{_BOTH}, f AS (SELECT {_FUSED.format(a=0.6, r=60)}) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) - 1 AS rank FROM f QUALIFY rank < 20")
+@query("hybrid_rrf", f"{_BOTH}, f AS (SELECT {_FUSED.format(a=0.6, r=60, k=20, f=20)}) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM f QUALIFY rank < 20")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    dense, sparse = _rankings(spark, d, 20, label_questions(spark, d), F.substring("text", 1, 60))
-    fused = retrieval.weighted_rrf(dense, sparse, 40)
-    return index.top(fused.withColumn("score", _fused_score()).select("qid", "id", "score"), 20).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
-def _fused_score():
-    missing = F.lit(20)
-    return F.round(F.lit(0.6) / (F.lit(60) + F.coalesce("dense_rank", missing) + 1) + (F.lit(1.0) - F.lit(0.6)) / (F.lit(60) + F.coalesce("sparse_rank", missing) + 1), 12)
+    dense, sparse = _rankings(spark, d, 20)
+    return retrieval.weighted_rrf(dense, sparse, 20).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("multi_query_rrf", f"{MANY} {BM25}, l AS (SELECT qid % 8 AS question, qid AS list_no, id, rank FROM b WHERE rank < 10), f AS (SELECT question, id, sum(1.0::DOUBLE / (60 + rank + 1)) AS score, min(list_no * 1000 + rank) AS first FROM l GROUP BY 1, 2) SELECT question AS qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY question ORDER BY round(score, 12) DESC, first, id) - 1 AS rank FROM f QUALIFY rank < 10")
@@ -308,10 +299,10 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.within_budget(rows, 12_000, "source", "doc_id").select("doc_id", "source", F.md5(F.col("document").cast("binary")).alias("document"))
 
 
-@query("context_block", f"{MANY} {BM25}, h AS (SELECT qid, rank, source, substring(text, 1, 80) AS t FROM b JOIN documents ON doc_id = id WHERE rank < 3) SELECT qid, string_agg('[' || (rank + 1) || '] (Source: ' || source || ')' || chr(10) || t || chr(10), chr(10) ORDER BY rank) AS context FROM h GROUP BY 1")
+@query("context_block", f"{MANY} {BM25}, h AS (SELECT qid, rank, source, text AS t FROM b JOIN documents ON doc_id = id WHERE rank < 3) SELECT qid, string_agg('[' || (rank + 1) || '] (Source: ' || source || ')' || chr(10) || t || chr(10), chr(10) ORDER BY rank) AS context FROM h GROUP BY 1")
 def context_block(spark: SparkSession, d: str) -> DataFrame:
     hits = stable(index.bm25_scores(docs(spark, d), benchmark(spark, d)), 3)
-    rows = hits.join(docs(spark, d), F.col("id") == F.col("doc_id")).select("qid", "rank", "source", F.lit(None).cast("int").alias("page"), F.substring("text", 1, 80).alias("document"), F.lit(False).alias("injection_suspected"), F.array().cast("array<string>").alias("injection_signals"))
+    rows = hits.join(docs(spark, d), F.col("id") == F.col("doc_id")).select("qid", "rank", "source", F.lit(None).cast("int").alias("page"), F.col("text").alias("document"), F.lit(False).alias("injection_suspected"), F.array().cast("array<string>").alias("injection_signals"))
     return retrieval.context_block(rows)
 
 
@@ -430,12 +421,20 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.average_precision(rows)
 
 
-@query("calibration_grid")
+_GRID = """, g AS (SELECT a / 10.0::DOUBLE AS alpha, r AS rrf_k FROM range(11) t(a), (VALUES (10), (30), (60), (100)) u(r)),
+f AS (SELECT g.alpha, g.rrf_k, coalesce(x.qid, y.qid) AS qid, coalesce(x.id, y.id) AS id, g.alpha / (g.rrf_k + coalesce(x.rank, 5) + 1) + (1.0::DOUBLE - g.alpha) / (g.rrf_k + coalesce(y.rank, 5) + 1) AS score FROM (SELECT * FROM d WHERE rank < 20) x FULL OUTER JOIN (SELECT * FROM b WHERE rank < 20) y ON x.qid = y.qid AND x.id = y.id, g),
+k AS (SELECT *, row_number() OVER (PARTITION BY alpha, rrf_k, qid ORDER BY score DESC, id) AS place FROM f QUALIFY place <= 5),
+e AS (SELECT qid, source FROM q JOIN documents ON doc_id = qid),
+j AS (SELECT k.*, d2.source = e.source AS rel FROM k JOIN documents d2 ON d2.doc_id = k.id JOIN e USING (qid)),
+m AS (SELECT alpha, rrf_k, qid, max(rel::INTEGER)::DOUBLE AS recall, sum(rel::INTEGER) / 5.0::DOUBLE AS precision, coalesce(1.0::DOUBLE / min(CASE WHEN rel THEN place END), 0) AS mrr, sum(CASE WHEN rel THEN 1.0::DOUBLE / log2(place + 1) ELSE 0 END) / (1.0::DOUBLE + 1 / log2(3.0::DOUBLE) + 0.5::DOUBLE + 1 / log2(5.0::DOUBLE) + 1 / log2(6.0::DOUBLE)) AS ndcg, max(rel::INTEGER)::DOUBLE AS hit_rate FROM j GROUP BY 1, 2, 3)
+SELECT alpha, rrf_k, round(avg(recall), 4) AS recall, round(avg(precision), 4) AS precision, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, round(avg(hit_rate), 4) AS hit_rate FROM m GROUP BY 1, 2"""
+
+
+@query("calibration_grid", _BOTH + _GRID)
 def calibration_grid(spark: SparkSession, d: str) -> DataFrame:
     """Every vector whose id is divisible by 50 asks, with the whole text of the document of that id."""
-    vectors = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
-    dense, sparse = _rankings(spark, d, 20, vectors, F.col("text"))
-    asked = vectors.select("qid").join(docs(spark, d).select(F.col("doc_id").alias("qid"), F.array("source").alias("expected"), F.lit(10).alias("relevant_in_corpus")), "qid")
+    dense, sparse = _rankings(spark, d, 20)
+    asked = vector_questions(spark, d).select("qid").join(docs(spark, d).select(F.col("doc_id").alias("qid"), F.array("source").alias("expected"), F.lit(10).alias("relevant_in_corpus")), "qid")
     return evaluation.calibration(written(dense, "dense"), written(sparse, "sparse"), asked, docs(spark, d).select(F.col("doc_id").alias("id"), "source"), 5)
 
 
@@ -587,10 +586,10 @@ def search_answers(spark: SparkSession, d: str) -> DataFrame:
     return answer(Library.of(written(rows, "chunks")), benchmark(spark, d).withColumnRenamed("query", "question"), 3, owners=["shared"])
 
 
-@query("judge_context", f"{MANY} {BM25}, h AS (SELECT qid, rank, substring(text, 1, 60) AS t FROM b JOIN documents ON doc_id = id WHERE rank < 3) SELECT qid, string_agg('[Context ' || (rank + 1) || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY 1")
+@query("judge_context", f"{MANY} {BM25}, h AS (SELECT qid, rank, text AS t FROM b JOIN documents ON doc_id = id WHERE rank < 3) SELECT qid, string_agg('[Context ' || (rank + 1) || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY 1")
 def judge_context(spark: SparkSession, d: str) -> DataFrame:
     hits = stable(index.bm25_scores(docs(spark, d), benchmark(spark, d)), 3)
-    return retrieval.judge_context(hits.join(docs(spark, d), F.col("id") == F.col("doc_id")).select("qid", "rank", F.substring("text", 1, 60).alias("document")))
+    return retrieval.judge_context(hits.join(docs(spark, d), F.col("id") == F.col("doc_id")).select("qid", "rank", F.col("text").alias("document")))
 
 
 @query("answer_text", "SELECT conv_id AS qid, 'answer' || chr(10) || chr(10) || 'Sources:' || chr(10) || string_agg('[' || turn + 1 || '] ' || role || CASE WHEN turn % 2 = 0 THEN ', p. ' || turn ELSE '' END, chr(10) ORDER BY turn) AS answer FROM conversations GROUP BY 1")
@@ -656,8 +655,8 @@ def usage_cost(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.cost(usage, prices).select("id", "cost")
 
 
-@query("language_of_chunks", "SELECT conv_id, text AS message, 'en' AS lang, coalesce(CASE WHEN role = 'user' THEN upper(role) END, text) AS text FROM conversations WHERE turn = 0")
+@query("language_of_chunks", "SELECT conv_id, text AS message, 'en' AS lang, CASE WHEN text IN (SELECT text FROM conversations WHERE role = 'user') THEN 'USER' ELSE text END AS text FROM conversations")
 def language_of_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").filter("turn = 0").select("conv_id", F.col("text").alias("message"), F.lit("en").alias("lang"), "role")
+    rows = table(spark, d, "conversations").select("conv_id", F.col("text").alias("message"), F.lit("en").alias("lang"), "role")
     known = rows.filter("role = 'user'").select("message", "lang", F.upper("role").alias("translation")).distinct()
     return T.localized(rows.drop("role"), known).select("conv_id", "message", "lang", "text")
