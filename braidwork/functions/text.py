@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Token characters, stopwords, question markers, refusal markers.
 TOKEN = "[a-zA-Z0-9À-ɏ]+"
@@ -143,6 +141,31 @@ def routed_language(lang: Column, supported: tuple[str, ...] = ("de", "en", "es"
     return F.when(lang.isin(*supported), lang).otherwise(F.lit("en"))
 
 
+#: Words by which a text's language is told where nothing else tells it.
+LANGUAGE_WORDS = {
+    "de": "der die das und ist nicht mit ein eine für auf von zu den dem werden auch sich".split(),
+    "en": "the of and to in is that for with as this are was not be from by on".split(),
+    "es": "el la los las y de que en un una con por para no se del es lo".split(),
+}
+
+
+def detected_language(text: Column, default: str = "en") -> Column:
+    """The language whose common words a text has most of; ties and texts without any go to the default."""
+    words = tokens(text)
+
+    def voted(said: Column) -> Column:
+        counts = F.array(*[F.struct(F.size(F.filter(said, _one_of(words_))).alias("n"), F.lit(lang).alias("lang")) for lang, words_ in sorted(LANGUAGE_WORDS.items())])
+        best = F.array_max(F.transform(counts, lambda c: c["n"]))
+        first = F.filter(counts, lambda c: c["n"] == best)
+        return F.when((best > 0) & (F.size(first) == 1), F.element_at(first, 1)["lang"]).otherwise(F.lit(default))
+
+    return let(words, voted)
+
+
+def _one_of(words: list[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(words)
+
+
 def stream_pieces(answer: Column) -> Column:
     """Pieces of an answer as they are streamed: a word with the blanks behind it, or leading blanks."""
     return F.regexp_extract_all(answer, F.lit(r"\S+\s*|\s+"), F.lit(0))
@@ -169,29 +192,19 @@ def normalised_verdicts(verdicts: Column, n: Column) -> Column:
     return F.slice(F.concat(given, F.array_repeat(F.lit(False), n)), 1, n)
 
 
-def first_object(text: str) -> str | None:
-    """The first balanced {...} of a text that parses as JSON."""
-    import json
-
-    at = text.find("{")
-    while at >= 0:
-        depth = 0
-        for i in range(at, len(text)):
-            depth += (text[i] == "{") - (text[i] == "}")
-            if depth == 0:
-                try:
-                    json.loads(text[at : i + 1])
-                    return text[at : i + 1]
-                except ValueError:
-                    break
-        at = text.find("{", at + 1)
-    return None
-
-
-@F.pandas_udf(StringType())
-def json_object(texts: pd.Series) -> pd.Series:
-    """The JSON object in a judge's reply, null where there is none."""
-    return texts.map(lambda t: first_object(t) if t else None)
+def json_object(reply: Column) -> Column:
+    """The first balanced {...} of a judge's reply that parses as JSON, null where there is none. Replies are short: the work is a brace's times a reply's length."""
+    def depths(chars: Column) -> Column:
+        steps = F.transform(chars, lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
+        return F.aggregate(steps, F.array(F.lit(0)), lambda acc, s: F.array_append(acc, F.element_at(acc, -1) + s))
+
+    def found(x: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(x["chars"])), lambda i: F.element_at(x["chars"], i) == "{")
+        end = lambda i: F.try_element_at(F.filter(F.sequence(i, F.size(x["chars"])), lambda j: F.get(x["depth"], j) < F.get(x["depth"], i)), F.lit(1))
+        return F.try_element_at(F.filter(F.transform(at, lambda i: F.substring(reply, i, end(i) - i + F.lit(1))), lambda o: F.get_json_object(o, "$").isNotNull()), F.lit(1))
+
+    chars = F.filter(F.split(reply, ""), lambda c: c != "")
+    return F.when(F.contains(reply, F.lit("{")), let(chars, lambda c: let(F.struct(c.alias("chars"), depths(c).alias("depth")), found)))
 
 
 def judged(reply: Column) -> Column:

@@ -160,3 +160,10 @@ def corpus_identity(files: DataFrame) -> DataFrame:
     """One hash over names and contents (filename, content_hash), whatever their order in the table: 16 hex digits. One short row per file is gathered."""
     line = F.concat_ws(":", "filename", "content_hash")
     return files.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256), 1, 16).alias("identity"), F.count("*").alias("files"))
+
+
+def search_report(found: DataFrame, truth: DataFrame, seconds: DataFrame, k: int) -> DataFrame:
+    """One row on a search: mean recall@k against the true neighbours (qid, id), and interpolated percentiles of its seconds (qid, seconds)."""
+    recall = recall_of(found, truth, k).agg(F.avg("recall").alias("recall"))
+    times = seconds.agg(*[F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY seconds)").alias(f"p{round(100 * p)}") for p in (0.5, 0.95)])
+    return recall.crossJoin(times)

@@ -17,7 +17,7 @@ def error_windows(events: DataFrame, failed: Column, gap: float = 5.0, by: str |
     """Spans of failures at most `gap` seconds apart: first, last, failures. Successes in between end none.
 
     Spans are cut in parallel: events fall into days of their own, each is cut by itself, and spans that meet at the
-    edge of a day are joined in a second, far smaller step.
+    edge of a day are joined in a second step over the spans; without `by` that step is one task.
     """
     keys = [by] if by else []
     micros = F.unix_micros(F.col(at).cast("timestamp"))
@@ -115,7 +115,26 @@ def request_counts(requests: DataFrame, by: tuple[str, ...], value: str, edges:
 
 def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Usage (id, model, prompt_tokens, completion_tokens) with its price by the longest matching model pattern ('*' for any text) of a price table; unknown models cost nothing."""
-    priced = usage.join(F.broadcast(prices), F.expr("model RLIKE concat('^', replace(replace(pattern, '.', '\\\\.'), '*', '.*'), '$')"), "left")
-    best = priced.groupBy("id", "model", "prompt_tokens", "completion_tokens").agg(F.max_by(F.struct("prompt_price", "completion_price"), F.length("pattern")).alias("p"))
+    # few models stand in many rows: patterns meet the distinct names only
+    models = usage.select("model").distinct()
+    priced = models.join(prices, F.expr("model RLIKE concat('^', replace(replace(pattern, '.', '\\\\.'), '*', '.*'), '$')"), "left")
+    best = priced.groupBy("model").agg(F.max_by(F.struct("prompt_price", "completion_price"), F.length("pattern")).alias("p"))
     total = (F.col("prompt_tokens") * F.col("p.prompt_price") + F.col("completion_tokens") * F.col("p.completion_price")) / 1000
-    return best.select("id", "model", F.coalesce(total, F.lit(0.0)).alias("cost"))
+    return usage.join(best, "model", "left").select("id", "model", F.coalesce(total, F.lit(0.0)).alias("cost"))
+
+
+# Upper bounds of the attempts and seconds of a repaired answer.
+ATTEMPT_EDGES, SECOND_EDGES = (1, 2, 3, 4, 5, 6), (0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
+
+
+def healing_counters(answers: DataFrame) -> DataFrame:
+    """Repaired answers (status, failures, attempts, rewrites) as counters: (counter, label, value), histograms cumulative."""
+    def counted(rows: DataFrame, counter: str) -> DataFrame:
+        return rows.groupBy("label").agg(F.count("*").alias("value")).select(F.lit(counter).alias("counter"), "label", "value")
+
+    out = counted(answers.select(F.col("status").alias("label")), "outcome")
+    out = out.unionByName(counted(answers.select(F.explode("failures").alias("label")), "failure"))
+    edges = answers.agg(*[F.count_if(F.col("attempts") <= e).alias(str(e)) for e in ATTEMPT_EDGES], F.sum(F.size("rewrites")).alias("rewrites"), F.count("*").alias("n"))
+    names = [str(e) for e in ATTEMPT_EDGES]
+    histogram = edges.select(F.inline(F.array(*[F.struct(F.lit("attempts_le").alias("counter"), F.lit(e).alias("label"), F.col(e).alias("value")) for e in names], F.struct(F.lit("attempts_le").alias("counter"), F.lit("+Inf").alias("label"), F.col("n").alias("value")), F.struct(F.lit("rewrites").alias("counter"), F.lit("").alias("label"), F.coalesce("rewrites", F.lit(0)).alias("value")))))
+    return out.unionByName(histogram)

@@ -145,13 +145,14 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int, where: Column | N
     return top(hits.withColumn("_r", F.round("score", digits)), k, score="_r").drop("_r")
 
 
-def weighted_rrf(dense: DataFrame, sparse: DataFrame, k: int, alpha: float | Column = ALPHA, rrf_k: int | Column = RRF_K, by: tuple[str, ...] = ("qid",)) -> DataFrame:
-    """Fused ranking of two rankings (by..., id, rank from 0). An id missing from one ranks k there."""
+def weighted_rrf(dense: DataFrame, sparse: DataFrame, k: int | Column, alpha: float | Column = ALPHA, rrf_k: int | Column = RRF_K, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """Fused ranking of two rankings (by..., id, rank from 0). An id missing from one ranks k there. A column for k, alpha or rrf_k must be of by."""
     on = [*by, "id"]
     both = dense.select(*on, F.col("rank").alias("dense_rank")).join(sparse.select(*on, F.col("rank").alias("sparse_rank")), on, "full_outer")
     alpha = F.lit(alpha) if not isinstance(alpha, Column) else alpha
     rrf_k = F.lit(rrf_k) if not isinstance(rrf_k, Column) else rrf_k
-    score = alpha / (rrf_k + F.coalesce("dense_rank", F.lit(k)) + 1) + (F.lit(1.0) - alpha) / (rrf_k + F.coalesce("sparse_rank", F.lit(k)) + 1)
+    k = F.lit(k) if not isinstance(k, Column) else k
+    score = alpha / (rrf_k + F.coalesce("dense_rank", k) + 1) + (F.lit(1.0) - alpha) / (rrf_k + F.coalesce("sparse_rank", k) + 1)
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "id")
     return both.withColumn("score", score).withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
@@ -215,10 +216,11 @@ def sections_of(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     return chunks.join(parents.select("parent_id", F.col("content").alias("_section")), "parent_id", "left").withColumn("section_text", F.coalesce("_section", "content")).drop("_section")
 
 
-def judge_context(contexts: DataFrame, by: str = "qid", order: str = "rank") -> DataFrame:
-    """Passages numbered for a judge, an empty line between."""
+def judge_context(contexts: DataFrame, by: str = "qid", order: str = "rank", bare: bool = False) -> DataFrame:
+    """Passages numbered for a judge, an empty line between: "[Context i]" above each, or, bare, "[i] " before it."""
     w = Window.partitionBy(by).orderBy(order)
-    part = F.concat(F.lit("[Context "), F.row_number().over(w).cast("string"), F.lit("]\n"), F.col("document"))
+    number = F.row_number().over(w).cast("string")
+    part = F.concat(F.lit("["), number, F.lit("] "), F.col("document")) if bare else F.concat(F.lit("[Context "), number, F.lit("]\n"), F.col("document"))
     rows = contexts.withColumn("_n", F.row_number().over(w)).withColumn("_part", part)
     return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_part"))), lambda x: x["_part"]), "\n\n").alias("context"))
 
@@ -231,6 +233,22 @@ def answer_text(answers: DataFrame, cited: DataFrame) -> DataFrame:
     return joined.withColumn("answer", F.when(F.col("_notes").isNull(), F.col("answer")).otherwise(F.concat("answer", F.lit("\n\nSources:\n"), "_notes"))).drop("_notes")
 
 
+def formatted_answer(answers: DataFrame, cited: DataFrame, style: str = "inline") -> DataFrame:
+    """Answers (qid, answer), trimmed, with their citations (qid, rank, filename, page, text_snippet): inline lists "[n] locator", endnote "n. locator — *snippet*"."""
+    heads = {"inline": "\n\n**Citations:**\n", "endnote": "\n\n---\n**Sources:**\n"}
+    number, place = (F.col("rank") + 1).cast("string"), locator(F.col("filename"), F.col("page"))
+    line = F.concat(F.lit("["), number, F.lit("] "), place, F.lit("\n")) if style == "inline" else F.concat(number, F.lit(". "), place, F.lit(" — *"), F.col("text_snippet"), F.lit("*\n"))
+    notes = cited.withColumn("_line", line).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_line"))), lambda x: x["_line"]), "").alias("_notes"))
+    return answers.join(notes, "qid", "left").withColumn("answer", F.concat(F.trim("answer"), F.when(F.col("_notes").isNull(), "").otherwise(F.concat(F.lit(heads[style]), "_notes")))).drop("_notes")
+
+
+def passages(hits: DataFrame) -> DataFrame:
+    """Hits as clients see them: the path is what follows the owner in document_key, scores have 4 digits, times are ISO."""
+    path = F.expr("substring(document_key, locate(':', document_key) + 1)")
+    more = [F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ssXXX").alias(c) for c in ("ingested_at", "file_modified_at") if c in hits.columns]
+    return hits.select("qid", "id", path.alias("document"), F.col("document").alias("text"), "page", *[c for c in ("section",) if c in hits.columns], F.round("score", 4).alias("score"), *more)
+
+
 def has_pages(rows: DataFrame) -> bool:
     """Whether any row in scope stands on a page."""
     return not rows.filter(F.col("page") >= 1).select(F.lit(1)).limit(1).isEmpty()

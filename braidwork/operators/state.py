@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.functions.text import prompt_valid
+
 # Job states and limits.
 TERMINAL = ("completed", "failed", "cancelled")
 KEEP_JOBS, HISTORY, HISTORY_CHARS, TITLE = 500, 6, 500, 42
@@ -123,6 +125,43 @@ def activated(active: DataFrame, changes: DataFrame, events: DataFrame, at: Colu
     return kept.unionByName(real.select("name", F.col("to_hash").alias("hash"))), events.select(*logged.columns).unionByName(logged)
 
 
+#: Names of prompts.
+NAME = "^[a-z][a-z0-9._-]*$"
+
+
+def register(versions: DataFrame, active: DataFrame, events: DataFrame, prompts: DataFrame, now: Column, actor: str = "application") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables versions (name, hash, prompt, required_fields, created_at, created_by), active (name, hash) and events (name, from_hash, to_hash, action, actor, at) after prompts (name, prompt, required_fields) are registered.
+
+    A version that is in stays as it is. The first version of a name becomes active, and that is logged. A name that is
+    no name, or a prompt that does not name exactly its fields, fails the job.
+    """
+    good = F.col("name").rlike(NAME) & prompt_valid(F.col("prompt"), F.col("required_fields"))
+    checked = prompts.withColumn("_ok", F.assert_true(F.coalesce(good, F.lit(False)), F.concat(F.lit("not a valid prompt: "), F.coalesce("name", F.lit("null"))))).filter("_ok IS NULL").drop("_ok")
+    rows = checked.select("name", F.sha2("prompt", 256).alias("hash"), "prompt", F.array_sort("required_fields").alias("required_fields"), now.alias("created_at"), F.lit(actor).alias("created_by")).dropDuplicates(["name", "hash"])
+    all_versions = versions.unionByName(rows.join(versions, ["name", "hash"], "left_anti"))
+    first = rows.groupBy("name").agg(F.min("hash").alias("hash")).join(active.select("name"), "name", "left_anti")
+    logged = first.select("name", F.lit(None).cast("string").alias("from_hash"), F.col("hash").alias("to_hash"), F.lit("initialize").alias("action"), F.lit(actor).alias("actor"), now.alias("at"))
+    return all_versions, active.select("name", "hash").unionByName(first), events.unionByName(logged)
+
+
+def created_chats(chats: DataFrame, fresh: DataFrame, now: Column, title: str = "New chat") -> DataFrame:
+    """chats with new ones (id, user_id); ids that are there stay as they are."""
+    rows = fresh.join(chats.select("id"), "id", "left_anti").select("id", "user_id", F.lit(title).alias("title"), now.alias("created_at"), now.alias("updated_at"))
+    return chats.unionByName(rows, allowMissingColumns=True)
+
+
+def deleted_chats(chats: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chats and messages without the chats (id, user_id) that their own users delete."""
+    own = chats.join(gone.select("id", "user_id"), ["id", "user_id"], "left_semi").select("id")
+    return chats.join(own, "id", "left_anti"), messages.join(own.withColumnRenamed("id", "chat_id"), "chat_id", "left_anti")
+
+
+def own_chats(chats: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (id, user_id) with exists: whether the chat is there and the user's."""
+    known = chats.select("id", "user_id", F.lit(True).alias("_there")).distinct()
+    return asked.join(known, ["id", "user_id"], "left").withColumn("exists", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
 def resolved(shipped: DataFrame, versions: DataFrame, active: DataFrame) -> DataFrame:
     """The active text of every shipped prompt (name, prompt); the shipped one where none is active."""
     now = active.select("name", "hash").join(versions.select("name", "hash", F.col("prompt").alias("_active")), ["name", "hash"])

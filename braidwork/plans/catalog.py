@@ -376,16 +376,10 @@ def retry_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("healing_loop")
 def healing_loop(spark: SparkSession, d: str) -> DataFrame:
-    built = index.build(docs(spark, d))
-    built = index.Index(written(built.postings, "postings"), written(built.lengths, "lengths"))
-    texts = docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    from braidwork.plans.search import Library, healed
 
-    def retrieve(asked: DataFrame) -> DataFrame:
-        hits = stable(index.scores(built, asked), 5).join(texts, "id")
-        packed = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "score"))).alias("h"))
-        return packed.select("qid", F.transform("h", lambda x: x["text"]).alias("documents"), F.transform("h", lambda x: x["score"]).alias("scores"), F.lit("rrf").alias("score_kind"))
-
-    return healing.heal(benchmark(spark, d).withColumnRenamed("query", "question"), retrieve)
+    rows = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("document"), F.lit("shared").alias("owner"), retrieval.hashed_embedding(F.col("text")).alias("embedding"))
+    return healed(Library.of(written(rows, "chunks")), benchmark(spark, d).withColumnRenamed("query", "question"), use_hybrid=True)
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------

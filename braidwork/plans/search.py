@@ -6,12 +6,12 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions.text import lexical_overlap
-from braidwork.operators import filters, index, retrieval
-from braidwork.operators.healing import extractive_answer
+from braidwork.operators import filters, index, ingest, retrieval
+from braidwork.operators.healing import extractive_answer, heal
 from braidwork.sources.shared import written
 
 
@@ -28,6 +28,17 @@ class Library:
         return cls(chunks, index.build(chunks, "id", "document").stored(written))
 
 
+def _on_named_pages(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows on the pages that questions name: an equi-join by page number, spans spelled out up to the last page there is, and one by the mark of last pages."""
+    last = F.broadcast(rows.agg(F.coalesce(F.max("page"), F.lit(0)).alias("_last")))
+    each = asked.crossJoin(last).withColumn("_s", F.explode("spans"))
+    upper = F.least(F.col("_s.high"), F.col("_last"))
+    numbers = each.filter(~F.col("_s.last") & (F.col("_s.low") <= upper) & (upper >= 1)).select("qid", F.explode(F.sequence(F.greatest(F.col("_s.low"), F.lit(1)), upper)).alias("page")).distinct()
+    ends = each.filter("_s.last").select("qid").distinct().withColumn("is_last_page", F.lit(True))
+    met = numbers.join(rows.select("id", "page"), "page").select("qid", "id").union(ends.join(rows.select("id", "is_last_page"), "is_last_page").select("qid", "id")).distinct()
+    return met.join(asked, "qid").join(rows, "id")
+
+
 def search(library: Library, questions: DataFrame, k: int = 5, owners: list[str] | None = None, where: Mapping[str, Any] | None = None, hybrid: bool = True, rerank: bool = False, scorer: Callable[[Column, Column], Column] = lexical_overlap, embed: Callable[[Column], Column] = retrieval.hashed_embedding, alpha: float = retrieval.ALPHA) -> DataFrame:
     """The k best chunks of each question (qid, question): hits with chunk columns, rank and score.
 
@@ -47,7 +58,7 @@ def search(library: Library, questions: DataFrame, k: int = 5, owners: list[str]
     else:
         ranked = dense
     hits = ranked.join(visible, "id")
-    paged = on_page.select("qid", "spans", embed(F.col("query")).alias("_q")).join(visible.filter("page >= 1"), filters.on_pages(F.col("spans"), F.col("page"), F.col("is_last_page")))
+    paged = _on_named_pages(on_page.select("qid", "spans", embed(F.col("query")).alias("_q")), visible.filter("page >= 1"))
     paged = paged.withColumn("score", F.coalesce(retrieval.dot(retrieval.unit(F.col("_q")), retrieval.unit(F.col("embedding"))), F.lit(0.0))).drop("_q", "spans")
     hits = hits.unionByName(retrieval.reading_order(paged, max(fetch, 20)), allowMissingColumns=True)
     if rerank:
@@ -55,6 +66,41 @@ def search(library: Library, questions: DataFrame, k: int = 5, owners: list[str]
     return hits.filter(F.col("rank") < k) if not rerank else hits
 
 
+def planned(library: Library, asked: DataFrame, owners: list[str] | None = None, where: Mapping[str, Any] | None = None, scorer: Callable[[Column, Column], Column] = lexical_overlap, embed: Callable[[Column], Column] = retrieval.hashed_embedding) -> DataFrame:
+    """Passages for rows of a repair plan: (qid, question, queries, fetch_k, final_k, use_hybrid, use_reranker, alpha) -> (qid, documents, scores, score_kind).
+
+    Every query of a row is searched on its own, hybrid rows with their own weight; the lists of a row are fused, cut to
+    fetch_k, reranked against the question where the plan says so, and cut to final_k.
+    """
+    visible = filters.scoped(library.chunks, owners, where=where)
+    plans = asked.select("qid", "question", "fetch_k", "final_k", "use_hybrid", "use_reranker", F.coalesce("alpha", F.lit(retrieval.ALPHA)).alias("alpha"), F.size("queries").alias("n"))
+    lists = asked.select("qid", F.posexplode("queries").alias("list_no", "query"))
+    widest = plans.agg(F.max("fetch_k")).first()[0] or 1
+    one = lists.select(F.struct("qid", "list_no").alias("qid"), "query")
+    dense = retrieval.vector_top(one.select("qid", embed(F.col("query")).alias("query_vector")), visible, widest)
+    sparse = index.bm25_top(library.keywords, one, widest, visible.select("id"))
+    whole = plans.select("qid", "fetch_k", "use_hybrid", "alpha")
+    fetched = lambda hits: hits.select("qid.qid", "qid.list_no", "id", "rank", "score").join(whole, "qid").filter(F.col("rank") < F.col("fetch_k"))
+    by = ("qid", "list_no", "use_hybrid", "alpha", "fetch_k")
+    mixed = retrieval.weighted_rrf(fetched(dense).filter("use_hybrid"), fetched(sparse).filter("use_hybrid"), F.col("fetch_k"), F.col("alpha"), by=by)
+    ranked = mixed.select("qid", "list_no", "id", "rank", "score").unionByName(fetched(dense).filter("NOT use_hybrid").select("qid", "list_no", "id", "rank", "score"))
+    fused = retrieval.multi_query_rrf(ranked, widest).join(plans, "qid").filter(F.col("rank") < F.col("fetch_k"))
+    hits = fused.join(visible.select("id", "document"), "id")
+    again = hits.filter("use_reranker").withColumn("score", F.round(scorer(F.col("question"), F.col("document")), 4))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "rank")
+    again = again.withColumn("rank", F.row_number().over(w) - 1)
+    kept = hits.filter("NOT use_reranker").unionByName(again).filter(F.col("rank") < F.col("final_k"))
+    kind = F.when(F.first("use_reranker"), "rerank").when(F.first("use_hybrid") | (F.first("n") > 1), "rrf").otherwise("vector")
+    packed = kept.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "document", "score"))).alias("h"), kind.alias("score_kind"))
+    return packed.select("qid", F.transform("h", lambda x: x["document"]).alias("documents"), F.transform("h", lambda x: x["score"].cast("double")).alias("scores"), "score_kind")
+
+
+def healed(library: Library, questions: DataFrame, **options: Any) -> DataFrame:
+    """Verified answers with repairs over a library: (qid, question) -> what heal gives."""
+    reach = {k: options.pop(k) for k in ("owners", "where", "scorer", "embed") if k in options}
+    return heal(questions, lambda asked: planned(library, asked, **reach), corpus_is_empty=lambda: library.chunks.isEmpty(), **options)
+
+
 def answer(library: Library, questions: DataFrame, k: int = 5, budget: int = retrieval.CONTEXT_CHARS, generate: Callable[[Column, Column], Column] = extractive_answer, **options: Any) -> DataFrame:
     """One row per question: answer text with its sources, from contexts within the budget."""
     hits = retrieval.within_budget(search(library, questions, k, **options), budget)
@@ -62,3 +108,27 @@ def answer(library: Library, questions: DataFrame, k: int = 5, budget: int = ret
     rows = questions.join(packed, "qid", "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))
     answers = rows.select("qid", generate(F.col("question"), F.col("documents")).alias("answer"))
     return retrieval.answer_text(answers, hits)
+
+
+def tools(library: Library, owners: tuple[str, ...] = ("shared",)) -> dict[str, Callable[..., DataFrame]]:
+    """The read-only calls that an assistant gets, each a thin caller of the operators above; only the given owners' rows are seen."""
+    visible = filters.scoped(library.chunks, list(owners))
+    key = lambda document: None if document is None else {"filename": document}
+
+    def search_knowledge_base(questions: DataFrame, top_k: int = 5, use_hybrid: bool = True, use_reranker: bool = False, document: str | None = None) -> DataFrame:
+        return search(library, questions, min(max(top_k, 1), 50), list(owners), key(document), use_hybrid, use_reranker)
+
+    def ask_knowledge_base(questions: DataFrame, top_k: int = 5, self_heal: bool = False) -> DataFrame:
+        return healed(library, questions, owners=list(owners), top_k=top_k) if self_heal else answer(library, questions, top_k, owners=list(owners))
+
+    def read_passage(ids: DataFrame) -> DataFrame:
+        return visible.join(ids.select("id"), "id", "left_semi")
+
+    def read_section(ids: DataFrame, parents: DataFrame) -> DataFrame:
+        return retrieval.sections_of(read_passage(ids).withColumnRenamed("document", "content"), parents)
+
+    def list_documents(name_contains: str = "", limit: int = 100) -> DataFrame:
+        rows = visible.select(F.col("source").alias("document_key"), "page", F.lit(None).cast("string").alias("version_id"), "source", F.lit(0).alias("ingested_at"))
+        return ingest.listed(ingest.catalog(rows), name_contains, min(max(limit, 1), 500))
+
+    return {f.__name__: f for f in (search_knowledge_base, ask_knowledge_base, read_passage, read_section, list_documents)}

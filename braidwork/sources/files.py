@@ -15,16 +15,21 @@ GOLDEN = T.StructType([T.StructField("question", T.StringType()), T.StructField(
 
 
 def scan_files(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Documents under a folder, and files that are refused with the reason.
+    """Documents of a file or under a folder, and files that are refused with the reason. A path that is not there raises FileNotFoundError.
 
     Text, Markdown and JSON are decoded as UTF-8 with bad bytes replaced; a PDF is passed on as bytes for a parser of
     the caller's. Listing, size and hash come from one scan; a bad file costs a row, never the job.
     """
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        raise FileNotFoundError(folder)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.substring_index("path", "/", -1)
     kind = F.lower(F.substring_index(name, ".", -1))
     files = raw.withColumn("filename", name).withColumn("filetype", F.concat(F.lit("."), kind))
-    files = files.filter(kind.isin(*SUFFIXES) & ~F.col("filename").isin(*SKIPPED))
+    if not system.getFileStatus(where).isFile():  # a file that is named is taken whatever its suffix
+        files = files.filter(kind.isin(*SUFFIXES) & ~F.col("filename").isin(*SKIPPED))
     reason = F.when(F.col("length") > max_bytes, "too large")
     refused = files.withColumn("reason", reason).filter("reason IS NOT NULL").select("path", "filename", "length", "reason")
     text = F.when(F.col("filetype") != ".pdf", F.expr("make_valid_utf8(cast(content AS string))"))
@@ -38,6 +43,18 @@ def paged(docs: DataFrame, most: int = MAX_PAGES) -> DataFrame:
     return kept.withColumn("content", F.when(F.size("pages") > 0, F.array_join("pages", "\n\n", "")).otherwise(F.col("content")))
 
 
+def pdf_date(modified: Column, created: Column) -> Column:
+    """The date of a PDF, from its modification date else its creation date as they stand in the file (D:YYYYMMDDHHmmSS with an offset); without an offset it is UTC, without a time midnight."""
+    def parsed(text: Column) -> Column:
+        said = F.regexp_extract(text, "^(?:D:)?([0-9]{4,14})", 1)
+        full = F.concat(said, F.substring(F.lit("00000101000000"), F.length(said) + 1, F.lit(14)))
+        sign, hours, minutes = (F.regexp_extract(text, r"([+-])([0-9]{2})'?([0-9]{2})?'?$", g) for g in (1, 2, 3))
+        offset = F.when(sign == "", F.lit("+00:00")).otherwise(F.concat(sign, hours, F.lit(":"), F.when(minutes == "", "00").otherwise(minutes)))
+        return F.when(said != "", F.try_to_timestamp(F.concat(full, offset), F.lit("yyyyMMddHHmmssXXX")))
+
+    return F.coalesce(parsed(modified), parsed(created))
+
+
 def html_text(html: Column) -> Column:
     """Visible text of a page: scripts, styles and tags go, entities of five kinds are resolved, blanks are squeezed."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|head|noscript)\b.*?</\1>|<!--.*?-->", " ")

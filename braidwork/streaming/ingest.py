@@ -1,19 +1,16 @@
-"""Streams: incremental ingest and index, job states, attempt limits and lockouts."""
+"""Streams: incremental ingest and index, and job states."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from braidwork.functions.text import TOKEN
 from braidwork.operators.index import Index, build
 from braidwork.operators.ingest import fingerprinted, new_rows
+from braidwork.sources.sinks import exists, stored
 
 
 def document_stream(spark: SparkSession, folder: str, schema: StructType, files: int = 64) -> DataFrame:
@@ -23,12 +20,7 @@ def document_stream(spark: SparkSession, folder: str, schema: StructType, files:
 
 def _rows(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The table so far; empty before the first step."""
-    try:
-        return spark.read.schema(like.schema).parquet(path).select(*like.columns)
-    except Exception as missing:  # only a table that is not there yet
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], like.schema)
+    return stored(spark, path, like.schema).select(*like.columns)
 
 
 def index_stream(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -49,6 +41,42 @@ def index_stream(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: What an index on disk was made with; another version or another way to split words means another index.
+VERSION = 1
+
+
+def sign_index(spark: SparkSession, out: str) -> None:
+    """Writes what the index under `out` was made with, and how many documents it holds."""
+    n = spark.read.parquet(f"{out}/lengths").count()
+    spark.createDataFrame([(VERSION, TOKEN, n)], "version int, tokenizer string, documents long").coalesce(1).write.mode("overwrite").parquet(f"{out}/meta")
+
+
+def index_faults(spark: SparkSession, out: str, documents: int | None = None) -> list[str]:
+    """Why the index under `out` must be built anew: nothing if it can be read. documents: how many the store holds."""
+    if not all(exists(spark, f"{out}/{part}") for part in ("postings", "lengths", "meta")):
+        return ["a part is missing"]
+    meta, held = spark.read.parquet(f"{out}/meta").first(), spark.read.parquet(f"{out}/lengths").count()
+    wrong = [("another version", meta.version != VERSION), ("another tokenizer", meta.tokenizer != TOKEN), ("documents were added or lost", held != (meta.documents if documents is None else documents))]
+    return [what for what, is_so in wrong if is_so]
+
+
+def load_index(spark: SparkSession, out: str, docs: DataFrame) -> Index:
+    """The index under `out`, built from docs (doc_id, text) where it is missing, of another make, or does not hold as many documents."""
+    if index_faults(spark, out, docs.count()):
+        fresh = build(docs)
+        for name, rows in (("postings", fresh.postings), ("lengths", fresh.lengths)):
+            rows.withColumn("step", F.lit(-1).cast("long")).write.mode("overwrite").partitionBy("step").parquet(f"{out}/{name}")
+        sign_index(spark, out)
+    return read_index(spark, out)
+
+
+def wants_compaction(spark: SparkSession, out: str, base_bytes: int, least: int = 1 << 20) -> bool:
+    """Whether what was appended since the last compaction, of base_bytes, is more than a quarter of it, and than `least`."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/postings")
+    size = home.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(home).getLength()
+    return size - base_bytes > max(base_bytes // 4, least)
+
+
 def read_index(spark: SparkSession, out: str) -> Index:
     return Index(spark.read.parquet(f"{out}/postings").select("term", "id", "tf"), spark.read.parquet(f"{out}/lengths").select("id", "dl"))
 
@@ -71,31 +99,6 @@ def chunk_stream(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def attempts_stream(events: DataFrame, seconds: int = 300, slide: int = 60, late: str = "10 minutes", key: str = "user_id", at: str = "ts") -> DataFrame:
-    """Attempts per key in sliding windows, with late events up to `late`: the streaming view of the batch limiter."""
-    return events.withWatermark(at, late).groupBy(F.window(at, f"{seconds} seconds", f"{slide} seconds"), key).agg(F.count("*").alias("attempts"))
-
-
-def lockouts(events: DataFrame, failures: int = 5, seconds: float = 300.0, key: str = "user_id", at: str = "ts", ok: str = "ok") -> DataFrame:
-    """events (key, ts, ok) -> key, ts, locked: after `failures` failed attempts in a row a key is locked for `seconds`; success clears the count."""
-    def run(ids: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, until = state.get if state.exists else (0, 0.0)
-        for batch in batches:
-            out = []
-            for when, good in batch.sort_values("t")[["t", "ok"]].itertuples(index=False):
-                locked = when < until
-                if not locked:
-                    count = 0 if good else count + 1
-                    if count >= failures:
-                        count, until = 0, when + seconds
-                out.append((ids[0], when, bool(locked)))
-            yield pd.DataFrame(out, columns=["key", "t", "locked"])
-        state.update((count, until))
-
-    rows = events.select(F.col(key).cast("string").alias("key"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"), F.col(ok).alias("ok"))
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, t double, locked boolean", "count int, until double", "append", GroupStateTimeout.NoTimeout)
-
-
 def job_states(changes: DataFrame) -> DataFrame:
     """The newest status of every job; a finished job stays as it is, so a change delivered again does nothing."""
     done = F.col("status").isin("completed", "failed", "cancelled")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from braidwork.sources import files
 from braidwork.streaming import ingest as streams
+from braidwork.streaming import jobs
 
 
 def test_scan(spark, tmp_path):
@@ -45,7 +46,7 @@ def test_lockouts(spark, tmp_path):
     rows = [("u", f"2024-01-01 00:00:0{i}", False) for i in range(6)] + [("v", "2024-01-01 00:00:00", True)]
     spark.createDataFrame(rows, "user_id string, ts string, ok boolean").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "ev"))
     schema = spark.read.parquet(str(tmp_path / "ev")).schema
-    q = streams.lockouts(spark.readStream.schema(schema).parquet(str(tmp_path / "ev"))).writeStream.format("memory").queryName("locks").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = jobs.lockouts(spark.readStream.schema(schema).parquet(str(tmp_path / "ev"))).writeStream.format("memory").queryName("locks").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = spark.sql("select * from locks").collect()
     assert sum(r.locked for r in got if r.key == "u") == 1 and len(got) == 7
