@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as T
-from braidwork.functions.screening import injection_signals, neutralized, pii_types, redactor
+from braidwork.functions.screening import CREDENTIALS, HIDDEN, MARKUP, PERSONAL, injection_signals, neutralized, pii_types, redactor
 from braidwork.operators import evaluation, filters, healing, index, ingest, monitoring, retrieval, state
 from braidwork.operators.chunking import chunk_documents, fixed_chunks
 from braidwork.session import table
@@ -135,12 +135,36 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return chunk_documents(pages, "sentence").filter("kind = 'chunk'")
 
 
-@query("content_terms")
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(set(T.STOPWORDS))) + "]"
+
+
+#: Ordered distinct content terms of a text.
+TERMS = f"list_filter(list_filter({TOKENS}, lambda t: len(t) > 1 AND NOT list_contains({_STOP}, t)), lambda t, i: list_position(list_filter({TOKENS}, lambda u: len(u) > 1 AND NOT list_contains({_STOP}, u)), t) = i)"
+_KINDS = " ".join(f"WHEN {' OR '.join(f'contains(p, {chr(39)}{m}{chr(39)})' for m in markers)} THEN '{name}'" for name, markers in T.QUESTION_TYPES)
+
+
+@query("content_terms", f"WITH c AS (SELECT conv_id, turn, ' ' || lower(text) || ' ' AS p, {TERMS.format('text', 'text')} AS t FROM conversations) SELECT conv_id, turn, array_to_string(t, ',') AS terms, CASE {_KINDS} ELSE 'other' END AS question_type, len(t) < 2 AS is_vague FROM c")
 def content_terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", T.content_terms(F.col("text")).alias("terms"), T.question_type(F.col("text")).alias("question_type"), T.is_vague(F.col("text")).alias("is_vague"))
+    said = F.col("text")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.content_terms(said), ",").alias("terms"), T.question_type(said).alias("question_type"), T.is_vague(said).alias("is_vague"))
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(set(T.STOPWORDS))) + "]"
+#: Turns with the turn before: terms of the one, words of the other.
+_PAIRS = f"""p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
+t AS (SELECT conv_id, turn, {TERMS.format('text', 'text')} AS terms, list_distinct({TOKENS.format('prev')}) AS vocab FROM p WHERE prev IS NOT NULL)"""
+_HIT = "list_contains(vocab, t) OR (len(t) >= 4 AND len(list_filter(vocab, lambda v: starts_with(v, t))) > 0)"
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    return table(spark, d, "conversations").withColumn("previous", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("previous IS NOT NULL")
+
+
+@query("term_coverage", f"WITH {_PAIRS} SELECT conv_id, turn, round(CASE WHEN len(terms) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(terms, lambda t: {_HIT}))::DOUBLE / len(terms) END, 6) AS coverage, array_to_string(list_filter(terms, lambda t: NOT ({_HIT})), ',') AS missing FROM t")
+def term_coverage(spark: SparkSession, d: str) -> DataFrame:
+    terms, words = T.content_terms(F.col("text")), F.array_distinct(T.tokens(F.col("previous")))
+    return _pairs(spark, d).select("conv_id", "turn", F.round(T.term_coverage(terms, words), 6).alias("coverage"), F.array_join(T.missing_terms(terms, words), ",").alias("missing"))
 
 
 @query("term_counts", f"SELECT conv_id, turn, len(list_distinct(list_filter({TOKENS.format('text')}, lambda t: len(t) > 1 AND NOT list_contains({_STOP}, t))))::INTEGER AS n_terms FROM conversations")
@@ -152,10 +176,7 @@ def term_counts(spark: SparkSession, d: str) -> DataFrame:
 t AS (SELECT conv_id, turn, list_distinct(list_filter({TOKENS.format('text')}, lambda t: len(t) > 1 AND NOT list_contains({_STOP}, t))) AS terms, list_distinct({TOKENS.format('prev')}) AS vocab FROM p WHERE prev IS NOT NULL)
 SELECT conv_id, turn, round(CASE WHEN len(terms) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(terms, lambda t: list_contains(vocab, t) OR (len(t) >= 4 AND len(list_filter(vocab, lambda v: starts_with(v, substring(t, 1, 4)))) > 0)))::DOUBLE / len(terms) END, 6) AS overlap FROM t""")
 def lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    turns = table(spark, d, "conversations").withColumn("previous", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("previous IS NOT NULL")
-    return turns.select("conv_id", "turn", F.round(T.lexical_overlap(F.col("text"), F.col("previous")), 6).alias("overlap"))
+    return _pairs(spark, d).select("conv_id", "turn", F.round(T.lexical_overlap(F.col("text"), F.col("previous")), 6).alias("overlap"))
 
 
 @query("snippets", r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents), c AS (SELECT doc_id, s, substring(s, 1, 179) AS cut, 179 - strpos(reverse(substring(s, 1, 179)), ' ') AS sp, strpos(reverse(substring(s, 1, 179)), ' ') AS r FROM f)
@@ -172,9 +193,25 @@ def language_routing(spark: SparkSession, d: str) -> DataFrame:
 # --- screening -----------------------------------------------------------------------------------------------------
 
 
-@query("pii_types")
+_IBAN = "replace(m, ' ', '')"
+_LETTERS = f"regexp_extract_all(substring(upper({_IBAN}), 5) || substring(upper({_IBAN}), 1, 4), '.')"
+_MOD97 = f"list_reduce([0] || list_transform({_LETTERS}, lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE 1000 + ascii(c) - 55 END), lambda a, c: CASE WHEN c >= 1000 THEN (a * 100 + c - 1000) % 97 ELSE (a * 10 + c) % 97 END)"
+_BARE = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, len({_BARE}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substring(reverse({_BARE}), i, 1)::INTEGER ELSE (2 * substring(reverse({_BARE}), i, 1)::INTEGER) // 10 + (2 * substring(reverse({_BARE}), i, 1)::INTEGER) % 10 END)) % 10 = 0"
+_TESTS = {
+    "iban": (r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b", f"len({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97} = 1"),
+    "card_number": (r"(?:^|[^0-9])((?:\d[ -]?){12,18}\d)(?:[^0-9]|$)", f"len({_BARE}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    "ssn": (r"(?:^|[^0-9])(\d{3}-\d{2}-\d{4})(?:[^0-9]|$)", "substring(m, 1, 3) NOT IN ('000', '666') AND m[1] <> '9' AND substring(m, 5, 2) <> '00' AND substring(m, 8) <> '0000'"),
+    "phone": (r"(?:^|[^\w+])((?:\+\d{1,3}[\s.-]?)?(?:\(\d{1,4}\)[\s.-]?)?\d{2,4}[\s.-]\d{3,8}(?:[\s.-]\d{2,4}){0,2})(?:\W|$)", f"len({_BARE}) BETWEEN 9 AND 15"),
+    "ip_address": (r"(?:^|[^\d.])((?:\d{1,3}\.){3}\d{1,3})(?:[^\d.]|$)", "list_max(list_transform(string_split(m, '.'), lambda x: x::INTEGER)) <= 255"),
+}
+_PLAIN = {name: r"://[^\s:/@]+:[^\s@/]+@" if name == "url_password" else pattern for name, pattern in CREDENTIALS + PERSONAL if name not in _TESTS}
+_FOUND = ", ".join(f"CASE WHEN regexp_matches(text, '{_PLAIN[n]}') THEN '{n}' END" if n in _PLAIN else f"CASE WHEN len(list_filter(regexp_extract_all(text, '{_TESTS[n][0]}', 1), lambda m: {_TESTS[n][1]})) > 0 THEN '{n}' END" for n in sorted([*_PLAIN, *_TESTS]))
+
+
+@query("pii_types", f"SELECT doc_id, array_to_string(list_filter([{_FOUND}], lambda x: x IS NOT NULL), ',') AS types FROM documents")
 def pii(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", pii_types(F.col("text")).alias("types"))
+    return docs(spark, d).select("doc_id", F.array_join(pii_types(F.col("text")), ",").alias("types"))
 
 
 @query("redact")
@@ -189,6 +226,17 @@ def injections(spark: SparkSession, d: str) -> DataFrame:
     return named.filter("signals <> ''")
 
 
+_SPOILT = "text || CASE doc_id % 4 WHEN 0 THEN chr(917569) || chr(917570) || ' x' WHEN 1 THEN chr(8203) || 'y' || chr(8238) WHEN 2 THEN ' <|IM_START|> [INST] ' ELSE '' END"
+
+
+@query("neutralize", f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace({_SPOILT}, '[\\x{{E0000}}-\\x{{E007F}}]+', '{HIDDEN}', 'g'), '[\\x{{200b}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}\\x{{202a}}-\\x{{202e}}\\x{{2066}}-\\x{{2069}}]', '', 'g'), '<\\|(?:im_start|im_end|im_sep|system|user|assistant|endoftext|eot_id|start_header_id|end_header_id|begin_of_text)\\|>|\\[/?INST\\]|<</?SYS>>', '{MARKUP}', 'gi')) AS text FROM documents")
+def neutralize(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, most of them with hidden text, invisible characters or chat markup behind it."""
+    k = F.col("doc_id") % 4
+    more = F.when(k == 0, chr(917569) + chr(917570) + " x").when(k == 1, chr(8203) + "y" + chr(8238)).when(k == 2, " <|IM_START|> [INST] ").otherwise("")
+    return docs(spark, d).select("doc_id", F.md5(neutralized(F.concat("text", more)).cast("binary")).alias("text"))
+
+
 # --- ingest --------------------------------------------------------------------------------------------------------
 
 _FP = r"sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))"
@@ -239,18 +287,30 @@ def readable_rows(spark: SparkSession, d: str) -> DataFrame:
     return filters.readable(docs(spark, d).withColumn("owner", F.col("source")).withColumn("restricted", restricted), filters.visible_owners("src5"), True).select("doc_id")
 
 
-@query("page_filter")
+#: Questions, the page spans they name, and what is left of them.
+_PAGES = (
+    ("What is on page 5?", "5-5", "What is on ?"), ("pages 2, 4 and 6", "2-2,4-4,6-6", ""), ("Seite 3 bis 5", "3-5", ""), ("páginas 9 a 7", "7-9", ""), ("the last page", "last", "the"), ("first three pages", "1-3", ""),
+    ("zweite Seite", "2-2", ""), ("page table", "", "page table"), ("third page", "3-3", ""), ("second to last page", "", "second to last page"), ("the first page load", "", "the first page load"), ("see pp. 3-5 or p. 9", "3-5,9-9", "see or"),
+    ("page two and the 7th page", "7-7,2-2", "and the"), ("U.S. 5 year", "", "U.S. 5 year"),
+)
+
+
+@query("page_filter", "SELECT * FROM (VALUES " + ", ".join(f"({i}::INTEGER, '{q}', '{s}', '{r}')" for i, (q, s, r) in enumerate(_PAGES)) + ") t(qid, question, spans, rest)")
 def page_filter(spark: SparkSession, d: str) -> DataFrame:
-    asked = ["What is on page 5?", "pages 2, 4 and 6", "Seite 3 bis 5", "páginas 9 a 7", "the last page", "first three pages", "zweite Seite", "page table", "third page"]
-    rows = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "qid int, question string")
-    return rows.select("qid", "question", filters.page_filter("question").alias("spans"), filters.without_pages("question").alias("rest"))
+    rows = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(_PAGES)], "qid int, question string")
+    shown = F.transform(filters.page_filter("question"), lambda s: F.when(s["last"], "last").otherwise(F.concat(s["low"].cast("string"), F.lit("-"), s["high"].cast("string"))))
+    return rows.select("qid", "question", F.array_join(shown, ",").alias("spans"), filters.without_pages("question").alias("rest"))
 
 
-@query("metadata_contract", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS errors FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0")
+@query("metadata_contract", """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END AS errors
+FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 17 = 0 OR doc_id % 3 = 2""")
 def metadata_contract(spark: SparkSession, d: str) -> DataFrame:
-    rows = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"), F.lit("shared").alias("owner"), F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1).alias("metadata_schema_version"))
-    checked = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-    return filters.accepted(checked)[1].select(F.col("doc_id").cast("long").alias("doc_id"), F.size("errors").alias("errors"))
+    k = F.col("doc_id")
+    rows = docs(spark, d).select(
+        k.cast("string").alias("doc_id"), F.when(k % 11 == 0, "other").otherwise(k.cast("string")).alias("document_id"), F.when(k % 7 != 0, F.col("source")).alias("source"), F.lit("shared").alias("owner"), F.when(k % 5 == 0, 2).otherwise(1).alias("metadata_schema_version"),
+        F.when(k % 13 == 0, 0).when(k % 2 == 0, 4).cast("int").alias("page"), F.when(k % 17 == 0, " ").when(k % 2 == 0, "Intro").alias("section"), (k % 3).cast("int").alias("chunk_index"), F.lit(2).alias("total_chunks"),
+    )
+    return filters.accepted(rows)[1].select(F.col("doc_id").cast("long").alias("doc_id"), F.size("errors").alias("errors"))
 
 
 # --- retrieval -----------------------------------------------------------------------------------------------------
@@ -329,7 +389,11 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
 # --- verification --------------------------------------------------------------------------------------------------
 
 
-@query("healing_verdicts")
+@query("healing_verdicts", f"""{MANY} {BM25}, h AS (SELECT qid, list(text ORDER BY rank) AS texts FROM b JOIN documents ON doc_id = id WHERE rank < 3 GROUP BY 1),
+t AS (SELECT qid, {TERMS.format('query', 'query')} AS terms, list_distinct({TOKENS.format("array_to_string(texts, ' ')")}) AS vocab FROM h JOIN q USING (qid)),
+c AS (SELECT qid, len(terms) AS n, len(list_filter(terms, lambda t: {_HIT})) AS found FROM t),
+v AS (SELECT qid, n, found, round(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE found::DOUBLE / n END, 4) AS coverage FROM c)
+SELECT qid, coverage >= 0.4 AS passed, CASE WHEN coverage >= 0.4 THEN NULL WHEN n < 2 OR (coverage = 0 AND n > found) THEN 'query_failure' ELSE 'retrieval_failure' END AS failure, coverage, true AS citation_valid, CASE WHEN coverage >= 0.4 THEN 'verification_failed' ELSE 'insufficient_verified_context' END AS reason FROM v""")
 def healing_verdicts(spark: SparkSession, d: str) -> DataFrame:
     hits = stable(index.bm25_scores(docs(spark, d), benchmark(spark, d)), 3).join(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
     packed = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "score"))).alias("h"))
@@ -338,6 +402,25 @@ def healing_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return healing.verified(rows).select("qid", "passed", "failure", "coverage", "citation_valid", healing.abstention_reason(F.col("failure")).alias("reason"))
 
 
+_CITED = f"""p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
+a AS (SELECT conv_id, turn, [prev, text] AS docs, 'As said [' || turn % 4 || ', 1]. ' || text || ' [2]' AS answer FROM p WHERE prev IS NOT NULL),
+m AS (SELECT *, flatten(list_transform(regexp_extract_all(answer, '\\[(\\d+(?:\\s*[,;]\\s*\\d+)*)\\]', 1), lambda g: list_transform(regexp_split_to_array(g, '\\s*[,;]\\s*'), lambda n: n::INTEGER))) AS markers,
+ unnest(string_split(regexp_replace(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))) AS sentence FROM a),
+s AS (SELECT *, list_filter(list_distinct(flatten(list_transform(regexp_extract_all(sentence, '\\[(\\d+(?:\\s*[,;]\\s*\\d+)*)\\]', 1), lambda g: list_transform(regexp_split_to_array(g, '\\s*[,;]\\s*'), lambda n: n::INTEGER)))), lambda n: n BETWEEN 1 AND 2) AS inside, regexp_replace(sentence, '\\[\\d+(?:\\s*[,;]\\s*\\d+)*\\]', ' ', 'g') AS bare FROM m),
+o AS (SELECT *, {TERMS.format('bare', 'bare')} AS terms, list_distinct({TOKENS.format("array_to_string(list_transform(inside, lambda n: docs[n]), ' ')")}) AS vocab FROM s WHERE len(inside) > 0),
+k AS (SELECT conv_id, turn, len(terms) = 0 OR len(list_filter(terms, lambda t: list_contains(vocab, t) OR (len(t) >= 4 AND len(list_filter(vocab, lambda v: starts_with(v, substring(t, 1, 4)))) > 0)))::DOUBLE / len(terms) >= 0.3 AS good FROM o),
+r AS (SELECT conv_id, turn, avg(good::INTEGER) AS ratio FROM k GROUP BY 1, 2)"""
+
+
+@query("citation_check", f"WITH {_CITED} SELECT DISTINCT m.conv_id, m.turn, array_to_string(markers, ',') AS markers, array_to_string(list_sort(list_distinct(list_filter(markers, lambda n: n < 1 OR n > 2))), ',') AS out_of_range, round(coalesce(ratio, 0), 4) AS support_ratio, len(list_filter(markers, lambda n: n < 1 OR n > 2)) = 0 AND coalesce(ratio, 0) >= 0.5 AS valid FROM m LEFT JOIN r ON r.conv_id = m.conv_id AND r.turn = m.turn")
+def citation_check(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn as an answer that cites the turn before and itself, some out of range."""
+    said = F.concat(F.lit("As said ["), (F.col("turn") % 4).cast("string"), F.lit(", 1]. "), F.col("text"), F.lit(" [2]"))
+    rows = _pairs(spark, d).select("conv_id", "turn", healing.citation_check(said, F.array("previous", "text")).alias("c"))
+    shown = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",")
+    return rows.select("conv_id", "turn", shown(F.col("c.markers")).alias("markers"), shown(F.col("c.out_of_range")).alias("out_of_range"), "c.support_ratio", "c.valid")
+
+
 _SIGNALS = """SELECT o_orderkey AS id, (o_orderkey % 4)::INTEGER AS num_contexts, o_orderkey % 5 <> 0 AS retrieval_sufficient, o_orderkey % 7 = 0 AS is_vague, (o_orderkey % 3) / 2.0::DOUBLE AS coverage,
 (o_orderkey % 2)::INTEGER AS n_missing, o_orderkey % 11 = 0 AS is_refusal, o_orderkey % 13 = 0 AS contradiction, o_orderkey % 17 = 0 AS empty_answer, o_orderkey % 19 <> 0 AS citation_valid, (o_orderkey % 10) / 10.0::DOUBLE AS faithfulness, (o_orderkey % 9) / 9.0::DOUBLE AS relevance FROM orders"""
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from braidwork.plans import catalog
+from braidwork.plans import catalog, catalog_more  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
