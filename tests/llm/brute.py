@@ -83,3 +83,49 @@ def water_fill(sizes, share=1.5, epochs=2.0, weights=(3, 1, 2)):
     for s in clamped:
         target[s] = epochs * sizes[s]
     return target
+
+
+def verdict(text):
+    """The repetition verdict: base rules, then characters of words in later copies of n-grams and lines."""
+    text = text or ""
+    n_words, total, _, _, again = repetition(text)
+    if n_words < 50 or 100 * again > 50 * n_words:
+        return False
+    words = re.findall(BLANKS, text)
+    for n in range(5, 11):
+        seen, covered = set(), set()
+        for i in range(len(words) - n + 1):
+            gram = tuple(words[i : i + n])
+            if gram in seen:
+                covered.update(range(i, i + n))
+            seen.add(gram)
+        if sum(len(words[i]) for i in covered) > 0.15 * total:
+            return False
+    seen, chars = set(), 0
+    for line in text.split("\n"):
+        if re.search(BLANKS, line):
+            chars += sum(map(len, re.findall(BLANKS, line))) if line in seen else 0
+            seen.add(line)
+    return chars <= 0.30 * total
+
+
+def neighbours(rows, k):
+    import numpy as np
+
+    good = [(i, np.array(v, float)) for i, v in rows if v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    out = {}
+    for i, q in good:
+        if i % 100 == 0:
+            out[i] = sorted((float(np.sqrt(((v - q) ** 2).sum())), j) for j, v in good if j != i and len(v) == len(q))[:k]
+    return out
+
+
+def quality(model, text, bits, hashed):
+    """A softmax over plain means: of every kind of feature the mean of its buckets' weights, and the mean of the kinds."""
+    import numpy as np
+
+    kinds = [[model.weights[b] for b in found] for found in hashed(text)]
+    kinds = [k for k in kinds if k]
+    z = model.bias + (sum(np.mean(k, axis=0, dtype=float) for k in kinds) / len(kinds) if kinds else 0)
+    e = np.exp(z - z.max())
+    return e / e.sum()
