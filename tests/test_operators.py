@@ -200,3 +200,53 @@ def test_cost(spark):
     usage = spark.createDataFrame([(1, "gpt-4o-mini", 1000, 1000), (2, "other", 5, 5)], "id int, model string, prompt_tokens int, completion_tokens int")
     prices = spark.createDataFrame([("gpt-*", 1.0, 1.0), ("gpt-4o*", 2.0, 3.0)], "pattern string, prompt_price double, completion_price double")
     assert {r.id: r.cost for r in monitoring.cost(usage, prices).collect()} == {1: 5.0, 2: 0.0}
+
+
+def test_vector_search_in_blocks_equals_the_plain_one(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(300)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [1.0] * 5), (304, [None] + [1.0] * 7)]
+    rows += [(400 + i, rows[i][1]) for i in range(20)]  # ties
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+    good = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v) and len(v) == 8}
+    want = {}
+    for q in (0, 7, 50, 401):
+        near = sorted((-round(float(good[q] @ v), 9), i) for i, v in good.items())[:4]
+        want[q] = [i for _, i in near]
+    asked = df.filter("id IN (0, 7, 50, 401, 300, 301)").select(F.col("id").alias("qid"), F.col("embedding").alias("query_vector"))
+    for size in (retrieval.QUERY_BYTES, 64):
+        monkeypatch.setattr(retrieval, "QUERY_BYTES", size)
+        got = {}
+        for r in retrieval.vector_top(asked, df, 4).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append(r.id)
+        assert got == want
+    assert retrieval.vector_top(asked.limit(0), df, 4).count() == 0 and retrieval.vector_top(asked, df.limit(0), 4).count() == 0
+
+
+def test_a_task_keeps_the_best_of_many_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    score = rng.normal(size=(3, 5000)).round(2)
+    best = retrieval.Best(3, 5, pa.int64())
+    best.room = 40
+    for at in range(0, 5000, 7):
+        best.add(score[:, at : at + 7].copy(), pa.array(np.arange(at, min(at + 7, 5000))))
+    who, value, ids = best.merged()
+    for q in range(3):
+        kth = np.sort(score[q])[-5]
+        assert set(ids.to_numpy()[who == q]) == set(np.flatnonzero(score[q] >= kth))
+        assert (value[who == q] == score[q][ids.to_numpy()[who == q]]).all()
+
+
+def test_keyword_scores_with_many_terms_equal_those_with_few(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common t{i % 7} rare{i} common") for i in range(40)] + [(40, ""), (41, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "common common rare3"), (1, "t1 t2 missing"), (2, "")], "qid int, query string")
+    few = {(r.qid, r.id): r.score for r in index.bm25_scores(docs, asked).collect()}
+    monkeypatch.setattr(index, "LISTED", 1)
+    many = {(r.qid, r.id): r.score for r in index.bm25_scores(docs, asked).collect()}
+    whole = {(r.qid, r.id): r.score for r in index.scores(index.build(docs), asked).collect()}
+    assert few.keys() == many.keys() == whole.keys() and len(few) == 40 + 12
+    assert all(few[k] == pytest.approx(many[k]) == pytest.approx(whole[k]) for k in few)
