@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="braidwork-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,7 +48,11 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def needed(df: DataFrame, name: str, limit: int = 200_000) -> DataFrame:
-    """A one-column id table as the small side of a join: broadcast only if its counted rows are at most limit, else left to a shuffled join."""
+#: Values of a table that is broadcast at most: 8 MB of numbers, some three times that as a hash table.
+SMALL = 1_000_000
+
+
+def needed(df: DataFrame, name: str) -> DataFrame:
+    """A table of numbers as the small side of a join: broadcast only if its counted values are at most SMALL, else left to a shuffled join."""
     df = written(df, name)
-    return F.broadcast(df) if df.count() <= limit else df
+    return F.broadcast(df) if df.count() * len(df.columns) <= SMALL else df

@@ -26,8 +26,8 @@ from braidwork.llm.kernels import LOWER, U, blocks, gram_hashes, mix, release, s
 
 #: Shingles in more than HEAVY_FROM prefixes go last in the order; the HEAVY_MOST most frequent of them at most, so that their list stays small. The order affects balance only, never the result.
 HEAVY_FROM, HEAVY_MOST = 24, 65_536
-#: Rows and shingles of the largest group treated as one tree; larger ones are dealt out in cells of pairs of blocks.
-CELL, CELL_ITEMS = 512, 1 << 20
+#: Rows and shingles of the largest group treated as one tree; larger ones are dealt out in cells of pairs of blocks, of so many blocks at most: a row is sent to as many cells as there are blocks.
+CELL, CELL_ITEMS, BLOCKS = 128, 1 << 20, 256
 FAN = 8
 #: Bits of a bitmap for each shingle of its set.
 SPARSE = 4
@@ -419,11 +419,14 @@ def components(links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_shingles, component_id, the smallest key reachable by links.
 
-    Two texts link when 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles. Null, empty and
-    wordless texts have no shingle, link with nothing and are their own component. Repeated rows and equal texts
-    share a component; a null key never names one unless its component has no other. Sets are compared by 64-bit
-    hashes of shingles. Empty tables give empty ones.
+    Two texts link when 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles; percent must be over 50,
+    since linked sets are taken to differ by less than a factor of two. Null, empty and wordless texts have no shingle,
+    link with nothing and are their own component. Repeated rows and equal texts share a component; a null key never
+    names one unless its component has no other. Sets are compared by 64-bit hashes of shingles. Empty tables give
+    empty ones; other columns are not read.
     """
+    if not 50 < percent <= 100:
+        raise ValueError(f"percent must be over 50 and at most 100: {percent}")
     seen = written(_scan(docs, key, text, k, percent, "prefix"), "scan")
     classes = written(seen.filter("n > 0").groupBy("node", "node2", "n").agg(F.min(key).alias("first"), F.first("prefix").alias("prefix")), "classes")
     counts = classes.select(F.explode("prefix").alias("item")).groupBy("item").agg(F.count("*").alias("c"))
@@ -455,7 +458,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str
     rows = written(rows.join(written(spread, "mixed"), "hub"), "across")
     # a large group: blocks of its main component and of the rest; a cell for each pair of blocks but those of the main component alone
     in_main = F.col("comp") == F.col("main")
-    parts = F.greatest(F.count("*") / CELL, F.sum("n") / CELL_ITEMS)
+    parts = F.least(F.lit(BLOCKS), F.greatest(F.count("*") / CELL, F.sum("n") / CELL_ITEMS))
     sides = rows.filter("large").groupBy("hub", in_main.alias("in_main")).agg(F.ceil(parts).alias("b"))
     sides = sides.groupBy("hub").agg(F.coalesce(F.max(F.when(F.col("in_main"), F.col("b"))), F.lit(1)).alias("b_main"), F.coalesce(F.max(F.when(~F.col("in_main"), F.col("b"))), F.lit(1)).alias("b_rest"))
     rows = rows.join(needed(sides.coalesce(1), "sides"), "hub", "left")

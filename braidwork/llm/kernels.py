@@ -121,10 +121,16 @@ def same_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: n
     """Whether every span of data holds the same bytes as the span of other beside it, which has the same hash: spans of up to eight bytes do if they are of one length."""
     if not np.array_equal(sizes, lengths):
         return False
-    long = np.flatnonzero(sizes > 8)
-    sizes = np.asarray(sizes, np.int64)[long]
-    step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return bool((data[np.repeat(starts[long], sizes) + step] == other[np.repeat(at[long], sizes) + step]).all())
+    long, done = np.flatnonzero(sizes > 8), 0
+    total = np.cumsum(np.asarray(sizes, np.int64)[long])
+    while done < len(long):  # so many bytes at once that the places fit a few MB
+        to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + (1 << 18), side="right")))
+        rows, done = long[done:to], to
+        n = np.asarray(sizes, np.int64)[rows]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not (data[np.repeat(starts[rows], n) + step] == other[np.repeat(at[rows], n) + step]).all():
+            return False
+    return True
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -178,7 +178,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, sizes in encoded(batches, path, end_id, text):
+        for part, ids, sizes in encoded(batches, path, end_id, text, 500_000, 1 << 19):
             # a longer text's first piece takes what full pieces leave over
             pieces = -(-sizes // capacity)
             row = np.repeat(np.arange(len(sizes)), pieces)
