@@ -19,33 +19,43 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.when(F.length(squeezed) > 0, spaces + 1).otherwise(0), F.lit(0)).cast("long")
 
 
+def numbered(sources: DataFrame, source: str = "source") -> DataFrame:
+    """sources with place, from 0 in code-point order, null last: ranges are numbered side by side, and only their counts meet."""
+    order = F.col(source).asc_nulls_last()
+    ranged = written(sources.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    ahead, so_far = [], 0
+    for part, n in counts:
+        ahead += [F.lit(part), F.lit(so_far)]
+        so_far += n
+    first = F.element_at(F.create_map(*ahead), F.col("_part")) if ahead else F.lit(0)
+    inside = Window.partitionBy("_part").orderBy(order)
+    return ranged.withColumn("place", F.row_number().over(inside) - 1 + first).drop("_part")
+
+
 def water_fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     """source, source_size, weight -> also target: `share` of all sizes by weight, none above `epochs` times its size.
 
-    Clamping sources one round after another until none is above ends where one water level L gives every source
-    min(cap, L * weight). Sources in order of cap/weight are clamped first, so running sums find the level at once.
-    One row per source takes part, whatever the number of documents. Sources of size 0 get 0.
+    Round by round the sources that are above are clamped and what they leave is shared by weight among the others,
+    until none is above. A round sums all sources where they are; the driver holds one number, the level to which the
+    unclamped ones are filled per weight, and it only rises. Sources of size 0 get 0.
     """
     live = F.when(F.col("source_size") > 0, F.col("weight")).otherwise(0.0)
-    cap = epochs * F.col("source_size")
-    with_ratio = sources.withColumn("cap", cap.cast("double")).withColumn("live", live.cast("double")).withColumn("ratio", F.when(F.col("live") > 0, F.col("cap") / F.col("live")).otherwise(F.lit(0.0)))
-    up_to = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.partitionBy()
-    level = (
-        with_ratio.withColumn("total", F.sum("source_size").over(all_rows) * F.lit(float(share)))
-        .withColumn("weights", F.sum("live").over(all_rows))
-        .withColumn("before", F.coalesce(F.sum("cap").over(up_to), F.lit(0.0)))
-        .withColumn("weight_before", F.coalesce(F.sum("live").over(up_to), F.lit(0.0)))
-        # the level if all sources before this one are clamped and it and the later ones are not
-        .withColumn("level", (F.col("total") - F.col("before")) / (F.col("weights") - F.col("weight_before")))
-        .withColumn("fits", (F.col("live") > 0) & (F.col("level") <= F.col("ratio")))
-    )
-    first = F.min(F.when(F.col("fits"), F.struct("ratio", "level"))).over(all_rows)
-    return (
-        level.withColumn("at", first)
-        .withColumn("target", F.when(F.col("live") <= 0, 0.0).when(F.col("at").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("at.level") * F.col("live"))))
-        .select("source", "source_size", "weight", "target")
-    )
+    rows = sources.withColumn("_cap", (epochs * F.col("source_size")).cast("double")).withColumn("_live", live.cast("double"))
+    rows = written(rows, "sources")
+    all_ = rows.agg(F.sum("source_size").alias("size"), F.sum("_live").alias("weight")).first()
+    total, level = share * float(all_["size"] or 0), 0.0
+    while True:
+        above = F.col("_cap") <= F.lit(level) * F.col("_live")
+        got = rows.agg(F.sum(F.when(above, F.col("_cap"))).alias("clamped"), F.sum(F.when(~above, F.col("_live"))).alias("open")).first()
+        if not got["open"]:
+            break  # every source is clamped
+        higher = (total - float(got["clamped"] or 0)) / float(got["open"])
+        if higher <= level:
+            break
+        level = higher
+    target = F.least(F.col("_cap"), F.lit(level) * F.col("_live"))
+    return rows.withColumn("target", F.when(F.col("_live") > 0, target).otherwise(0.0)).select("source", "source_size", "weight", "target")
 
 
 def mix_sources(docs: DataFrame, size: Column, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 7, source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -63,9 +73,8 @@ def mix_sources(docs: DataFrame, size: Column, weights: tuple[float, ...] = (3,
     narrow = written(narrow.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")), "sizes")
     sums = written(narrow.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "buckets")
     sources = sums.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    filled = water_fill(sources.withColumn("weight", turn), share, epochs)
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    filled = water_fill(numbered(sources).withColumn("weight", turn), share, epochs)
     plan = filled.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn(
         "rest", F.greatest(F.lit(0), F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     )
