@@ -48,8 +48,8 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-#: Values of a table that is broadcast at most: 8 MB of numbers, some three times that as a hash table.
-SMALL = 1_000_000
+#: Values of a table that is broadcast at most: 4 MB of numbers, several times that as a hash table.
+SMALL = 500_000
 
 
 def needed(df: DataFrame, name: str) -> DataFrame:

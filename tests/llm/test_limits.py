@@ -215,3 +215,16 @@ def test_seventy_languages(spark):
     held = language.identify(docs, tagger, keep_text=True)
     assert len(tagger.languages) == 70
     assert held.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.9
+
+
+def test_rows_in_the_mix_are_taken_as_the_plan_says(spark):
+    from braidwork.llm.common import WORD
+    from braidwork.llm.mixing import mix_sources, mixed, word_count
+
+    random.seed(4)
+    rows = [(i, random.choice(["a", "a", "b", None, "c"]), random.choice(["", "w " * random.randint(1, 90)]), 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size int").repartition(4)
+    got = {r.doc_id: (r.text, r.size, r._copies) for r in mixed(docs, word_count(F.col("text")), F.col("text").rlike(WORD)).collect()}
+    want = {r.doc_id: r.copies for r in mix_sources(docs, word_count(F.col("text"))).collect()}
+    assert got.keys() == want.keys() and all(got[i][2] == pytest.approx(want[i]) for i in want)
+    assert all(got[i][:2] == (t, 1) for i, _, t, _ in rows)
