@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm import language, pii
-from braidwork.llm.common import needed, table, written
+from braidwork.llm.common import WORD, needed, table, written
 from braidwork.llm.jaccard import jaccard_components
-from braidwork.llm.mixing import mix_sources, word_count
+from braidwork.llm.mixing import mixed, word_count
 from braidwork.llm.packing import pack
 from braidwork.llm.registry import LANGUAGE_SAMPLE, tokenizer_path
 from braidwork.llm.tokens import token_pieces
@@ -61,14 +61,13 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, a part of a document rounded: rows repeat, or go.
 
-    Rows that share an id share the largest number of copies of any of them; rows without an id are taken as one more
-    such group. Documents without a word take nothing and go. An empty table gives an empty one; further columns are
-    left out.
+    Rows are taken one by one, also those that share an id or have none. Documents without a word take nothing and go.
+    An empty table gives an empty one; further columns are left out.
     """
-    takes = mix_sources(docs, word_count(F.col("text")))
-    copies = takes.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.round("copies")).cast("int").alias("_copies")).filter("_copies > 0")
-    rows = docs.select(*COLUMNS).join(needed(copies, "copies"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
+    text = F.coalesce("text", F.lit(""))
+    taken = mixed(docs.select(*COLUMNS), word_count(F.col("text")), text.rlike(WORD))
+    copies = F.round("_copies").cast("int")
+    return taken.filter(copies > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), copies))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
