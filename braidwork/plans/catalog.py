@@ -206,7 +206,7 @@ _TESTS = {
     "iban": (r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b", f"len({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97} = 1"),
     "card_number": (r"(?:^|[^0-9])((?:\d[ -]?){12,18}\d)(?:[^0-9]|$)", f"len({_BARE}) BETWEEN 13 AND 19 AND {_LUHN}"),
     "ssn": (r"(?:^|[^0-9])(\d{3}-\d{2}-\d{4})(?:[^0-9]|$)", "substring(m, 1, 3) NOT IN ('000', '666') AND m[1] <> '9' AND substring(m, 5, 2) <> '00' AND substring(m, 8) <> '0000'"),
-    "phone": (r"(?:^|[^\w+])((?:\+\d{1,3}[\s.-]?)?(?:\(\d{1,4}\)[\s.-]?)?\d{2,4}[\s.-]\d{3,8}(?:[\s.-]\d{2,4}){0,2})(?:\W|$)", f"len({_BARE}) BETWEEN 9 AND 15"),
+    "phone": (r"(?:^|[^\w+])((?:\+\d{1,3}[\s.-]?)?(?:\(\d{1,4}\)[\s.-]?)?\d{2,4}[\s.-]\d{3,8}(?:[\s.-]\d{2,4}){0,2})(?:\W|$)", f"len({_BARE}) BETWEEN 9 AND 15 AND NOT regexp_full_match(m, '[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}')"),
     "ip_address": (r"(?:^|[^\d.])((?:\d{1,3}\.){3}\d{1,3})(?:[^\d.]|$)", "list_max(list_transform(string_split(m, '.'), lambda x: x::INTEGER)) <= 255"),
 }
 _PLAIN = {name: r"://[^\s:/@]+:[^\s@/]+@" if name == "url_password" else pattern for name, pattern in CREDENTIALS + PERSONAL if name not in _TESTS}
