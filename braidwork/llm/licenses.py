@@ -8,6 +8,7 @@ no match can do without would place the template.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -101,24 +102,28 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, dice
     wholes = F.filter(F.array_distinct(F.concat(F.split(text, r"\n\s*\n", -1), F.array(F.col(text)))), lambda p: p.rlike(anchor) & F.contains(p, F.lit("\n")))
     passages = F.when(has, F.array_distinct(F.transform(F.concat(lines, wholes), normalised))).otherwise(none)
     df = docs.select(*kept, text).withColumn("_p", passages).withColumn("_g", F.transform("_p", bigrams))
-    anchors = {name: _anchor_bigrams(t, dice) for name, t in templates.items()}
     df = df.withColumn("_w", F.when(has, F.split(normalised(F.col(text)), " ")).otherwise(none))
-    df = df.withColumn("_h", _hits("_w", sorted({g for grams in anchors.values() for g in grams})))
-    found = []
-    for name in sorted(templates):
-        grams = _bigrams(templates[name])
-        least, most = len(grams) * dice / (2 - dice), len(grams) * (2 - dice) / dice
-        near = F.filter("_g", _between(least, most))
-        within = F.transform(_windows("_w", "_h", _words(templates[name]), anchors[name]), lambda w: bigrams(F.array_join(w, " ")))
-        best = F.array_max(F.transform(F.concat(near, within), _dice(grams)))
-        found.append(F.struct(best.alias("score"), F.lit(name).alias("id")))
-    matched = F.filter(F.array(*found), lambda m: m["score"] >= dice)
-    df = df.withColumn("_m", matched)
+    df = df.withColumn("_h", _hits("_w", sorted({g for t in templates.values() for g in _anchor_bigrams(t, dice)})))
+    scored = F.transform(_table(templates, dice), lambda t: F.struct(_best(t).alias("score"), t["id"].alias("id")))
+    # the sizes are also a second use of _g and _h, which keeps the optimizer from moving their making into the loop over templates
+    some = (F.size("_g") > 0) | (F.size("_h") > 0)
+    df = df.withColumn("_m", F.when(some, F.filter(scored, lambda m: m["score"] >= dice)).otherwise(F.array().cast("array<struct<score:double,id:string>>")))
     top = F.element_at(F.array_sort(F.transform("_m", lambda m: F.struct((-m["score"]).alias("s"), m["id"].alias("id")))), 1)
     top = F.when(F.size("_m") > 0, top)
     return df.select(*kept, top["id"].alias("license_id"), (-top["s"]).alias("license_score"), F.array_sort(F.transform("_m", lambda m: m["id"])).alias("license_ids"))
 
 
+def _table(templates: dict[str, str], dice: float) -> Column:
+    """The templates as one constant: id, number of words, grams, sizes that a match may have, and places of the anchors."""
+    rows = []
+    for name in sorted(templates):
+        words, grams, anchors = _words(templates[name]), _bigrams(templates[name]), set(_anchor_bigrams(templates[name], dice))
+        places = [{"g": f"{a} {b}", "j": j} for j, (a, b) in enumerate(zip(words, words[1:], strict=False)) if f"{a} {b}" in anchors]
+        rows.append({"id": name, "words": len(words), "grams": grams, "least": len(grams) * dice / (2 - dice), "most": len(grams) * (2 - dice) / dice, "places": places})
+    kind = "array<struct<id:string,words:int,grams:array<string>,least:double,most:double,places:array<struct<g:string,j:int>>>>"
+    return F.from_json(F.lit(json.dumps(rows)), kind)
+
+
 def _hits(words: str, grams: list[str]) -> Column:
     """array<struct<at, g>> of the given bigrams among the words, with the places of their first words from 1."""
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -126,27 +131,18 @@ def _hits(words: str, grams: list[str]) -> Column:
     return F.filter(placed, lambda h: h["g"].isin(grams))
 
 
-def _windows(words: str, hits: str, template: list[str], anchors: list[str]) -> Column:
-    """Windows of as many words as the template has, placed by each hit of an anchor at each of the anchor's places in the template; no longer than the text."""
-    wanted = set(anchors)
-    places: dict[str, list[int]] = {}
-    for j, (a, b) in enumerate(zip(template, template[1:], strict=False)):
-        if f"{a} {b}" in wanted:
-            places.setdefault(f"{a} {b}", []).append(j)
-    offsets = F.create_map(*[x for g, js in sorted(places.items()) for x in (F.lit(g), F.array(*[F.lit(j) for j in js]))])
-    last = F.greatest(F.size(words) - len(template) + 1, F.lit(1))
-    mine = F.filter(hits, lambda h: h["g"].isin(sorted(wanted)))
-    starts = F.flatten(F.transform(mine, lambda h: F.transform(F.element_at(offsets, h["g"]), lambda j: F.greatest(F.lit(1), F.least(last, h["at"] - j)))))
-    return F.transform(F.array_distinct(starts), lambda s: F.slice(words, s, len(template)))
-
+def _best(t: Column) -> Column:
+    """The highest Dice coefficient of the template with a passage of fitting size or a window."""
+    near = F.filter("_g", lambda g: (F.size(g) >= t["least"]) & (F.size(g) <= t["most"]))
+    within = F.transform(_windows(t), lambda w: bigrams(F.array_join(w, " ")))
+    return F.array_max(F.transform(F.concat(near, within), lambda g: (F.lit(2.0) * F.size(F.array_intersect(g, t["grams"]))) / (F.size(g) + F.size(t["grams"]))))
 
-def _between(least: float, most: float):
-    return lambda g: (F.size(g) >= least) & (F.size(g) <= most)
 
-
-def _dice(grams: list[str]):
-    wanted = F.array(*[F.lit(g) for g in grams])
-    return lambda g: (F.lit(2.0) * F.size(F.array_intersect(g, wanted))) / (F.size(g) + len(grams))
+def _windows(t: Column) -> Column:
+    """Windows of as many words as the template has, placed by each hit of an anchor at each of the anchor's places in the template; no longer than the text."""
+    last = F.greatest(F.size("_w") - t["words"] + 1, F.lit(1))
+    starts = F.transform("_h", lambda h: F.transform(F.filter(t["places"], lambda p: p["g"] == h["g"]), lambda p: F.greatest(F.lit(1), F.least(last, h["at"] - p["j"]))))
+    return F.transform(F.array_distinct(F.flatten(starts)), lambda s: F.slice("_w", s, t["words"]))
 
 
 def oracle(templates: dict[str, str] | None = None, dice: float = DICE) -> str:
