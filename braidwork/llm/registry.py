@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import ann, language, licenses, pii, quality
+from braidwork.llm import ann, language, licenses, merkle, pii, quality
 from braidwork.llm.common import crc_bucket, shared_dir, table
 from braidwork.llm.jaccard import jaccard_components
 from braidwork.llm.mixing import mix_sources, word_count
@@ -87,6 +87,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=85, k=4)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(merkle.document_leaves(docs, crc_bucket(F.col("doc_id"), 3) == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
@@ -98,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_repetition": op9_repetition,
     "op10_jaccard": op10_jaccard,
+    "op13_merkle": op13_merkle,
 }
-ORACLES: dict[str, str] = {"op2_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op2_licenses": licenses.oracle(), "op13_merkle": merkle.oracle()}
