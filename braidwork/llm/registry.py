@@ -14,6 +14,7 @@ from braidwork.llm.jaccard import jaccard_components
 from braidwork.llm.mixing import mix_sources, word_count
 from braidwork.llm.packing import pack
 from braidwork.llm.repetition import repetition
+from braidwork.llm.spelling import spelling_variants
 from braidwork.llm.tokens import read_tokens, token_pieces, write_tokens
 
 
@@ -87,6 +88,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=85, k=4)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merkle.manifest(merkle.document_leaves(docs, crc_bucket(F.col("doc_id"), 3) == 0))
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_repetition": op9_repetition,
     "op10_jaccard": op10_jaccard,
+    "op12_spelling": op12_spelling,
     "op13_merkle": op13_merkle,
 }
 ORACLES: dict[str, str] = {"op2_licenses": licenses.oracle(), "op13_merkle": merkle.oracle()}
