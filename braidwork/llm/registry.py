@@ -13,6 +13,7 @@ from braidwork.llm.common import crc_bucket, shared_dir, table
 from braidwork.llm.jaccard import jaccard_components
 from braidwork.llm.mixing import mix_sources, word_count
 from braidwork.llm.packing import pack
+from braidwork.llm.repeats import remove_repeats
 from braidwork.llm.repetition import repetition
 from braidwork.llm.spelling import spelling_variants
 from braidwork.llm.tokens import read_tokens, token_pieces, write_tokens
@@ -88,6 +89,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=85, k=4)
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), least=200)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_repetition": op9_repetition,
     "op10_jaccard": op10_jaccard,
+    "op11_repeats": op11_repeats,
     "op12_spelling": op12_spelling,
     "op13_merkle": op13_merkle,
 }
