@@ -29,18 +29,18 @@ from braidwork.llm.kernels import BASE, U, blocks, mix, release
 #: Bytes of an anchor.
 ANCHOR = 32
 #: Entries of a bucket at most: a larger one is cut into bands of starts, in the end into single ones.
-MOST = 4096
-#: Bytes of text that are hashed at once.
-STEP = 1 << 20
+MOST = 16_384
+#: Bytes of text that are hashed at once: what stays in a core's cache.
+STEP = 1 << 16
 DIVERSE = -1
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """The hash of the ANCHOR bytes from every place on, by doubling."""
-    h, step = data.astype(U) + U(1), 1
+    """The hash of the ANCHOR bytes from every place on, by doubling. Bytes are compared later; texts made to collide cost time only."""
+    h, step, factor = data.astype(U) + U(1), 1, BASE
     while step < ANCHOR:
-        h = mix(h[:-step] * U(BASE)) + h[step:]
-        step *= 2
+        h = h[:-step] * U(factor) + h[step:]
+        step, factor = step * 2, factor * factor & 0xFFFFFFFFFFFFFFFF
     return mix(h)
 
 
@@ -65,19 +65,22 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     parts: list[tuple[np.ndarray, ...]] = []
     n, width = len(data), least - ANCHOR + 1
     for base in range(0, max(n - least + 1, 0), STEP):
-        piece = data[base : min(base + STEP + least - 1, n)]
-        h = _gram_hashes(piece)
+        h = _gram_hashes(data[base : min(base + STEP + least - 1, n)])
         at = _leftmost_least(h, width)
-        starts = np.arange(len(at), dtype=np.int64) + base
-        doc = np.searchsorted(offsets, starts, side="right") - 1
-        inside = starts + least <= offsets[doc + 1]
-        starts, doc, at = starts[inside], doc[inside], at[inside]
-        if not len(at):
+        # windows that the end of a text cuts
+        ends = offsets[np.searchsorted(offsets, base, side="right") : np.searchsorted(offsets, base + len(at) + least, side="left")]
+        edges = np.zeros(len(at) + 1, np.int32)
+        np.add.at(edges, np.clip(ends - least + 1 - base, 0, len(at)), 1)
+        np.add.at(edges, np.clip(ends - base, 0, len(at)), -1)
+        inside = np.flatnonzero(np.cumsum(edges[:-1]) == 0)
+        if not len(inside):
             continue
-        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
-        last = np.concatenate([first[1:], [len(at)]]) - 1
-        p = at[first].astype(np.int64) + base
-        parts.append((doc[first], h[at[first]].view(np.int64), p, p - starts[last], p - starts[first]))
+        p = at[inside]
+        first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (inside[1:] != inside[:-1] + 1)]))
+        last = np.concatenate([first[1:], [len(p)]]) - 1
+        p = p[first].astype(np.int64)
+        starts = inside[first]
+        parts.append((np.searchsorted(offsets, starts + base, side="right") - 1, h[p].view(np.int64), p + base, p - inside[last], p - starts))
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
@@ -114,20 +117,22 @@ def _entries(chosen: DataFrame, least: int, bodies: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                raw = batch.column("text")[r].as_buffer()
-                data = memoryview(raw)
-                hits = batch.column("hits")[r].values
-                h, p, lo, hi = (hits.field(c).to_numpy(zero_copy_only=False) for c in ("h", "p", "lo", "hi"))
-                body = [bytes(data[a:b]) for a, b in zip((p - hi).tolist(), (p + least - lo).tolist(), strict=True)]
-                marks = [f"{x}:{y}:".encode() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-                entry = pa.array([hashlib.blake2b(m + b, digest_size=16).digest() for m, b in zip(marks, body, strict=True)], pa.binary())
-                node, node2 = (batch.column(c)[r].as_py() for c in ("node", "node2"))
-                if bodies:
-                    who = mix(np.full(len(p), node, np.int64).view(U) ^ mix(U(node2 & 0xFFFFFFFFFFFFFFFF) + p.astype(U)))
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), entry, pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(body, pa.binary()), pa.array(who.view(np.int64))], names=["h", "entry", "lo", "hi", "body", "who"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array([node] * len(p), pa.int64()), pa.array([node2] * len(p), pa.int64()), pa.array(p, pa.int64()), entry], names=["node", "node2", "p", "entry"])
+            texts, hits = batch.column("text"), batch.column("hits")
+            each = np.asarray(hits.value_lengths()).astype(np.int64)
+            h, p, lo, hi = (hits.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "p", "lo", "hi"))
+            upto = np.cumsum(each)
+            body: list[bytes] = []
+            for r, (a, b) in enumerate(zip((upto - each).tolist(), upto.tolist(), strict=True)):
+                data = memoryview(texts[r].as_buffer())
+                body += [bytes(data[x:y]) for x, y in zip((p[a:b] - hi[a:b]).tolist(), (p[a:b] + least - lo[a:b]).tolist(), strict=True)]
+            named = [hashlib.blake2b(d, digest_size=16, salt=b"%d:%d" % (x, y)).digest() for d, x, y in zip(body, lo.tolist(), hi.tolist(), strict=True)]
+            entry = pa.array(named, pa.binary())
+            node, node2 = (np.repeat(batch.column(c).to_numpy(), each) for c in ("node", "node2"))
+            if bodies:
+                who = mix(node.view(U) ^ mix(node2.view(U) + p.view(U)))
+                yield pa.RecordBatch.from_arrays([pa.array(h), entry, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(body, pa.binary()), pa.array(who.view(np.int64))], names=["h", "entry", "lo", "hi", "body", "who"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node2), pa.array(p), entry], names=["node", "node2", "p", "entry"])
         release()
 
     return chosen.select("node", "node2", F.col("text").cast("binary").alias("text"), "hits").mapInArrow(run, f"{_ENTRY}, who long" if bodies else "node long, node2 long, p long, entry binary")
@@ -318,7 +323,7 @@ def maximal_repeats(docs: DataFrame, least: int = 200, key: str = "doc_id", text
     classes = written(named.groupBy("node", "node2").agg(F.min("key").alias("first"), F.count("*").alias("copies")), "classes")
     each = named.select("node", "node2", F.explode(F.arrays_zip("h", "p", "lo", "hi")).alias("a")).select("node", "node2", "a.*")
     who = F.xxhash64("node", "node2", "p")
-    common = needed(each.groupBy("h").agg(F.min(who).alias("a"), F.max(who).alias("b")).filter("a <> b").select("h"), "common")
+    common = written(each.groupBy("h").agg(F.min(who).alias("a"), F.max(who).alias("b")).filter("a <> b").select("h"), "common")
     hits = each.join(common, "h").groupBy("node", "node2").agg(F.collect_set(F.struct("h", "p", "lo", "hi")).alias("hits"))
     wanted = written(classes.join(hits, ["node", "node2"]), "wanted")
     keys = needed(wanted.select(F.col("first").alias("key")).filter("key IS NOT NULL").distinct(), "keys")
@@ -362,8 +367,13 @@ def remove_repeats(docs: DataFrame, least: int = 200, key: str = "doc_id", text:
     out. An empty table gives an empty one; further columns are not read.
     """
     seen, chosen, places, found = maximal_repeats(docs, least, key, text, most)
-    reach = found.groupBy("entry").agg(F.max("d").alias("before"), F.max(F.col("length") - F.col("d")).alias("behind"))
-    covers = places.join(reach, "entry").select("node", "node2", (F.col("p") - F.col("before")).alias("a"), (F.col("p") + F.col("behind")).alias("b"))
+    reach = written(found.groupBy("entry").agg(F.max("d").alias("before"), F.max(F.col("length") - F.col("d")).alias("behind")), "reach")
+    places = written(places, "places")
+    # entries with more than a thousandth of all places: fewer than a thousand, so the join with them is a broadcast
+    often = places.groupBy("entry").agg(F.count("*").alias("c")).filter(F.col("c") > max(1000, places.count() // 1000)).select("entry")
+    hot = F.broadcast(written(reach.join(often, "entry", "left_semi"), "hot"))
+    met = places.join(hot, "entry").unionByName(places.join(hot, "entry", "left_anti").join(reach, "entry"))
+    covers = met.select("node", "node2", (F.col("p") - F.col("before")).alias("a"), (F.col("p") + F.col("behind")).alias("b"))
     spans = covers.groupBy("node", "node2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
     # of texts that stand once: those that stand more often go whole
     cut = written(chosen.filter("copies = 1").select("node", "node2", "text").join(spans, ["node", "node2"]), "covered")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from braidwork.llm import ann, jaccard, kernels, language, licenses, packing, pii, quality, tokens
+from braidwork.llm import ann, common, jaccard, kernels, language, licenses, packing, pii, quality, tokens
 from braidwork.llm.registry import tokenizer_path
 from braidwork.llm.repetition import repetition
 from tests.llm import brute
@@ -228,3 +228,55 @@ def test_rows_in_the_mix_are_taken_as_the_plan_says(spark):
     want = {r.doc_id: r.copies for r in mix_sources(docs, word_count(F.col("text"))).collect()}
     assert got.keys() == want.keys() and all(got[i][2] == pytest.approx(want[i]) for i in want)
     assert all(got[i][:2] == (t, 1) for i, _, t, _ in rows)
+
+
+# --- samples -------------------------------------------------------------------------------------------------------
+
+
+def test_shares_of_huge_tables_are_not_empty(spark):
+    """Of any number of rows the share of a sample of 150 is hit: nested in that of larger shares, and near its size."""
+    keys = spark.range(1 << 20).select("id")
+    count = lambda share: keys.filter(common.sampled(F.col("id"), "language", F.lit(share))).count()
+    assert keys.filter(common.sampled(F.col("id"), "language", F.lit(1.0))).count() == 1 << 20
+    assert 400 < count(500 / (1 << 20)) < 600
+    # 150 of 10 ** 9 rows: the hash range that is taken is about that part of all, and not none
+    whole, wide, fine = 0.15e-6 * (1 << 20), 1 << 20, 1 << 40
+    first = keys.filter(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(wide)) == int(whole)).count()
+    assert first >= 1 and 0 < (whole - int(whole)) * fine < fine
+    many = spark.range(40_000_000).filter(common.sampled(F.col("id"), "language", F.lit(0.15e-6 * 10))).count()
+    assert 30 <= many <= 90
+
+
+def test_samples_stay_small_whatever_keys_repeat(spark):
+    """Rows without an id, and rows that share one, are all taken or none: the sample is cut to twice its size."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit(7)).cast("long").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"))
+    texts, langs = language.language_sample(docs, 20)
+    assert len(texts) <= 2 * 20 * 2 and len(texts) == len(langs)
+    other = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"), F.lit("en").alias("lang"))
+    assert 5 <= len(language.language_sample(other, 20)[0]) <= 40
+    long = other.withColumn("text", F.repeat("text", 20_000))
+    assert language.language_sample(long, 20) == ([], [])
+    labels = spark.range(4000).select((F.col("id") % 5).alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.labelled_sample(other, labels, "quality", 50).num_rows <= 100
+
+
+def test_quality_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    sample = quality.labelled_sample(docs, none, "quality", 10)
+    model = quality.train(sample.column(0).to_pylist(), sample.column(1).to_pylist())
+    assert [r.score for r in quality.score(docs, model, 1).collect()] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("dim", [768, 2048])
+def test_wide_vectors_are_scored_in_steps(spark, dim):
+    made = np.random.default_rng(dim)
+    x = made.normal(size=(300, dim))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in (0, 100, 200):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = sorted((d[i], i) for i in range(300) if i != q)[:5]
+        assert [i for i, _ in got[q]] == [i for _, i in want] and np.allclose([s for _, s in got[q]], [s for s, _ in want])
