@@ -213,7 +213,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, width: int = 256,
                 x, graph = np.frombuffer(one["nodes"]).reshape(-1, dim), np.frombuffer(one["graph"], np.int32).reshape(len(np.frombuffer(one["nodes"])) // dim, -1).astype(np.int64)
                 asking, q = np.frombuffer(one["asking"], np.int64), np.frombuffer(one["points"]).reshape(-1, dim)
                 near = search(x, graph, one["entry"], q, width)
-                score = np.sqrt(((x[np.maximum(near, 0)] - q[:, None, :]) ** 2).sum(axis=2))
+                score, step = np.empty(near.shape), max(1, GATHERED // max(1, near.shape[1] * dim))
+                for s in range(0, len(q), step):
+                    score[s : s + step] = np.sqrt(((x[np.maximum(near[s : s + step], 0)] - q[s : s + step, None, :]) ** 2).sum(axis=2))
                 score[near < 0] = np.inf
                 order = np.argsort(which, kind="stable")
                 edges = np.searchsorted(which[order], np.arange(len(x) + 1))

@@ -54,6 +54,19 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+#: Characters of a text that a model may learn from at most; longer ones are judged, not learned from.
+LONGEST = 200_000
+
+
+def sampled(key: Column, of: str, share: Column) -> Column:
+    """Whether a hash of the key is below a share of all hashes, to 60 bits: of any number of rows about that share, and not none for a small one."""
+    wide, fine = 1 << 20, 1 << 40
+    whole = F.floor(share * wide)
+    first = F.pmod(F.xxhash64(F.lit(of), key), F.lit(wide))
+    rest = F.pmod(F.xxhash64(F.lit(of), F.lit("rest"), key), F.lit(fine))
+    return (first < whole) | ((first == whole) & (rest < (share * wide - whole) * fine))
+
+
 #: Values of a table that is broadcast at most: 4 MB of numbers, several times that as a hash table.
 SMALL = 500_000
 

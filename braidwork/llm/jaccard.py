@@ -9,7 +9,11 @@ Groups first link to one member each, their hub: the one that shares most of its
 put together, so that texts which share many shingles meet once; a group that is one component by then needs no pair.
 So a large group of near copies costs one comparison per member, while a link between different components is never
 lost. From a tree come the rows that have a partner; those meet once more with their sets, are compared there, and only
-links that join two components come out. Both are fewer than the rows that went in, however many pairs are alike.
+links that join two components come out, fewer than the rows that went in, however many pairs are alike.
+
+A group that still holds several components is compared pair by pair. Beyond CELL members it is dealt out in pairs of
+blocks, and a member goes to as many cells as there are blocks: of a group of g members that do not link to its hub
+about g * g / CELL rows are sent. This part grows with the square of such a group.
 """
 
 from __future__ import annotations

@@ -14,9 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.llm.common import LONGEST, sampled
 from braidwork.llm.kernels import U, Rolling, blocks, release, word_spans
 
 BITS = 17
@@ -208,14 +209,21 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
 
 
 def language_sample(docs: DataFrame, most: int = 150, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
-    """Texts and languages of about `most` rows of each language, by the hash of the key."""
-    counts = {r[lang]: r["n"] for r in docs.filter(F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n")).collect()}
+    """Texts and languages of about `most` rows of each language, by a hash of the key, and never more than twice as many.
+
+    Every language of the table has rows in it, however large it is. Rows that share a key, or have none, are taken or
+    left together, the smallest texts by hash of those that are too many. Texts of over LONGEST characters are left out.
+    An empty table gives empty lists.
+    """
+    held = docs.filter(F.col(lang).isNotNull())
+    counts = {r[lang]: r["n"] for r in held.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
-    bounds = [F.lit(x) for name, n in sorted(counts.items()) for x in (name, int(min(1.0, most / n) * (1 << 20)))]
-    bound = F.coalesce(F.element_at(F.create_map(*bounds), F.col(lang)), F.lit(0))
-    chosen = docs.filter((F.pmod(F.xxhash64(F.lit("language"), key), F.lit(1 << 20)) < bound) & F.col(text).isNotNull())
-    rows = chosen.orderBy(key).select(text, lang).toArrow()
+    share = F.element_at(F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(1.0, most / n))]), F.col(lang))
+    chosen = held.filter(sampled(F.col(key), "language", share) & F.col(text).isNotNull() & (F.length(text) <= LONGEST))
+    w = Window.partitionBy(lang).orderBy(F.xxhash64(key), F.xxhash64(text))
+    chosen = chosen.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 2 * most)
+    rows = chosen.orderBy(key, F.xxhash64(text)).select(text, lang).toArrow()
     return rows.column(0).to_pylist(), rows.column(1).to_pylist()
 
 
@@ -223,7 +231,8 @@ def identify(docs: DataFrame, tagger: Tagger, text: str = "text", names: tuple[s
     """docs with the predicted language and its mean probability; the text goes unless keep_text.
 
     Null texts and texts without a letter are `und` with score 0, and so is everything if nothing was learned. Rows
-    are independent; columns named as an output are replaced.
+    are independent, repeated ones alike; of languages with one probability the first in code-point order wins. Texts
+    of any length are read whole; an empty table gives an empty one. Columns named as an output are replaced.
     """
     carried = [c for c in docs.columns if c not in names and (keep_text or c != text)]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried] + [f"{names[0]} string", f"{names[1]} double"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import needed
+from braidwork.llm.common import LONGEST, needed, sampled
 from braidwork.llm.kernels import U, Rolling, blocks, word_spans
 
 BITS = 17
@@ -72,7 +72,9 @@ class Model:
     classes: list
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Softmax for every text; a text without features gets the bias alone."""
+        """Softmax for every text; a text without features gets the bias alone. No column where nothing was learned."""
+        if not self.classes:
+            return np.zeros((len(offsets) - 1, 0))
         at, share, edges = buckets(data, offsets)
         sums = np.concatenate([np.zeros((1, len(self.bias))), np.cumsum(self.weights[at] * share[:, None], axis=0, dtype=np.float64)])
         z = sums[edges[1:]] - sums[edges[:-1]] + self.bias
@@ -116,20 +118,21 @@ def train(texts: list[str], labels: list, dim: int = 12, epochs: int = 8, rate:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text") -> pa.Table:
-    """About `most` labelled rows (text, label) at most, by the hash of the key; rows without a label or text are not used."""
+    """About `most` labelled rows (text, label), by a hash of the key, and never more than twice as many; rows without a label or text, and texts of over LONGEST characters, are not used. Without any the sample is empty."""
     labels = labels.filter(F.col(label).isNotNull()).select(key, label)
     n = labels.count()
-    share = min(1.0, most / max(n, 1))
-    chosen = labels.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = labels.filter(sampled(F.col(key), "sample", F.lit(min(1.0, most / max(n, 1)))))
     chosen = needed(chosen, "labels")
-    return docs.select(key, text).filter(F.col(text).isNotNull()).join(chosen, key).orderBy(key).select(text, label).toArrow()
+    rows = docs.select(key, text).filter(F.col(text).isNotNull() & (F.length(text) <= LONGEST)).join(chosen, key)
+    return rows.orderBy(key, F.xxhash64(text), label).limit(2 * most).select(text, label).toArrow()
 
 
 def score(docs: DataFrame, model: Model, positive, text: str = "text", name: str = "score") -> DataFrame:
     """docs without the text, with the probability of the positive class.
 
-    Whole texts are scored. Null texts count as empty; rows are independent; a model that never saw the positive
-    class gives 0. A column already called `name` is replaced.
+    Whole texts are scored, however long. Null texts count as empty; rows are independent, repeated ones alike; a model
+    that never saw the positive class, or learned nothing, gives 0. An empty table gives an empty one. A column already
+    called `name` is replaced.
     """
     carried = [c for c in docs.columns if c not in (text, name)]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried] + [f"{name} double"])
