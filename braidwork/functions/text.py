@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -64,9 +65,43 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+@functools.cache
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Characters that Unicode's full case folding changes: those that become one other, in order, what they become, and those that become several."""
+    changed = {c: c.casefold() for c in map(chr, range(0x110000)) if c != c.casefold()}
+    single = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in changed.items() if len(f) > 1}
+
+
+@functools.cache
+def _near(characters: str) -> str:
+    """A character class of a few ranges that hold the characters, and others between them: wide ones are quick to test."""
+    points, ranges = sorted(map(ord, characters)), []
+    for c in points:
+        if ranges and c - ranges[-1][1] < 256:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def casefolded(text: Column) -> Column:
+    """Unicode's full case folding, as str.casefold: lower case, then what that leaves, such as a sharp or a long s. Few texts hold a character that becomes several; only those are looked at for each."""
+    single, into, several = _folding()
+
+    def spread(value: Column) -> Column:
+        for c, f in several.items():
+            value = F.replace(value, F.lit(c), F.lit(f))
+        return value
+
+    low = F.lower(text)
+    some = F.when(low.rlike(_near("".join(several))), spread(low)).otherwise(low)
+    return F.translate(some, single, into)
+
+
 def fingerprint(text: Column) -> Column:
-    """sha256 of the lower-cased, squeezed text."""
-    return F.sha2(F.lower(squeezed(text)), 256)
+    """sha256 of the squeezed text in full case folding."""
+    return F.sha2(casefolded(squeezed(text)), 256)
 
 
 def snippet(text: Column, limit: int = 180) -> Column:

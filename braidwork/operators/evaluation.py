@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.operators.retrieval import weighted_rrf
-
 # Metric names and the calibration grid.
 METRICS = ("recall", "precision", "mrr", "ndcg", "hit_rate")
 ALPHAS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
@@ -117,15 +119,48 @@ def same_identity(baseline: dict, current: dict) -> list[str]:
     return sorted(k for k in baseline.keys() | current.keys() if baseline.get(k) != current.get(k))
 
 
-def calibration(dense: DataFrame, sparse: DataFrame, questions: DataFrame, sources: DataFrame, k: int, spark=None) -> DataFrame:
-    """Mean metrics of every (alpha, rrf_k): one retrieval pass serves the whole grid. sources: (id, source)."""
-    spark = spark or dense.sparkSession
-    grid = spark.range(1).select(F.explode(F.array(*[F.lit(a) for a in ALPHAS])).alias("alpha"), F.lit(0).alias("_")).select("alpha", F.explode(F.array(*[F.lit(r) for r in RRF_KS])).alias("rrf_k"))
-    on = ["alpha", "rrf_k", "qid"]
-    wide = [F.broadcast(grid).crossJoin(r.select("qid", "id", "rank")) for r in (dense, sparse)]
-    fused = weighted_rrf(wide[0], wide[1], k, F.col("alpha"), F.col("rrf_k"), tuple(on))
-    scores = query_scores(fused.join(sources, "id"), questions, k, tuple(on))
-    return mean_scores(scores, ("alpha", "rrf_k"))
+def calibration(dense: DataFrame, sparse: DataFrame, questions: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+    """Mean metrics of every (alpha, rrf_k): one retrieval pass serves the whole grid. sources: (id, source).
+
+    A question's hits of both rankings come together once, as a list of their ranks and of which expected source each
+    stands for; a task ranks that list for every setting and sends on the sums over its questions, 44 rows a batch.
+    Questions (qid, expected, relevant_in_corpus) without a hit of a known source do not count.
+    """
+    both = dense.select("qid", "id", F.col("rank").alias("d")).join(sparse.select("qid", "id", F.col("rank").alias("s")), ["qid", "id"], "full_outer")
+    asked = questions.select("qid", F.array_distinct("expected").alias("expected"), F.col("relevant_in_corpus").cast("int").alias("relevant"))
+    placed = both.join(sources, "id", "left").join(asked, "qid")
+    # the place of the source among the expected ones: 0 for another source, -1 for none
+    which = F.coalesce(F.array_position("expected", F.col("source")), F.lit(-1)).cast("int")
+    lists = placed.groupBy("qid").agg(F.first(F.size("expected")).alias("n"), F.first("relevant").alias("relevant"), F.sort_array(F.collect_list(F.struct("id", "d", "s", which.alias("which")))).alias("hits"))
+    settings = [(a, r) for a in ALPHAS for r in RRF_KS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, count = np.zeros((len(settings), len(METRICS))), 0
+        for batch in batches:
+            for n, relevant, hits in zip(batch.column("n").to_pylist(), batch.column("relevant").to_pylist(), batch.column("hits"), strict=True):
+                got = hits.values
+                which = got.field("which").to_numpy(zero_copy_only=False)
+                if (which < 0).all():
+                    continue
+                count += 1
+                d, s = (np.where(np.isnan(x), k, x) for x in (got.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("d", "s")))
+                sums += [_graded(which, d, s, alpha, rrf, k, n, relevant) for alpha, rrf in settings]
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in settings]), pa.array([r for _, r in settings], pa.int32()), pa.array([count] * len(settings), pa.int64()), *[pa.array(sums[:, i]) for i in range(len(METRICS))]], names=["alpha", "rrf_k", "count", *METRICS])
+
+    partial = lists.mapInArrow(run, "alpha double, rrf_k int, count long, " + ", ".join(f"{m} double" for m in METRICS))
+    return partial.groupBy("alpha", "rrf_k").agg(F.sum("count").alias("_n"), *[F.sum(m).alias(m) for m in METRICS]).filter("_n > 0").select("alpha", "rrf_k", *[F.round(F.col(m) / F.col("_n"), 4).alias(m) for m in METRICS])
+
+
+def _graded(which: np.ndarray, d: np.ndarray, s: np.ndarray, alpha: float, rrf: int, k: int, n: int, relevant: int) -> list[float]:
+    """The five metrics of one question under one setting; hits are in order of id, which decides ties."""
+    score = alpha / (rrf + d + 1) + (1.0 - alpha) / (rrf + s + 1)
+    order = np.argsort(-score, kind="stable")[:k]
+    good = np.flatnonzero(which[order] > 0)
+    gains = 1.0 / np.log2(good + 2)
+    ideal = min(k, relevant) if relevant is not None else 0
+    best = sum(1.0 / np.log2(r + 1) for r in range(1, ideal + 1))
+    found = len(np.unique(which[order][good]))
+    return [found / n if n else 0.0, len(good) / k, 1.0 / (good[0] + 1) if len(good) else 0.0, float(gains.sum()) / best if ideal > 0 else 0.0, 1.0 if len(good) else 0.0]
 
 
 def best_setting(grid: DataFrame, metric: str, alpha: float = 0.6, rrf_k: int = 60) -> DataFrame:

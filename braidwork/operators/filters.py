@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.functions.text import let
+
 _COMPARE = {
     "$eq": lambda c, v: c == v,
     "$ne": lambda c, v: c != v,
@@ -72,6 +73,32 @@ def folder_value(path: Column, rules: Mapping[str, Any], default: Any = None) ->
     return out
 
 
+#: Rules that are broadcast at most.
+FEW_RULES = 200_000
+
+
+def _folder(path: Column) -> Column:
+    """The components of a path; empty ones and dots are none."""
+    return F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+
+
+def folder_values(rows: DataFrame, rules: DataFrame, default: Any = None, path: str = "path", folder: str = "folder", value: str = "value") -> DataFrame:
+    """rows with the value of the longest folder of a rule table (folder, value) that their path is in, else default.
+
+    A path is looked up by all its leading folders, each distinct path once, so the work does not grow with the rules
+    and none stands in the plan. Of rules for one folder the last value in order counts; a null path is in no folder,
+    and the empty folder holds every other.
+    """
+    named = rules.select(F.array_join(_folder(F.col(folder)), "/").alias("_at"), F.col(value).alias("_value")).groupBy("_at").agg(F.max("_value").alias("_value"))
+    parts = _folder(F.col(path))
+    paths = rows.select(path).distinct().filter(F.col(path).isNotNull()).withColumn("_parts", parts)
+    heads = F.transform(F.sequence(F.lit(0), F.size("_parts")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("_parts", F.lit(1), n), "/").alias("at")))
+    looked = paths.select(path, F.explode(heads).alias("h")).select(path, F.col("h.n").alias("_n"), F.col("h.at").alias("_at"))
+    side = F.broadcast(named) if rules.count() <= FEW_RULES else named
+    best = looked.join(side, "_at").groupBy(path).agg(F.max_by("_value", "_n").alias("_found"))
+    return rows.join(best, path, "left").withColumn(value, F.coalesce("_found", F.lit(default))).drop("_found")
+
+
 def document_key(owner: Column, path: Column) -> Column:
     """owner:path; an upload is known by its name without the random prefix."""
     name = F.regexp_replace(F.substring_index(path, "/", -1), "^[0-9a-f]{32}_", "")
@@ -145,66 +172,96 @@ ORDINALS = {
     "primera": 1, "segunda": 2, "tercera": 3, "cuarta": 4, "quinta": 5, "sexta": 6, "séptima": 7, "octava": 8, "novena": 9, "décima": 10,
     "septima": 7, "decima": 10,
 }
-LABELS = ("page", "pages", "pg", "pgs", "pg.", "pgs.", "p.", "pp.", "seite", "seiten", "s.", "pagina", "paginas", "página", "páginas", "pag", "pags", "pag.", "pags.", "pág", "págs", "pág.", "págs.")
-ONE_PAGE, MORE_PAGES = ("page", "seite", "pagina", "página"), ("pages", "seiten", "paginas", "páginas")
-BETWEEN, BESIDE = ("-", "–", "—", "to", "through", "thru", "bis", "hasta", "a"), (",", "&", "and", "und", "y")
-FROM_START, AT_END = ("first", "ersten", "primeras"), ("last", "final", "letzte", "letzten", "letzter", "letztes", "ultima", "última")
+#: Words for a page, for pages, and short forms with or without a dot; those that need one.
+PAGE, PAGES = ("page", "seite", "pagina", "página"), ("pages", "seiten", "paginas", "páginas")
+SHORT, DOTTED = ("pg", "pgs", "pag", "pags", "pág", "págs"), ("p", "pp", "s")
+#: What may stand between such a word and a number; what joins two ends of a span, or two pages.
+MARKS, SHORT_MARKS = ("number", "numero", "número", "#"), ("no", "nr")
+UPTO, ALSO = ("-", "–", "—", "to", "through", "thru", "bis", "hasta", "a"), (",", "&", "and", "und", "y")
+#: What counts pages from the start, and what names the last one.
+FIRST_OF, LAST = ("first", "ersten", "primeras"), ("last", "final", "letzte", "letzten", "letzter", "letztes", "ultima", "última")
 #: What a page is a part of without being a place in a document: a page view, a page table.
 COMPOUNDS = ("load", "view", "visit", "hit", "rank", "result", "fault", "table", "size")
 
+_TOKEN = r"(?U)\s*(?:[0-9]+|\p{L}+|\S)"
+_REFERENCE = "array<struct<first:int,behind:int,low:int,high:int,last:boolean>>"
+_SPAN = "array<struct<low:int,high:int,last:boolean>>"
 
-def _any(words: Iterable[str]) -> str:
-    """Any of the words, longer ones first."""
-    return "(?:" + "|".join(re.sub(r"([.&-])", r"\\\1", w) for w in sorted(words, key=len, reverse=True)) + ")"
 
+def _table(words: Mapping[str, Any]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
 
-_HEAD, _NUMBER, _PLACE = r"(?iU)(?<![\w.])", r"[0-9]{1,6}", rf"\b(?!\s+{_any(COMPOUNDS)})"
-_JOINT = rf"\s*{_any(BETWEEN + BESIDE)}\s*(?={_NUMBER}\b)"
-#: The forms of a page reference. The first group of a form is what tells the pages.
-FORMS = {
-    "numbered": rf"{_HEAD}{_any(LABELS)}\s*(?:(?:number|numero|número)\s+|(?:no|nr)\.?\s*|#\s*)?({_NUMBER}\b(?:{_JOINT}{_NUMBER}\b)*)",
-    "leading": rf"{_HEAD}{_any(FROM_START)}\s+({_NUMBER}|{_any(NUMBERS)})\s+{_any(MORE_PAGES)}\b",
-    "ordinal": rf"{_HEAD}({_any(ORDINALS)}[nrs]?|{_NUMBER}(?:st|nd|rd|th))\s+{_any(ONE_PAGE)}{_PLACE}",
-    "spelled": rf"{_HEAD}{_any(ONE_PAGE)}\s+({_any(NUMBERS)}){_PLACE}",
-    "end": rf"{_HEAD}(?<!to\s)((?:{_any(AT_END)}\s+{_any(ONE_PAGE)}|p[aá]gina\s+final)){_PLACE}",
-}
-_SPAN = "array<struct<low:int,high:int,last:boolean>>"
 
+def _words(question: Column) -> Column:
+    """The question's words, numbers and signs in order: raw (with the blanks before), w (lower case), apart (from what is before), kind, and what it counts as number, number word or ordinal."""
+    kinds = {w: k for k, words in (("page", PAGE), ("pages", PAGES), ("short", SHORT), ("dotted", DOTTED), ("mark", MARKS), ("no", SHORT_MARKS), ("upto", UPTO), ("also", ALSO), ("first", FIRST_OF), ("last", LAST)) for w in words}
+    ordinals = {w + e: n for w, n in ORDINALS.items() for e in ("", "n", "r", "s")}
+    raw = F.regexp_extract_all(question, F.lit(_TOKEN), F.lit(0))
 
-def _span(low: Column | None, high: Column | None, last: bool) -> Column:
-    none = F.lit(None).cast("int")
-    return F.struct((none if low is None else low).alias("low"), (none if high is None else high).alias("high"), F.lit(last).alias("last"))
+    def told(r: Column) -> Column:
+        w = F.lower(F.regexp_replace(r, r"(?U)^\s+", ""))
+        return F.struct(r.alias("raw"), w.alias("w"), r.rlike(r"(?U)^\s").alias("apart"), F.try_element_at(_table(kinds), w).alias("kind"), F.when(w.rlike("^[0-9]{1,6}$"), w.cast("int")).alias("number"), F.try_element_at(_table(NUMBERS), w).alias("spelled"), F.try_element_at(_table(ordinals), w).alias("ordinal"))
 
+    return F.transform(raw, told)
 
-def _counted(words: Mapping[str, int], word: Column, endings: str = "") -> Column:
-    """The number that a word or its digits stand for; a word may have one of the endings."""
-    low = F.lower(word)
-    spelled = F.create_map(*[F.lit(x) for w, n in words.items() for e in ("", *endings) for x in (w + e, n)])
-    return F.coalesce(F.try_element_at(spelled, low), F.regexp_extract(low, _NUMBER, 0).try_cast("int"))
 
+def _references(words: Column) -> Column:
+    """Page references in one pass over the words: first and last word of each, and the pages it names.
 
-def page_filter(question: str | Column) -> Column:
-    """array<struct<low, high, last>>: the page spans a question names, by form, then place; empty for none."""
-    question = F.col(question) if isinstance(question, str) else question
-    said = {form: F.regexp_extract_all(question, F.lit(pattern), F.lit(1)) for form, pattern in FORMS.items()}
-
-    def ranges(listed: Column) -> Column:
-        marked = F.regexp_replace(listed, rf"(?iU)\s*{_any(BETWEEN)}\s*(?={_NUMBER})", "~")
-        return F.transform(F.split(F.regexp_replace(marked, rf"(?iU)\s*{_any(BESIDE)}\s*", ","), ","), lambda part: F.transform(F.split(part, "~"), lambda n: n.cast("int")))
+    At every word it is asked what stands around it. A number belongs to a page word before it, or carries on the list
+    that the number two words before it ended; an ordinal, a count from the start, a spelled number or a word for the
+    end need a page word beside them.
+    """
+    def at(i: Column) -> Column:
+        return F.get(words, i)
+
+    def step(state: Column, i: Column) -> Column:
+        one, before, behind = at(i), at(i - 1), at(i + 1)
+        begins = lambda k: (k == 0) | at(k)["apart"] | ~at(k - 1)["w"].rlike(r"(?U)^[\p{L}0-9_.]")
+        place = lambda k: ~(at(k)["apart"] & at(k)["w"].rlike(f"^(?:{'|'.join(COMPOUNDS)})"))
+        known = lambda c: F.coalesce(c, F.lit(False))
+        kind = lambda k: F.coalesce(at(k)["kind"], F.lit(""))
+        dot = lambda k: known((at(k)["w"] == ".") & ~at(k)["apart"])
+        # the place of the page word that ends right before word k, null where none does
+        label = lambda k: F.when(kind(k - 1).isin("page", "pages", "short"), k - 1).when(dot(k - 1) & kind(k - 2).isin("short", "dotted"), k - 2)
+        whole = known(one["number"].isNotNull()) & ~known(~behind["apart"] & behind["w"].rlike(r"(?U)^[\p{L}_]"))
+        marked = F.when(kind(i - 1).isin("mark", "no"), label(i - 1)).when(dot(i - 1) & (kind(i - 2) == "no"), label(i - 2))
+        named = F.coalesce(label(i), marked)
+        numbered = whole & named.isNotNull() & known(begins(named))
+        listed = whole & (state["number"] == i - 2) & kind(i - 1).isin("upto", "also")
+        n = one["number"]
+
+        def ref(first: Column, last: Column, low: Column, high: Column, end: bool = False) -> Column:
+            return F.array(F.struct(first.cast("int").alias("first"), last.cast("int").alias("behind"), low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(end).alias("last")))
+
+        refs, none = state["refs"], F.lit(None)
+        longer = F.element_at(refs, -1)
+        many = F.coalesce(behind["number"], behind["spelled"])
+        suffixed = known(~behind["apart"] & behind["w"].isin("st", "nd", "rd", "th"))
+        ends = known(before["w"] != "to") | (i == 0)
+        found = (
+            F.when(numbered, F.concat(refs, ref(named, i, n, n)))
+            .when(listed & (kind(i - 1) == "upto"), F.concat(F.slice(refs, 1, F.size(refs) - 1), ref(longer["first"], i, longer["low"], n)))
+            .when(listed, F.concat(refs, ref(i - 1, i, n, n)))
+            .when(known(begins(i)) & (kind(i) == "first") & many.isNotNull() & (kind(i + 2) == "pages"), F.concat(refs, ref(i, i + 2, F.lit(1), many)))
+            .when(known(begins(i)) & one["ordinal"].isNotNull() & (kind(i + 1) == "page") & known(F.coalesce(place(i + 2), F.lit(True))), F.concat(refs, ref(i, i + 1, one["ordinal"], one["ordinal"])))
+            .when(known(begins(i)) & n.isNotNull() & suffixed & (kind(i + 2) == "page") & known(F.coalesce(place(i + 3), F.lit(True))), F.concat(refs, ref(i, i + 2, n, n)))
+            .when(known(begins(i)) & (kind(i) == "page") & behind["spelled"].isNotNull() & known(F.coalesce(place(i + 2), F.lit(True))), F.concat(refs, ref(i, i + 1, behind["spelled"], behind["spelled"])))
+            .when(known(begins(i)) & ends & (((kind(i) == "last") & (kind(i + 1) == "page")) | (one["w"].isin("pagina", "página") & known(behind["w"] == "final"))) & known(F.coalesce(place(i + 2), F.lit(True))), F.concat(refs, ref(i, i + 1, none, none, True)))
+            .otherwise(refs)
+        )
+        return F.struct(F.when(numbered | listed, i).otherwise(state["number"]).cast("int").alias("number"), found.cast(_REFERENCE).alias("refs"))
+
+    start = F.struct(F.lit(-9).alias("number"), F.array().cast(_REFERENCE).alias("refs"))
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, lambda s: s["refs"])
 
-    def spans(form: str, one: Callable[[Column], Column]) -> Column:
-        return F.transform(said[form], one)
 
-    single = lambda words, endings="": lambda w: (lambda n: _span(n, n, False))(_counted(words, w, endings))
-    listed = F.transform(F.flatten(F.transform(said["numbered"], ranges)), lambda r: _span(F.least(F.get(r, 0), F.element_at(r, -1)), F.greatest(F.get(r, 0), F.element_at(r, -1)), False))
-    parts = [
-        listed,
-        spans("leading", lambda w: _span(F.least(F.lit(1), _counted(NUMBERS, w)), F.greatest(F.lit(1), _counted(NUMBERS, w)), False)),
-        spans("ordinal", single(ORDINALS, "nrs")),
-        spans("spelled", single(NUMBERS)),
-        F.when(F.size(said["end"]) > 0, F.array(_span(None, None, True))).otherwise(F.array().cast(_SPAN)),
-    ]
-    return F.coalesce(F.concat(*[p.cast(_SPAN) for p in parts]), F.array().cast(_SPAN))
+def page_filter(question: str | Column) -> Column:
+    """array<struct<low, high, last>>: the page spans a question names, in order, each once; empty for none."""
+    question = F.col(question) if isinstance(question, str) else question
+    spans = let(_words(question), lambda words: F.transform(_references(words), lambda r: F.struct(F.least(r["low"], r["high"]).alias("low"), F.greatest(r["low"], r["high"]).alias("high"), r["last"].alias("last"))))
+    return F.coalesce(F.array_distinct(spans).cast(_SPAN), F.array().cast(_SPAN))
 
 
 def on_pages(spans: Column, page: Column, is_last: Column) -> Column:
@@ -214,7 +271,9 @@ def on_pages(spans: Column, page: Column, is_last: Column) -> Column:
 
 def without_pages(question: str | Column) -> Column:
     """The question without its page references."""
-    out = F.col(question) if isinstance(question, str) else question
-    for pattern in FORMS.values():
-        out = F.regexp_replace(out, pattern, " ")
-    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+    question = F.col(question) if isinstance(question, str) else question
+
+    def rest(words: Column) -> Column:
+        return let(_references(words), lambda refs: F.transform(words, lambda w, i: F.when(F.exists(refs, lambda r: i.between(r["first"], r["behind"])), F.lit(" ")).otherwise(w["raw"])))
+
+    return F.trim(F.regexp_replace(F.array_join(let(_words(question), rest), ""), r"(?U)\s+", " "))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.functions.text import tokens
+from braidwork.functions.text import let, tokens
 from braidwork.sources.shared import written
 
 # BM25 parameters.
@@ -95,15 +95,24 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     wanted = [r.term for r in asked.select("term").distinct().limit(LISTED + 1).collect()]
     dl = F.size("t").cast("long").alias("dl")
     if len(wanted) <= LISTED:
-        mine = said.select("id", dl, F.filter("t", lambda w: w.isin(wanted)).alias("m"))
-        rows = mine.select("id", "dl", "m", F.explode(F.array_distinct("m")).alias("term"))
-        postings = rows.select("id", "dl", "term", F.size(F.filter("m", lambda w: w == F.col("term"))).alias("tf"))
+        mine = said.select("id", dl, F.array_sort(F.filter("t", lambda w: w.isin(wanted))).alias("m"))
+        postings = mine.select("id", "dl", F.inline(_runs(F.col("m"))))
     else:
         rows = said.select("id", dl, F.explode("t").alias("term")).join(_few(asked.select("term").distinct()), "term", "left_semi")
         postings = rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     return _weighted(postings, asked, terms, totals)
 
 
+def _runs(ordered: Column) -> Column:
+    """term and tf of an array of words in order, from the places where a run begins: one pass, however many words differ."""
+    def of(words: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (words[i] != words[F.greatest(i - 1, F.lit(0))]))
+        ends = lambda at: F.concat(F.slice(at, 2, F.size(words)), F.array(F.size(words)))
+        return let(begins, lambda at: F.zip_with(at, ends(at), lambda a, b: F.struct(words[a].alias("term"), (b - a).cast("long").alias("tf"))))
+
+    return F.when(F.size(ordered) > 0, let(ordered, of))
+
+
 def _few(rows: DataFrame) -> DataFrame:
     """A side of a join that is broadcast if its counted rows are few."""
     return F.broadcast(rows) if rows.count() <= SMALL else rows

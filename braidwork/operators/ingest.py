@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions.screening import injection_signals, pii_types
 from braidwork.functions.text import fingerprint
-from braidwork.operators.retrieval import nearest_rows
-from braidwork.sources.shared import written
+from braidwork.operators.cells import near_join
 
 
 def version_id(content: Column) -> Column:
@@ -43,14 +42,12 @@ def dedup_vs_store(fresh: DataFrame, stored: DataFrame, keys: tuple[str, ...] =
 def near_duplicates(fresh: DataFrame, stored: DataFrame, threshold: float = 0.985, key: str = "id", vector: str = "embedding", owner: str = "owner", document: str = "document_key") -> DataFrame:
     """Each fresh row's best stored neighbour of the same owner, where it is of another document and at least that near: (key, match_id, score).
 
-    Fresh rows meet the stored ones in blocks, by matrix products in the tasks that read the stored rows; each task
-    sends on one neighbour per fresh row. Ties go to the larger id. Nothing is missed, and an owner that holds most
-    rows is read by as many tasks as its rows fill.
+    Both sides are dealt to cells of the space and meet only where they may be that near: see near_join. Nothing is
+    missed, and an owner that holds most rows is spread over its cells. Ties go to the larger id.
     """
     asked = fresh.select(F.col(key).alias("qid"), F.col(vector).alias("v"), F.col(owner).alias("owner"))
     rows = stored.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(owner).alias("owner"))
-    near = written(nearest_rows(asked, rows, 1, threshold, "owner", others_only=True), "near").withColumn("s", F.round("score", 12)).filter(F.col("s") >= threshold)
-    best = near.groupBy("qid").agg(F.max(F.struct("s", "id", "score")).alias("b")).select(F.col("qid").alias(key), F.col("b.id").alias("match_id"), F.col("b.score").alias("score"))
+    best = near_join(asked, rows, threshold, "owner", others_only=True).select(F.col("qid").alias(key), F.col("id").alias("match_id"), "score")
     told = best.join(stored.select(F.col(key).alias("match_id"), F.col(document).alias("_other")), "match_id").join(fresh.select(key, F.col(document).alias("_doc")), key)
     return told.filter(F.col("_doc") != F.col("_other")).select(key, "match_id", "score")
 

@@ -5,48 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators.scans import Ordered, exact_ranks
+
 
 def limited(events: DataFrame, most: int = 20, seconds: float = 300.0, key: str = "user_id", at: str = "ts") -> DataFrame:
-    """events with in_window, the attempts of their key in the last `seconds` (older by exactly that much is out), and blocked."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy("_us").rangeBetween(-int(seconds * 1_000_000) + 1, 0)
-    return events.withColumn("_us", micros).withColumn("in_window", F.count("*").over(w)).withColumn("blocked", F.col("in_window") >= most).drop("_us")
+    """events with in_window, the attempts of their key in the last `seconds` (older by exactly that much is out), and blocked.
+
+    Time is cut into spans of that length, and an event stands in its own span and the next: a window holds two spans
+    of a key, however many events the key has.
+    """
+    micros, width = F.unix_micros(F.col(at).cast("timestamp")), int(seconds * 1_000_000)
+    span = F.floor(F.col("_us") / width)
+    both = F.explode(F.array(F.struct(span.alias("at"), F.lit(True).alias("own")), F.struct((span + 1).alias("at"), F.lit(False).alias("own"))))
+    w = Window.partitionBy(key, "_s.at").orderBy("_us").rangeBetween(-width + 1, 0)
+    counted = events.withColumn("_us", micros).withColumn("_s", both).withColumn("in_window", F.count("*").over(w))
+    return counted.filter("_s.own").withColumn("blocked", F.col("in_window") >= most).drop("_us", "_s")
 
 
 def error_windows(events: DataFrame, failed: Column, gap: float = 5.0, by: str | None = None, at: str = "ts") -> DataFrame:
     """Spans of failures at most `gap` seconds apart: first, last, failures. Successes in between end none.
 
-    Spans are cut in parallel: events fall into days of their own, each is cut by itself, and spans that meet at the
-    edge of a day are joined in a second step over the spans; without `by` that step is one task.
+    Failures are put in order by ranges; where a span begins is told from the failure before, also across the edge of a
+    range, and spans are numbered by a running sum. No task holds all failures of a key, or of a table without one.
     """
     keys = [by] if by else []
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    bad = events.filter(failed).select(*keys, micros.alias("t")).withColumn("day", F.floor(F.col("t") / 86_400_000_000))
-    width = int(gap * 1_000_000)
-
-    def spans(rows: DataFrame, within: list[str], first: str, last: str) -> DataFrame:
-        w = Window.partitionBy(*within).orderBy(first, last)
-        cut = F.coalesce(F.col(first) - F.lag(last).over(w) > width, F.lit(True)).cast("int")
-        marked = rows.withColumn("_cut", cut).withColumn("span", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return marked.groupBy(*within, "span").agg(F.min(first).alias("a"), F.max(last).alias("b"), F.sum("n").alias("n")).drop("span")
-
-    daily = spans(bad.withColumn("n", F.lit(1)), [*keys, "day"], "t", "t").drop("day")
-    whole = spans(daily, keys, "a", "b")
-    return whole.select(*keys, F.timestamp_micros("a").alias("started"), F.timestamp_micros("b").alias("ended"), F.col("n").alias("failures"))
+    bad = Ordered.of(events.filter(failed).select(*keys, F.unix_micros(F.col(at).cast("timestamp")).alias("t")), keys, ["t"])
+    bad = bad.previous("t", "_before")
+    begins = F.col("_before").isNull() | (F.col("t") - F.col("_before") > int(gap * 1_000_000))
+    rows = bad.total(begins.cast("int"), "_span").result()
+    whole = rows.groupBy(*keys, "_span").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("failures"))
+    return whole.select(*keys, F.timestamp_micros("a").alias("started"), F.timestamp_micros("b").alias("ended"), "failures")
 
 
 def percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), by: tuple[str, ...] = ()) -> DataFrame:
-    """Nearest-rank percentiles."""
-    return rows.groupBy(*by).agg(*[F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(s * 100)}") for s in shares])
+    """Nearest-rank percentiles: the smallest value that at least that share of the group does not exceed."""
+    return exact_ranks(rows, value, {f"p{round(s * 100)}": F.greatest(F.ceil(F.col("n") * s) - 1, F.lit(0)) for s in shares}, by)
 
 
 def floor_percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95), by: tuple[str, ...] = ()) -> DataFrame:
-    """The value at place floor(n * share) from 0 in order; places come from counts of distinct values, not from one list of all."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    placed = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    at = lambda s: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * s), F.col("n") - 1), F.col(value)))
-    return placed.groupBy(*by).agg(*[at(s).alias(f"p{round(s * 100)}") for s in shares])
+    """The value at place floor(n * share) from 0 in order."""
+    return exact_ranks(rows, value, {f"p{round(s * 100)}": F.least(F.floor(F.col("n") * s), F.col("n") - 1) for s in shares}, by)
 
 
 def memory_trend(samples: DataFrame, at: str = "t", value: str = "mb") -> DataFrame:
@@ -59,8 +57,10 @@ def memory_trend(samples: DataFrame, at: str = "t", value: str = "mb") -> DataFr
 def phase_summary(requests: DataFrame, by: str = "phase") -> DataFrame:
     """Requests, rate, error rate and latencies of load-test phases: (phase, t, ok, ms)."""
     seconds = F.greatest(F.max("t") - F.min("t"), F.lit(1e-9))
-    disc = lambda s: F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY ms)")
-    return requests.groupBy(by).agg(F.count("*").alias("requests"), F.round(F.count("*") / seconds, 2).alias("per_second"), F.round(F.count_if(~F.col("ok")) / F.count("*"), 4).alias("error_rate"), disc(0.5).alias("p50_ms"), disc(0.95).alias("p95_ms"), disc(0.99).alias("p99_ms"), F.max("ms").alias("max_ms"))
+    counts = requests.groupBy(by).agg(F.count("*").alias("requests"), F.round(F.count("*") / seconds, 2).alias("per_second"), F.round(F.count_if(~F.col("ok")) / F.count("*"), 4).alias("error_rate"), F.max("ms").alias("max_ms"))
+    ranks = percentiles(requests, "ms", by=(by,)).select(F.col(by).alias("_by"), *[F.col(p).alias(f"{p}_ms") for p in ("p50", "p95", "p99")])
+    both = counts.join(ranks, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return both.select(by, "requests", "per_second", "error_rate", "p50_ms", "p95_ms", "p99_ms", "max_ms")
 
 
 def verdict(report: DataFrame, max_error: float = 0.01, max_p95: float = 0.0, max_growth: float = 10.0) -> DataFrame:

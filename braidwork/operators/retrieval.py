@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions.text import let, lexical_overlap, snippet
+from braidwork.operators.cells import dealt, units
 from braidwork.operators.index import top
+from braidwork.operators.scans import Ordered
+from braidwork.sources.shared import written
 
 # Fusion and context defaults.
 ALPHA, RRF_K, CONTEXT_CHARS = 0.6, 60, 12_000
@@ -22,18 +25,6 @@ TIE = 1e-9
 HASHED_DIM = 64
 
 
-def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the rows of that dimension that are usable (no null or NaN in them, not zero), and their vectors scaled to length 1."""
-    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    ends = np.cumsum(sizes)
-    rows = np.flatnonzero(sizes == dim)
-    x = flat[(ends - sizes)[rows][:, None] + np.arange(dim)] if len(rows) else np.zeros((0, dim))
-    norm = np.sqrt((x * x).sum(axis=1))
-    good = (norm > 0) & np.isfinite(norm)
-    return rows[good], x[good] / norm[good][:, None]
-
-
 def unit(vector: Column) -> Column:
     """The vector as doubles, scaled to length 1; null for a zero vector."""
     v = F.transform(vector, lambda x: x.cast("double"))
@@ -48,10 +39,10 @@ def dot(a: Column, b: Column) -> Column:
 def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None, by: str | None = None, others_only: bool = False) -> DataFrame:
     """(qid, id, score): for every query (qid, v) at least its k best rows (id, v) by cosine, of at least `least` where given.
 
-    The query set meets all rows in blocks of at most QUERY_BYTES of vectors, each a matrix product per batch of rows;
-    a task sends on the best k of each query and what ties with them, so that its output does not grow with its rows.
-    by names a column that must be equal on both sides; with others_only a query meets no row of its own id. Vectors
-    that are null, zero, not finite or of another dimension take no part.
+    Queries of at most QUERY_BYTES, counted, go along with one pass over the rows, a matrix product per batch; a task
+    sends on the best k of each query and what ties with them. More queries are dealt with the rows to blocks. The plan
+    is the same however many there are. by names a column that must be equal on both sides; with others_only a query
+    meets no row of its own id. Vectors that are null, zero, not finite or of another dimension take no part.
     """
     extra = [by] if by else []
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
@@ -59,13 +50,29 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, least: float | Non
     sizes = {r.dim: r.n for r in asked.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
     out = rows.sparkSession.createDataFrame([], schema)
     for dim, n in sorted(sizes.items()):
-        blocks = -(-8 * dim * n // QUERY_BYTES)
-        for b in range(blocks):
-            part = asked.filter((F.size("v") == dim) & (F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).toArrow()
-            out = out.unionByName(rows.select("id", "v", *extra).mapInArrow(_searcher(part, dim, k, least, by, others_only), schema))
+        part, held = asked.filter(F.size("v") == dim), rows.select("id", "v", *extra)
+        if 8 * dim * n <= QUERY_BYTES:
+            out = out.unionByName(held.mapInArrow(_searcher(part.toArrow(), dim, k, least, by, others_only), schema))
+        else:
+            block = [*extra, F.lit(0).alias("cell")]
+            q, r = (_usable(df, dim).select(key, "v", *block) for df, key in ((part, "qid"), (held.filter(F.size("v") == dim), "id")))
+            out = out.unionByName(dealt(q, r, [*extra, "cell"], dim, k, least, others_only))
     return out
 
 
+def _usable(vectors: DataFrame, dim: int) -> DataFrame:
+    """Unit vectors; those that cannot be scaled go."""
+    kinds = dict(vectors.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = units(batch.column(batch.schema.get_field_index("v")), dim)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dim, pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([flat if c == "v" else batch.column(batch.schema.get_field_index(c)).take(pa.array(at)) for c in batch.schema.names], names=batch.schema.names)
+
+    return vectors.mapInArrow(run, ", ".join(f"{c} {'array<double>' if c == 'v' else kind}" for c, kind in kinds.items()))
+
+
 def _alike(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Which values of a equal which of b; null equals nothing."""
     codes = np.asarray(pc.fill_null(pa.concat_arrays([a, b.cast(a.type)]).dictionary_encode().indices, -1))
@@ -111,14 +118,14 @@ class Best:
 def _searcher(asked: pa.Table, dim: int, k: int, least: float | None, by: str | None, others_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The work of one task on one block of queries."""
     asked = asked.combine_chunks()
-    at, q = _units(asked.column("v").combine_chunks(), dim)
+    at, q = units(asked.column("v").combine_chunks(), dim)
     qids = asked.column("qid").combine_chunks().take(pa.array(at))
     groups = asked.column(by).combine_chunks().take(pa.array(at)) if by else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
-            places, x = _units(batch.column(1), dim)
+            places, x = units(batch.column(1), dim)
             step = max(1, (1 << 22) // max(1, len(q)))
             for s in range(0, len(places) if len(q) else 0, step):
                 rows = pa.array(places[s : s + step])
@@ -191,6 +198,16 @@ def within_budget(contexts: DataFrame, budget: int = CONTEXT_CHARS, by: str = "q
     return cut.withColumn(text, F.col(text).substr(F.lit(1), (F.lit(budget) - F.col("_before")).cast("int"))).drop("_before")
 
 
+def within_long_budget(rows: DataFrame, budget: int = CONTEXT_CHARS, by: str = "qid", order: str = "rank", text: str = "document") -> DataFrame:
+    """As within_budget, where a group may hold any number of rows: the characters before each are a prefix scan over lengths alone, without the texts."""
+    if budget <= 0:
+        return rows
+    numbered = written(rows.withColumn("_id", F.monotonically_increasing_id()), "budget")
+    lengths = Ordered.of(numbered.select(by, order, "_id", F.length(text).alias("_n")), [by], [order]).total(F.col("_n"), "_before", before=True).result()
+    kept = lengths.filter(F.col("_before") < budget).select("_id", "_before")
+    return numbered.join(kept, "_id").withColumn(text, F.col(text).substr(F.lit(1), (F.lit(budget) - F.col("_before")).cast("int"))).drop("_before", "_id")
+
+
 def context_block(contexts: DataFrame, by: str = "qid", order: str = "rank") -> DataFrame:
     """One numbered block per question: "[i] (Source: s, page p)", a caution where flagged, and the passage."""
     page = F.when(F.col("page").isNotNull(), F.concat(F.lit(", page "), F.col("page").cast("string"))).otherwise(F.lit(""))
@@ -258,9 +275,12 @@ def hashed_embedding(text: Column) -> Column:
     """A stand-in for a model: words hashed to signed coordinates."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9À-ɏ]+"), F.lit(0))
 
-    def coordinates(codes: Column) -> Column:
-        # the top bit of a word's code is its sign
-        counts = lambda bit: F.transform(F.sequence(F.lit(0), F.lit(HASHED_DIM - 1)), lambda d: F.size(F.filter(codes, lambda c: (c["d"] == d) & (c["up"] == bit))))
-        return F.zip_with(counts(0), counts(1), lambda plus, minus: (plus - minus).cast("double"))
+    def coordinates(ordered: Column) -> Column:
+        # every code stands once more than it was said, so that the places where runs begin are those of the codes in order
+        begins = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (ordered[i] != ordered[F.greatest(i - 1, F.lit(0))]))
+        counts = let(begins, lambda at: F.zip_with(at, F.concat(F.slice(at, 2, 2 * HASHED_DIM), F.array(F.size(ordered))), lambda x, y: y - x - 1))
+        return let(counts, lambda c: F.zip_with(F.slice(c, 1, HASHED_DIM), F.slice(c, HASHED_DIM + 1, HASHED_DIM), lambda plus, minus: (plus - minus).cast("double")))
 
-    return let(F.transform(words, lambda w: F.struct((F.crc32(w) % HASHED_DIM).cast("int").alias("d"), F.shiftright(F.crc32(w), 31).cast("int").alias("up"))), coordinates)
+    # the top bit of a word's code is its sign
+    codes = F.transform(words, lambda w: (F.crc32(w) % HASHED_DIM + HASHED_DIM * F.shiftright(F.crc32(w), 31)).cast("int"))
+    return let(F.array_sort(F.concat(F.sequence(F.lit(0), F.lit(2 * HASHED_DIM - 1)), codes)), coordinates)

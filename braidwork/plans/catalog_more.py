@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as T
-from braidwork.operators import evaluation, filters, healing, index, ingest, monitoring, retrieval, service, state
+from braidwork.operators import cells, evaluation, filters, healing, index, ingest, languages, monitoring, retrieval, service, state
 from braidwork.plans import evaluate
-from braidwork.plans.catalog import BM25, MANY, TERMS, TOKENS, benchmark, docs, query, stable
+from braidwork.plans.catalog import BM25, MANY, TERMS, TOKENS, VQ, benchmark, docs, query, stable, vector_questions
 from braidwork.session import table
+from braidwork.sources.shared import shared_dir
 from braidwork.sources.sinks import audit_value
-from braidwork.sources.synthetic import made_questions
+from braidwork.streaming.segments import SegmentStore
 
 # --- scans and lookups ---------------------------------------------------------------------------------------------
 
@@ -87,6 +90,19 @@ def detected_language(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.detected_language(F.col("text")).alias("lang"))
 
 
+@query("language_by_profile", r"""WITH s AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents),
+g AS (SELECT doc_id, lang, substring('_' || word || '_', unnest(range(1, length(word) + 1))::INTEGER, 3) AS gram FROM s),
+c AS (SELECT lang, gram, count(*) AS c FROM g WHERE doc_id % 2 = 0 AND lang IS NOT NULL GROUP BY 1, 2), t AS (SELECT lang, sum(c) AS total FROM c GROUP BY 1), v AS (SELECT count(DISTINCT gram) AS v FROM c),
+p AS (SELECT lang, gram, ln((coalesce(c, 0) + 1)::DOUBLE / (total + v)) AS logp FROM (SELECT DISTINCT gram FROM c) CROSS JOIN t CROSS JOIN v LEFT JOIN c USING (lang, gram)),
+o AS (SELECT doc_id, p.lang, round(sum(logp), 6) AS score FROM g JOIN p USING (gram) GROUP BY 1, 2),
+b AS (SELECT doc_id, CASE WHEN count(*) = 1 THEN min(lang) END AS lang FROM o JOIN (SELECT doc_id, max(score) AS score FROM o GROUP BY 1) USING (doc_id, score) GROUP BY 1)
+SELECT d.doc_id, coalesce(b.lang, 'en') AS lang FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id""")
+def language_by_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of every other document tell the language of all."""
+    rows = docs(spark, d)
+    return languages.by_profile(rows.select("doc_id", "text"), languages.profiles(rows.filter("doc_id % 2 = 0")))
+
+
 # --- answers -------------------------------------------------------------------------------------------------------
 
 
@@ -159,17 +175,42 @@ def redaction_counts(spark: SparkSession, d: str) -> DataFrame:
     return ingest.redaction_counts(rows, "source")
 
 
-@query("ann_recall", "WITH f AS (SELECT vec_id, vec_id + j AS id FROM embeddings, range(4) t(j)), t AS (SELECT vec_id, vec_id + j AS id FROM embeddings, range(2, 6) t(j)) SELECT vec_id AS qid, count(*) / 4.0::DOUBLE AS recall FROM f JOIN t USING (vec_id, id) GROUP BY 1")
+#: Each asked vector's four nearest of all vectors, and of those with an even id.
+_NEAR = f"WITH {VQ}, s AS (SELECT qid, id, list_cosine_similarity(qv, v) AS score FROM vq, v), t AS (SELECT qid, id FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 4), f AS (SELECT qid, id FROM s WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 4), r AS (SELECT t.qid, count(f.id) / 4.0::DOUBLE AS recall FROM t LEFT JOIN f ON f.qid = t.qid AND f.id = t.id GROUP BY 1)"
+
+
+def _searches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """An index search over half of the vectors, and one over all: what the first finds of the second is its recall."""
+    ix = cells.VectorIndex.build(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 2 == 0).alias("even")))
+    asked = vector_questions(spark, d)
+    return ix.search(asked, 4, F.col("even"))[0], ix.search(asked, 4)[0]
+
+
+@query("ann_recall", f"{_NEAR} SELECT qid, recall FROM r")
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
-    near = lambda lo, hi: table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.explode(F.sequence(F.col("vec_id") + lo, F.col("vec_id") + hi)).alias("id"))
-    return evaluation.recall_of(near(0, 3), near(2, 5), 4)
+    found, truth = _searches(spark, d)
+    return evaluation.recall_of(found, truth, 4)
 
 
-@query("search_report", "SELECT 0.5::DOUBLE AS recall, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events")
+@query("search_report", f"{_NEAR} SELECT round((SELECT avg(recall) FROM r), 6) AS recall, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events")
 def search_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events")
-    truth = rows.select(F.col("event_id").alias("qid"), F.explode(F.array(F.lit(1), F.lit(2))).alias("id"))
-    return evaluation.search_report(truth.filter("id = 1"), truth, rows.select(F.col("event_id").alias("qid"), F.col("value").alias("seconds")), 2)
+    found, truth = _searches(spark, d)
+    seconds = table(spark, d, "events").select(F.col("event_id").alias("qid"), F.col("value").alias("seconds"))
+    return evaluation.search_report(found, truth, seconds, 4).select(*[F.round(c, 6).alias(c) for c in ("recall", "p50", "p95")])
+
+
+@query("segment_index", f"SELECT doc_id AS id, len({TOKENS.format('text')})::BIGINT AS dl, len(list_distinct({TOKENS.format('text')}))::BIGINT AS terms FROM documents WHERE doc_id % 5 <> 0")
+def segment_index(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the documents, some of them out again, then all, then a fifth out; merged; and what is left by document."""
+    store, rows = SegmentStore(spark, f"{shared_dir(spark)}/braidwork/segments-{uuid.uuid4().hex}"), docs(spark, d)
+    store.add(rows.filter("doc_id % 3 = 0"))
+    store.delete(rows.filter("doc_id % 9 = 0"), "doc_id")
+    store.add(rows)
+    store.delete(rows.filter("doc_id % 5 = 0"), "doc_id")
+    while store.merge(2):
+        pass
+    found = store.index()
+    return found.lengths.join(found.postings.groupBy("id").agg(F.count("*").alias("terms")), "id", "left").select("id", "dl", F.coalesce("terms", F.lit(0)).alias("terms"))
 
 
 # --- state ---------------------------------------------------------------------------------------------------------
@@ -266,8 +307,3 @@ def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
 def usage_by_request(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(F.col("user_id").alias("qid"), F.col("event_id").alias("prompt_tokens"), F.col("user_id").alias("completion_tokens"), F.col("value").alias("seconds"))
     return service.usage_by(rows).drop("seconds")
-
-
-@query("made_questions")
-def questions(spark: SparkSession, d: str) -> DataFrame:
-    return made_questions(spark, 1000)

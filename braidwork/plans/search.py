@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions.text import lexical_overlap
 from braidwork.operators import filters, index, ingest, retrieval
+from braidwork.operators.blockmax import BlockIndex
 from braidwork.operators.healing import extractive_answer, heal
 from braidwork.sources.shared import written
 
@@ -20,13 +21,24 @@ class Library:
     """chunks (id, document, source, filename, page, is_last_page, chunk_index, owner, restricted, embedding...) and their keyword index."""
 
     chunks: DataFrame
-    keywords: index.Index
+    keywords: index.Index | BlockIndex
 
     @classmethod
     def of(cls, chunks: DataFrame) -> Library:
         """A library with its index as written tables: searches read postings, not texts."""
         return cls(chunks, index.build(chunks, "id", "document").stored(written))
 
+    @classmethod
+    def large(cls, chunks: DataFrame) -> Library:
+        """A library for many chunks: its index keeps bounds by block, and a search reads only blocks that can reach the top."""
+        return cls(chunks, BlockIndex.build(chunks, "id", "document"))
+
+    def keyword_top(self, queries: DataFrame, k: int, allowed: DataFrame) -> DataFrame:
+        """The k best of the allowed chunks (id) for each question, by the statistics of all."""
+        if isinstance(self.keywords, BlockIndex):
+            return self.keywords.search(queries, k, allowed)[0]
+        return index.bm25_top(self.keywords, queries, k, allowed)
+
 
 def _on_named_pages(asked: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows on the pages that questions name: an equi-join by page number, spans spelled out up to the last page there is, and one by the mark of last pages."""
@@ -53,7 +65,7 @@ def search(library: Library, questions: DataFrame, k: int = 5, owners: list[str]
     free = asked.filter(F.size("spans") == 0)
     dense = retrieval.vector_top(free.select("qid", embed(F.col("query")).alias("query_vector")), visible, fetch)
     if hybrid:
-        sparse = index.bm25_top(library.keywords, free.select("qid", "query"), fetch, visible.select("id"))
+        sparse = library.keyword_top(free.select("qid", "query"), fetch, visible.select("id"))
         ranked = retrieval.weighted_rrf(dense, sparse, fetch, alpha).select("qid", "id", "rank", F.round("score", 4).alias("score"))
     else:
         ranked = dense
@@ -78,7 +90,7 @@ def planned(library: Library, asked: DataFrame, owners: list[str] | None = None,
     widest = plans.agg(F.max("fetch_k")).first()[0] or 1
     one = lists.select(F.struct("qid", "list_no").alias("qid"), "query")
     dense = retrieval.vector_top(one.select("qid", embed(F.col("query")).alias("query_vector")), visible, widest)
-    sparse = index.bm25_top(library.keywords, one, widest, visible.select("id"))
+    sparse = library.keyword_top(one, widest, visible.select("id"))
     whole = plans.select("qid", "fetch_k", "use_hybrid", "alpha")
     fetched = lambda hits: hits.select("qid.qid", "qid.list_no", "id", "rank", "score").join(whole, "qid").filter(F.col("rank") < F.col("fetch_k"))
     by = ("qid", "list_no", "use_hybrid", "alpha", "fetch_k")

@@ -73,8 +73,3 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 def write_json(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).json(path)
-
-
-def audit_value(text: Column, most: int = 200) -> Column:
-    """Audit strings are cut, with a mark."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)

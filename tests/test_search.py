@@ -35,6 +35,14 @@ def test_search_scope_pages_and_answers(spark):
     assert said[3] == "I cannot find sufficient information."
 
 
+def test_a_large_library_answers_alike(spark):
+    books = library(spark)
+    large = Library.large(books.chunks)
+    asked = spark.createDataFrame([(0, "keyword search"), (1, "cosine vectors"), (4, "unheard")], "qid int, question string")
+    rows = lambda hits: sorted((r.qid, r.rank, r.id, r.score) for r in hits.select("qid", "rank", "id", "score").collect())
+    assert rows(search(large, asked, 3, ["shared"])) == rows(search(books, asked, 3, ["shared"]))
+
+
 def test_judge_replies(spark):
     replies = ['so {"x": {bad} then {"score": 0.5, "verdict": true} end', "clearly true", "false", None]
     got = [tuple(r.j) for r in spark.createDataFrame([(r,) for r in replies], "r string").select(T.judged(F.col("r")).alias("j")).collect()]
