@@ -189,7 +189,8 @@ _SPAN = "array<struct<low:int,high:int,last:boolean>>"
 
 
 def _table(words: Mapping[str, Any]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    """A literal map, parsed as one expression: quicker than a call for every word."""
+    return F.expr("map(" + ", ".join(f"'{k}', " + (f"'{v}'" if isinstance(v, str) else str(v)) for k, v in words.items()) + ")")
 
 
 def _words(question: Column) -> Column:
@@ -257,11 +258,24 @@ def _references(words: Column) -> Column:
     return F.aggregate(places, start, step, lambda s: s["refs"])
 
 
+def page_parts(question: str | Column) -> Column:
+    """struct<spans, rest>: the page spans a question names, in order, each once, and the question without them; both from one look at its words."""
+    question = F.coalesce(F.col(question) if isinstance(question, str) else question, F.lit(""))
+
+    def parts(words: Column) -> Column:
+        def told(refs: Column) -> Column:
+            spans = F.transform(refs, lambda r: F.struct(F.least(r["low"], r["high"]).alias("low"), F.greatest(r["low"], r["high"]).alias("high"), r["last"].alias("last")))
+            rest = F.transform(words, lambda w, i: F.when(F.exists(refs, lambda r: i.between(r["first"], r["behind"])), F.lit(" ")).otherwise(w["raw"]))
+            return F.struct(F.array_distinct(spans).cast(_SPAN).alias("spans"), F.trim(F.regexp_replace(F.array_join(rest, ""), r"(?U)\s+", " ")).alias("rest"))
+
+        return let(_references(words), told)
+
+    return let(_words(question), parts)
+
+
 def page_filter(question: str | Column) -> Column:
-    """array<struct<low, high, last>>: the page spans a question names, in order, each once; empty for none."""
-    question = F.col(question) if isinstance(question, str) else question
-    spans = let(_words(question), lambda words: F.transform(_references(words), lambda r: F.struct(F.least(r["low"], r["high"]).alias("low"), F.greatest(r["low"], r["high"]).alias("high"), r["last"].alias("last"))))
-    return F.coalesce(F.array_distinct(spans).cast(_SPAN), F.array().cast(_SPAN))
+    """array<struct<low, high, last>>: the page spans a question names; empty for none."""
+    return page_parts(question)["spans"]
 
 
 def on_pages(spans: Column, page: Column, is_last: Column) -> Column:
@@ -270,10 +284,6 @@ def on_pages(spans: Column, page: Column, is_last: Column) -> Column:
 
 
 def without_pages(question: str | Column) -> Column:
-    """The question without its page references."""
+    """The question without its page references; null for null."""
     question = F.col(question) if isinstance(question, str) else question
-
-    def rest(words: Column) -> Column:
-        return let(_references(words), lambda refs: F.transform(words, lambda w, i: F.when(F.exists(refs, lambda r: i.between(r["first"], r["behind"])), F.lit(" ")).otherwise(w["raw"])))
-
-    return F.trim(F.regexp_replace(F.array_join(let(_words(question), rest), ""), r"(?U)\s+", " "))
+    return F.when(question.isNotNull(), page_parts(question)["rest"])

@@ -334,8 +334,8 @@ def page_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").withColumn("n", F.col("turn") + 4)
     more = F.element_at(F.array(*[F.expr(said) for said, _, _ in _PAGES]), ((F.col("conv_id") + F.col("turn")) % len(_PAGES) + 1).cast("int"))
     rows = rows.select("conv_id", "turn", F.concat("text", more).alias("question"))
-    shown = F.transform(filters.page_filter("question"), lambda s: F.when(s["last"], "last").otherwise(F.concat(s["low"].cast("string"), F.lit("-"), s["high"].cast("string"))))
-    return rows.select("conv_id", "turn", F.array_join(shown, ",").alias("spans"), filters.without_pages("question").alias("rest"))
+    shown = F.transform("p.spans", lambda s: F.when(s["last"], "last").otherwise(F.concat(s["low"].cast("string"), F.lit("-"), s["high"].cast("string"))))
+    return rows.select("conv_id", "turn", filters.page_parts("question").alias("p")).select("conv_id", "turn", F.array_join(shown, ",").alias("spans"), F.col("p.rest").alias("rest"))
 
 
 @query("metadata_contract", """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END AS errors

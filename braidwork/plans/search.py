@@ -59,7 +59,8 @@ def search(library: Library, questions: DataFrame, k: int = 5, owners: list[str]
     """
     visible = filters.scoped(library.chunks, owners, where=where)
     fetch = 20 if rerank else k
-    asked = questions.withColumn("spans", filters.page_filter("question")).withColumn("query", filters.without_pages("question"))
+    asked = questions.withColumn("_parts", filters.page_parts("question")).withColumns({"spans": F.col("_parts.spans"), "query": F.col("_parts.rest")}).drop("_parts")
+    asked = written(asked, "asked")  # read once for each ranking
     asked = asked.withColumn("query", F.when(F.col("query") == "", F.col("question")).otherwise(F.col("query")))
     on_page = asked.filter(F.size("spans") > 0)
     free = asked.filter(F.size("spans") == 0)
