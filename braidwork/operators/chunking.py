@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARENT_MAX = 4000
+#: Documents of which the pieces are made at once.
+ROWS = 64
+ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
 def chunk_id(doc_id: Column, index: Column, content: Column) -> Column:
@@ -130,14 +133,15 @@ def chunk_documents(docs: DataFrame, strategy: str = "recursive", size: int = 80
             if piece:
                 yield doc_id, "chunk", at, i, len(pieces), page, title, page == last if page is not None else None, piece
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = SCHEMA.replace(", ", ",").split(",")[:9]
+    kinds = [ARROW[column.split(" ")[1]] for column in SCHEMA.split(", ")[:9]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # few documents at a time: what is held besides a batch does not grow with it
         for batch in batches:
-            out = [r for d in batch.itertuples(index=False) for r in rows(d.doc_id, d.content, d.pages, d.filetype)]
-            frame = pd.DataFrame(out, columns=[n.split(" ")[0] for n in names])
-            for c in ("parent_index", "chunk_index", "total_chunks", "page"):
-                frame[c] = frame[c].astype("Int32")
-            yield frame
+            for s in range(0, len(batch), ROWS):
+                out = [r for d in batch.slice(s, ROWS).to_pylist() for r in rows(d["doc_id"], d["content"], d["pages"], d["filetype"])]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[column.split(" ")[0] for column in SCHEMA.split(", ")[:9]])
 
     given = {f: docs[f] for f in docs.columns}
     ready = docs.select(
@@ -146,7 +150,7 @@ def chunk_documents(docs: DataFrame, strategy: str = "recursive", size: int = 80
         given.get("pages", F.lit(None).cast("array<string>")).alias("pages"),
         given.get("filetype", F.lit(None).cast("string")).alias("filetype"),
     )
-    made = ready.mapInPandas(run, SCHEMA.rsplit(", parent_id", 1)[0])
+    made = ready.mapInArrow(run, SCHEMA.rsplit(", parent_id", 1)[0])
     parent = parent_id(F.col("doc_id"), F.col("parent_index"))
     own = F.when(F.col("kind") == "chunk", chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("content"))).otherwise(parent)
     return made.withColumn("parent_id", parent).withColumn("id", own)

@@ -250,3 +250,18 @@ def test_keyword_scores_with_many_terms_equal_those_with_few(spark, monkeypatch)
     whole = {(r.qid, r.id): r.score for r in index.scores(index.build(docs), asked).collect()}
     assert few.keys() == many.keys() == whole.keys() and len(few) == 40 + 12
     assert all(few[k] == pytest.approx(many[k]) == pytest.approx(whole[k]) for k in few)
+
+
+def test_chunks_of_many_documents_are_made_a_few_at_a_time(spark):
+    from braidwork.operators import chunking
+
+    docs = spark.range(3 * chunking.ROWS + 5).coalesce(1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 != 3, F.concat(F.repeat(F.lit("One two. "), 150), F.col("id").cast("string"))).alias("content"))
+    made = chunking.chunk_documents(docs, "sentence")
+    got = {(r.doc_id, r.kind, r.chunk_index): r.content for r in made.collect()}
+    want = {}
+    for r in docs.collect():
+        if r.content:
+            want[(str(r.doc_id), "parent", None)] = r.content
+            want |= {(str(r.doc_id), "chunk", i): c.strip() for i, c in enumerate(chunking.sentence_split(r.content, 800, 150))}
+    assert got == want
+    assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
