@@ -179,6 +179,6 @@ def password_changed(users: DataFrame, sessions: DataFrame, changes: DataFrame)
     return out, without_user(sessions, changes)
 
 
-def standalone(question: Column, rewritten: Column, most: int = 2000) -> Column:
+def standalone(question: Column, rewritten: Column, most: int | Column = 2000) -> Column:
     """A follow-up as a question of its own; the typed one where the rewrite is empty or too long."""
-    return F.when(F.length(F.trim(F.coalesce(rewritten, F.lit("")))).between(1, most), F.trim(rewritten)).otherwise(question)
+    return F.when(F.length(F.trim(F.coalesce(rewritten, F.lit("")))).between(F.lit(1), F.lit(most)), F.trim(rewritten)).otherwise(question)
