@@ -265,3 +265,13 @@ def test_chunks_of_many_documents_are_made_a_few_at_a_time(spark):
             want |= {(str(r.doc_id), "chunk", i): c.strip() for i, c in enumerate(chunking.sentence_split(r.content, 800, 150))}
     assert got == want
     assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deduplication_reads_and_marks_a_row_once(spark):
+    from braidwork.operators import ingest
+
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "X "), (3, None, "x"), (4, None, "x"), (5, "b", None), (6, "b", None), (7, "b", "y")], "doc_id long, owner string, text string").repartition(3)
+    kept = ingest.exact_dedup(ingest.fingerprinted(rows), "owner", "doc_id")
+    assert kept.columns == ["doc_id", "owner", "text", "content_fingerprint"]
+    assert sorted((r.doc_id, r.owner, r.text) for r in kept.collect()) == [(1, "a", "x"), (3, None, "x"), (5, "b", None), (7, "b", "y")]
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
