@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,11 +10,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidwork.functions.text import let, lexical_overlap, snippet
 from braidwork.operators.cells import dealt, units
 from braidwork.operators.index import top
 from braidwork.operators.scans import Ordered
+from braidwork.operators.scoring import slices, words
 from braidwork.sources.shared import written
 
 # Fusion and context defaults.
@@ -284,3 +287,24 @@ def hashed_embedding(text: Column) -> Column:
     # the top bit of a word's code is its sign
     codes = F.transform(words, lambda w: (F.crc32(w) % HASHED_DIM + HASHED_DIM * F.shiftright(F.crc32(w), 31)).cast("int"))
     return let(F.array_sort(F.concat(F.sequence(F.lit(0), F.lit(2 * HASHED_DIM - 1)), codes)), coordinates)
+
+
+def embedded(rows: DataFrame, text: str, name: str = "embedding") -> DataFrame:
+    """rows with the hashed_embedding of a column of texts, for whole tables: a step's distinct words are hashed once and its texts summed together."""
+    kept = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lowered = batch.column(len(kept))
+            for s, e in slices(lowered):
+                flat, size = words(lowered.slice(s, e - s))
+                coded = flat.dictionary_encode()
+                at = np.asarray(coded.indices, np.int64)
+                crc = np.fromiter((zlib.crc32(w.encode()) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+                place = np.repeat(np.arange(e - s), size) * HASHED_DIM + (crc % HASHED_DIM)[at]
+                vectors = np.bincount(place, weights=np.where(crc >> 31, -1.0, 1.0)[at], minlength=(e - s) * HASHED_DIM)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(e - s + 1) * HASHED_DIM, pa.int32()), pa.array(vectors))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(s, e - s) for i in range(len(kept))], lists], names=[*kept, name])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    return rows.select("*", F.lower(text).alias("_lowered")).mapInArrow(run, schema)

@@ -64,3 +64,34 @@ def test_password_change_ends_sessions(spark):
     out, left = state.password_changed(users, sessions, spark.createDataFrame([(1, "new")], "id int, password_hash string"))
     assert sorted(map(tuple, out.collect())) == [(1, "new", 0, None), (2, "b", 1, None)]
     assert [r.token_hash for r in left.collect()] == ["t2"]
+
+
+def test_a_library_shuffles_no_postings_and_scores_alike(spark, monkeypatch):
+    from braidwork.operators import index
+
+    rows = [(i, " ".join(f"w{(i * j * j) % 371}" for j in range(1, 12)) + (" É ÀB" if i % 3 else "")) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, "id int, document string").withColumn("owner", F.lit("shared"))
+    asked = spark.createDataFrame([(0, "w12 w45 w36 w99 àb"), (1, "w16 w16 w4 é"), (2, "unheard")], "qid int, query string")
+    whole = index.top(index.scores(index.build(df, "id", "document"), asked).filter("score > 0").withColumn("_r", F.round("score", 9)), 5, score="_r")
+    want = sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in whole.collect())
+    monkeypatch.setattr(index.scoring, "postings", None)  # no posting is made
+    got = Library.of(df).keyword_top(asked, 5, df.select("id", "document"))
+    assert sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in got.collect()) == want and want
+    some = Library.of(df).keyword_top(asked, 5, df.filter("id % 2 = 0").select("id", "document")).collect()
+    assert {r.id % 2 for r in some} == {0} and all(any(abs(r.score - s) < 1e-9 for *_, s in want) for r in some if (r.qid, r.id) in {(q, i) for q, _, i, _ in want})
+
+
+def test_embeddings_of_a_table_are_those_of_the_column(spark):
+    texts = [None, "", "one One ONE two", "ÀÉ ɏ x1 İstanbul ǅ K" + chr(0x212A), "# - .", "long " * 5000, "a\nb\tc\x0bd"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, document string").repartition(2)
+    got = {r.id: r.embedding for r in retrieval.embedded(rows, "document").collect()}
+    assert got == {r.id: r.e for r in rows.select("id", retrieval.hashed_embedding(F.col("document")).alias("e")).collect()}
+
+
+def test_a_large_library_answers_plans(spark):
+    from braidwork.plans.search import planned
+
+    books = Library.large(library(spark).chunks)
+    plan = [(0, "keyword search", ["keyword search", "cosine"], 3, 2, True, False, 0.3)]
+    asked = spark.createDataFrame(plan, "qid int, question string, queries array<string>, fetch_k int, final_k int, use_hybrid boolean, use_reranker boolean, alpha double")
+    assert len(planned(books, asked).first().documents) == 2
