@@ -24,8 +24,10 @@ BLOCK_BYTES = 16 << 20
 SAMPLE_ROWS, SAMPLE_BYTES = 16_384, 32 << 20
 #: Halvings of the space at most; cells of an index at most.
 PLANES, CELLS = 12, 1024
-#: Rows that could be compared while one copy of a query is shuffled.
-COPY = 30
+#: Rows that could be compared while one copy of a query is shuffled, and copies of a query that a join may make for its planes: what is shuffled stays in proportion to the input.
+COPY, COPIES = 1000, 16
+#: Scores of a matrix at once.
+WIDE = 1 << 20
 #: Scores are compared by so many digits; sums in another order differ by less.
 DIGITS = 9
 #: Added to every bound: rounding never costs a row.
@@ -57,28 +59,36 @@ def sample(rows: DataFrame, dim: int) -> np.ndarray:
     return units(found, dim)[1]
 
 
-def best_of(score: np.ndarray, ids: pa.Array, k: int, digits: int = DIGITS, larger: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best columns of every row of scores (-inf: none), ties by `digits` digits to the smaller, or larger, id: row, column, score."""
+def best_of(score: np.ndarray, ids: pa.Array, k: int, digits: int = DIGITS, larger: bool = False, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best columns of every row of scores (-inf: none) of at least `least`, ties by `digits` digits to the smaller, or larger, id: row, column, score."""
     top = min(k, score.shape[1])
     if not top:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0)
-    floor = np.partition(score, -top, axis=1)[:, -top] - 10.0**-digits
-    who, what = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+    kth = score.max(axis=1) if top == 1 else np.partition(score, -top, axis=1)[:, -top]
+    floor = np.maximum(kth - 10.0**-digits, max(least, np.finfo(np.float64).min))
+    some = np.flatnonzero((score.max(axis=1) if top > 1 else kth) >= floor)
+    who, what = np.nonzero(score[some] >= floor[some, None])
+    who = some[who]
     value = score[who, what]
-    place = np.empty(len(ids), np.int64)
-    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-    order = np.lexsort((-place[what] if larger else place[what], -np.round(value, digits), who))
+    seen, nth = np.unique(what, return_inverse=True)
+    place = np.empty(len(seen), np.int64)
+    place[pc.sort_indices(ids.take(pa.array(seen))).to_numpy()] = np.arange(len(seen))
+    order = np.lexsort((-place[nth] if larger else place[nth], -np.round(value, digits), who))
     who, what, value = who[order], what[order], value[order]
     first = np.searchsorted(who, who)
     keep = np.arange(len(who)) - first < k
     return who[keep], what[keep], value[keep]
 
 
-def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+def _same(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal values in a, in order, and in b; null equals nothing."""
     codes = np.asarray(pc.fill_null(pa.concat_arrays([a, b.cast(a.type)]).dictionary_encode().indices, -1))
     own, other = codes[: len(a)], codes[len(a) :]
-    return (own[:, None] == other[None, :]) & (own[:, None] >= 0)
+    order = np.argsort(other, kind="stable")
+    low, high = (np.searchsorted(other[order], own, side=side) for side in ("left", "right"))
+    n = np.where(own >= 0, high - low, 0)
+    return np.repeat(np.arange(len(a)), n), order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)]
 
 
 def dealt(asked: DataFrame, rows: DataFrame, on: list[str], dim: int, k: int, least: float | None = None, others_only: bool = False, digits: int = DIGITS, larger: bool = False) -> DataFrame:
@@ -100,14 +110,13 @@ def dealt(asked: DataFrame, rows: DataFrame, on: list[str], dim: int, k: int, le
         qid, ids = (t.column(c).combine_chunks() for t, c in ((left, "qid"), (right, "id")))
         q, x = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t in (left, right))
         out: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
-        step = max(1, (1 << 22) // max(1, len(x)))
+        mine, same = _same(qid, ids) if others_only else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        step = max(1, WIDE // max(1, len(x)))
         for s in range(0, len(q) if len(x) else 0, step):
             score = q[s : s + step] @ x.T
-            if others_only:
-                score[_same(qid.slice(s, step), ids)] = -np.inf
-            if least is not None:
-                score[score < least - 10.0**-digits] = -np.inf
-            who, what, value = best_of(score, ids, k, digits, larger)
+            a, b = np.searchsorted(mine, (s, s + step))
+            score[mine[a:b] - s, same[a:b]] = -np.inf
+            who, what, value = best_of(score, ids, k, digits, larger, -np.inf if least is None else least - 10.0**-digits)
             out.append((qid.take(pa.array(who + s)), ids.take(pa.array(what)), value))
         columns = [pa.concat_arrays([o[i] for o in out]) if out else pa.array([], a.type) for i, a in enumerate((qid, ids))]
         return pa.Table.from_arrays([*columns, pa.array(np.concatenate([o[2] for o in out]) if out else np.zeros(0))], names=["qid", "id", "score"])
@@ -132,11 +141,11 @@ class Planes:
     cuts: np.ndarray
 
     @classmethod
-    def fitted(cls, x: np.ndarray, rows: int, radius: float) -> Planes:
+    def fitted(cls, x: np.ndarray, rows: float, radius: float) -> Planes:
         """Directions in which the sample varies most, cut in the middle: as many as make the work least.
 
-        A query meets the rows of the cells in its reach and is copied to each; how many those are is counted on the
-        sample. A radius that reaches everything gets no plane.
+        A query could meet so many rows; it meets those of the cells in its reach and is copied to each, COPIES at
+        most. How many those are is counted on the sample. A radius that reaches everything gets no plane.
         """
         if not len(x):
             return cls(np.zeros((0, x.shape[1])), np.zeros(0))
@@ -146,6 +155,8 @@ class Planes:
         few, best = x[:: -(-len(x) // 512)], (np.inf, 0)
         for n in range(min(PLANES, x.shape[1]) + 1):
             reach = len(cls(directions[:n], cuts[:n]).within(few, radius)[0]) / len(few)
+            if n and reach > COPIES:
+                break
             best = min(best, (reach / 2**n * rows + COPY * reach, n))
         return cls(directions[: best[1]], cuts[: best[1]])
 
@@ -165,7 +176,7 @@ class Planes:
 
 
 def _with_cells(vectors: DataFrame, dim: int, planes: Planes, radius: float | None) -> DataFrame:
-    """Unit vectors with their cell, or, with a radius, with every cell in reach; other columns come along."""
+    """Unit vectors with their cell, or, with a radius, with the list cells of all in reach; other columns come along."""
     kept = [c for c in vectors.columns if c != "v"]
     kinds = dict(vectors.dtypes)
 
@@ -173,11 +184,16 @@ def _with_cells(vectors: DataFrame, dim: int, planes: Planes, radius: float | No
         for batch in batches:
             at, x = units(batch.column(batch.schema.get_field_index("v")), dim)
             for s in range(0, len(at), 256):
-                who, cell = planes.within(x[s : s + 256], radius) if radius is not None else (np.arange(len(at[s : s + 256])), planes.cells(x[s : s + 256]))
-                take = pa.array(at[s : s + 256][who])
-                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)).take(take) for c in kept], _array(x[s : s + 256][who]), pa.array(cell)], names=[*kept, "v", "cell"])
+                some = x[s : s + 256]
+                if radius is None:
+                    cell = pa.array(planes.cells(some))
+                else:
+                    who, reached = planes.within(some, radius)  # in order of who
+                    cell = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(len(some) + 1)), pa.int32()), pa.array(reached))
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)).take(pa.array(at[s : s + 256])) for c in kept], _array(some), cell], names=[*kept, "v", name])
 
-    return vectors.select(*kept, "v").mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in kept], "v array<double>", "cell long"]))
+    name = "cell" if radius is None else "cells"
+    return vectors.select(*kept, "v").mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in kept], "v array<double>", f"{name} {'long' if radius is None else 'array<long>'}"]))
 
 
 def near_join(queries: DataFrame, rows: DataFrame, least: float, by: str | None = None, others_only: bool = False) -> DataFrame:
@@ -186,7 +202,7 @@ def near_join(queries: DataFrame, rows: DataFrame, least: float, by: str | None
     Vectors at least that alike are at most sqrt(2 - 2 * least) apart on the unit sphere. The space is halved along up
     to PLANES directions, fitted on a bounded sample of the rows; a query goes to the cells that lie that near. Nothing
     is missed whatever the sample; a loose threshold reaches all cells and compares all pairs, in blocks. Each side is
-    scanned once for its cells. by names a column that must be equal, and not null, on both sides; with others_only a
+    scanned once for its cells; a query is stored once with the list of its cells. by names a column that must be equal, and not null, on both sides; with others_only a
     query meets no row of its own id. Vectors that are null, zero, not finite or of another dimension take no part.
     """
     extra = [by] if by else []
@@ -196,9 +212,11 @@ def near_join(queries: DataFrame, rows: DataFrame, least: float, by: str | None
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
     for dim in dimensions(queries):
         held = rows.filter(F.size("v") == dim)
-        planes = Planes.fitted(sample(held, dim), held.count(), radius)
+        sizes = held.groupBy(*extra).count().agg(F.sum(F.col("count").cast("double") * F.col("count")), F.sum("count")).first()
+        planes = Planes.fitted(sample(held, dim), sizes[0] / sizes[1] if sizes[1] else 0, radius)  # a query meets rows of its own group
         r = written(_with_cells(held.select("id", "v", *extra), dim, planes, None), "near-rows").withColumn("dim", F.lit(dim))
-        q = written(_with_cells(queries.filter(F.size("v") == dim).select("qid", "v", *extra), dim, planes, radius), "near-queries").withColumn("dim", F.lit(dim))
+        q = written(_with_cells(queries.filter(F.size("v") == dim).select("qid", "v", *extra), dim, planes, radius), "near-queries")
+        q = q.withColumn("cell", F.explode("cells")).drop("cells").withColumn("dim", F.lit(dim))
         found = dealt(q, r, on, dim, 1, least, others_only, digits=12, larger=True).withColumn("s", F.round("score", 12))
         best = found.groupBy("qid").agg(F.max(F.struct("s", "id", "score")).alias("b")).filter(F.col("b.s") >= least)
         out = out.unionByName(best.select("qid", "b.id", "b.score"))

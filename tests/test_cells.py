@@ -1,6 +1,7 @@
 """Near vectors and the cell index against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,55 @@ def test_near_duplicates_of_nothing(spark):
     some = spark.createDataFrame([(1, [1.0, 0.0], "o", "d")], none.schema)
     assert ingest.near_duplicates(none, some).collect() == [] and ingest.near_duplicates(some, none).collect() == []
     assert cells.VectorIndex.build(none.drop("owner")).search(some.select(F.col("id").alias("qid"), F.col("embedding").alias("query_vector")), 3)[0].collect() == []
+
+
+def even(n, dim=64, seed=5):
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def test_near_join_copies_a_query_a_bounded_number_of_times(spark, monkeypatch):
+    """Vectors that point evenly in all directions, and a table of any size: what is sent stays in proportion, and a stored query is one row."""
+    x = even(2000)
+    for rows in (1e3, 1e6, 1e9):
+        planes = cells.Planes.fitted(x, rows, float(np.sqrt(2 - 2 * 0.985)))
+        assert len(planes.within(x, float(np.sqrt(2 - 2 * 0.985)))[0]) <= 1.2 * cells.COPIES * len(x)
+    monkeypatch.setattr(cells, "COPY", 1)
+    stored = {}
+    monkeypatch.setattr(cells, "written", lambda df, name, write=cells.written: stored.setdefault(name, write(df, name)))
+    x[1000:] = x[:1000]
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "id int, v array<double>, label int")
+    got = {r.qid: r.id for r in cells.near_join(df.withColumnRenamed("id", "qid"), df, 0.985, "label", others_only=True).collect()}
+    assert got == {i: (i + 1000) % 2000 for i in range(2000)} and stored["near-queries"].count() == 2000
+
+
+def peak(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def listed(x):
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+def test_a_task_of_dealt_vectors_holds_few_scores(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    caught = []
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, work, schema: caught.append(work))
+    rows = spark.createDataFrame([(0, [1.0] * 64, 0)], "id int, v array<double>, cell int")
+    cells.dealt(rows.withColumnRenamed("id", "qid"), rows, ["cell"], 64, 1, 0.4, others_only=True, digits=12, larger=True)
+    x = even(8000)
+    left, right = (pa.table({c: pa.array(np.arange(len(x))), "v": listed(x)}) for c in ("qid", "id"))
+    out = []
+    assert peak(lambda: out.append(caught[0](left, right))) < 40
+    score = x @ x.T
+    np.fill_diagonal(score, -1)
+    want = {(i, int(j)) for i, j in enumerate(score.argmax(axis=1)) if score[i, j] >= 0.4}
+    assert want and set(zip(out[0]["qid"].to_pylist(), out[0]["id"].to_pylist(), strict=True)) == want
