@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidwork.functions.text import let, lexical_overlap, snippet
-from braidwork.operators.cells import dealt, units
+from braidwork.operators.cells import WIDE, dealt, units
 from braidwork.operators.index import top
 from braidwork.operators.scans import Ordered
 from braidwork.operators.scoring import slices, words
@@ -129,7 +129,7 @@ def _searcher(asked: pa.Table, dim: int, k: int, least: float | None, by: str |
         best = None
         for batch in batches:
             places, x = units(batch.column(1), dim)
-            step = max(1, (1 << 22) // max(1, len(q)))
+            step = max(1, WIDE // max(1, len(q)))
             for s in range(0, len(places) if len(q) else 0, step):
                 rows = pa.array(places[s : s + step])
                 ids, score = batch.column(0).take(rows), q @ x[s : s + step].T

@@ -178,3 +178,16 @@ def test_a_task_of_dealt_vectors_holds_few_scores(spark, monkeypatch):
     np.fill_diagonal(score, -1)
     want = {(i, int(j)) for i, j in enumerate(score.argmax(axis=1)) if score[i, j] >= 0.4}
     assert want and set(zip(out[0]["qid"].to_pylist(), out[0]["id"].to_pylist(), strict=True)) == want
+
+
+def test_a_task_of_searched_vectors_holds_few_scores():
+    from braidwork.operators import retrieval
+
+    x, q = even(8000), even(4000, seed=6)
+    run = retrieval._searcher(pa.table({"qid": pa.array(np.arange(len(q))), "v": listed(q)}), 64, 5, None, None, False)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), listed(x)], names=["id", "v"])]
+    out = []
+    assert peak(lambda: out.extend(run(iter(batches)))) < 45
+    got = pa.Table.from_batches(out)
+    want = {(i, int(j)) for i, s in enumerate(q @ x.T) for j in np.argpartition(s, -5)[-5:]}
+    assert set(zip(got["qid"].to_pylist(), got["id"].to_pylist(), strict=True)) == want
