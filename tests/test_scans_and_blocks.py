@@ -1,5 +1,6 @@
 """Prefix scans, exact ranks, pruned keyword search, folder tables, language profiles and case folding against plain versions."""
 
+import math
 import random
 import unicodedata
 
@@ -238,3 +239,32 @@ def test_pruned_search_shuffles_blocks_once_and_no_row_per_question_and_window(s
     assert found.count() <= found.rdd.getNumPartitions() * 40 * 6
     of = {r.qid: r for r in read.collect()}
     assert len(of) == 40 and all(0 < r.blocks <= r.all_blocks and r.n <= r.all_n for r in of.values())
+
+
+def test_language_profiles_beside_the_texts_tell_what_joined_ones_do(spark, monkeypatch):
+    """Odd texts, keys that repeat or are null, letters beyond the first plane; and no row per text and word is stored."""
+    said = [
+        (1, "the house and the garden", "en"), (2, "das Haus und der Garten", "de"), (3, "la maison et le jardin", "fr"), (4, "Ωμέγα дом \U00010400\U00010428x", "xx"), (5, None, "en"), (6, "the das", None), (7, "12 34 -", "de"),
+        (8, "the", None), (8, "garten garten", None), (None, "das Haus", None), (9, "", "fr"), (10, "zq́a İstanbul K", "en"), (11, "\U00010428X дом", None),
+    ]
+    rows = spark.createDataFrame(said, "doc_id int, text string, lang string").repartition(3)
+    stored = []
+    monkeypatch.setattr(languages, "written", lambda df, name, write=languages.written: stored.append(name) or write(df, name))
+    profile = languages.profiles(rows)
+    plain = {}
+    for _, text, lang in said:
+        for word in spark.createDataFrame([(text,)], "t string").select(F.explode(languages.words(F.col("t"))).alias("w")).collect() if lang else ():
+            marked = f"_{word.w}_"
+            for i in range(len(word.w)):
+                plain[lang, marked[i : i + 3]] = plain.get((lang, marked[i : i + 3]), 0) + 1
+    every = {g for _, g in plain}
+    total = {x: sum(n for (y, _), n in plain.items() if y == x) for x in {x for x, _ in plain}}
+    assert {(r.gram, r.lang): round(r.logp, 9) for r in profile.collect()} == {(g, x): round(math.log((plain.get((x, g), 0) + 1) / (total[x] + len(every))), 9) for g in every for x in total}
+    some = profile.filter("lang <> 'fr' OR gram <> '_ma'")  # a profile need not hold every trigram
+    for given in (profile, some, profile.filter("false")):
+        stored.clear()
+        told = sorted(map(str, languages.by_profile(rows.select("doc_id", "text"), given).collect()))
+        assert "said" not in stored and len(told) == 12
+        monkeypatch.setattr(languages, "HELD", -1)
+        assert told == sorted(map(str, languages.by_profile(rows.select("doc_id", "text"), given).collect()))
+        monkeypatch.setattr(languages, "HELD", 1 << 20)
