@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions.text import prompt_valid
+from braidwork.sources.shared import written
 
 # Job states and limits.
 TERMINAL = ("completed", "failed", "cancelled")
 KEEP_JOBS, HISTORY, HISTORY_CHARS, TITLE = 500, 6, 500, 42
+#: Rows of a task's share of a join by id, about.
+ROWS = 1 << 19
 
 
 def session_users(sessions: DataFrame, users: DataFrame, now: Column) -> DataFrame:
@@ -152,8 +155,16 @@ def created_chats(chats: DataFrame, fresh: DataFrame, now: Column, title: str =
 
 def deleted_chats(chats: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chats and messages without the chats (id, user_id) that their own users delete."""
-    own = chats.join(gone.select("id", "user_id"), ["id", "user_id"], "left_semi").select("id")
-    return chats.join(own, "id", "left_anti"), messages.join(own.withColumnRenamed("id", "chat_id"), "chat_id", "left_anti")
+    own = written(_met(chats, gone.select("id", "user_id"), ["id", "user_id"], "left_semi").select("id"), "deleted")
+    return _met(chats, own, ["id"], "left_anti"), _met(messages, own.withColumnRenamed("id", "chat_id"), ["chat_id"], "left_anti")
+
+
+def _met(rows: DataFrame, others: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A semi or anti join in as many parts as the counted rows need: a task holds its part of the others and sorts nothing, so its memory does not grow with the tables, or with the rows of one key."""
+    parts = -(-max(rows.count(), others.count()) // ROWS)
+    if parts <= 1:
+        return rows.join(others, on, how)
+    return rows.repartition(parts, *on).join(others.repartition(parts, *on).distinct().hint("shuffle_hash"), on, how)
 
 
 def own_chats(chats: DataFrame, asked: DataFrame) -> DataFrame:

@@ -309,3 +309,19 @@ def test_language_totals_and_views(spark):
     rows = spark.createDataFrame([("a", "de"), ("a", "en"), ("b", "fr")], "id string, lang string")
     assert {r.lang: r.chunks for r in evaluate.language_totals(rows).collect()} == {"de": 1, "en": 1, "fr": 1, None: 3}
     assert [(r.id, r.lang) for r in evaluate.by_language(rows, ("en", "de")).collect()] == [("a", "de")]
+
+
+def test_deleted_chats_in_parts(spark, monkeypatch):
+    """The parts follow from the rows; ids that repeat or are null, and a chat with most messages, change nothing."""
+    chats = [(i, "u" if i % 2 else "v") for i in range(200)] + [(None, "u"), (3, "v")]
+    said = [(i % 200, i) for i in range(600)] + [(7, 1000 + i) for i in range(900)] + [(None, -1), (999, -2)]
+    wish = [(i, "u") for i in range(0, 200, 3)] + [(3, "u"), (None, "u")]
+    tables = [spark.createDataFrame(r, s) for r, s in ((chats, "id int, user_id string"), (said, "chat_id int, id int"), (wish, "id int, user_id string"))]
+    monkeypatch.setattr(state, "ROWS", 50)
+    left, texts = state.deleted_chats(*tables)
+    gone = {c for c in chats if c in set(wish) and c[0] is not None}
+    ids = {c for c, _ in gone}
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, left.select("id", "user_id").collect()), key=key) == sorted((c for c in chats if c[0] not in ids), key=key)
+    assert sorted(map(tuple, texts.select("chat_id", "id").collect()), key=key) == sorted((m for m in said if m[0] not in ids), key=key)
+    assert texts.rdd.getNumPartitions() == -(-len(said) // 50) and left.rdd.getNumPartitions() == -(-len(chats) // 50)
